@@ -9,7 +9,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,9 @@ from pyspark.sql import types as T
 #: Rows that one step inside an Arrow map works on at a time; bounds the worker's memory.
 SLICE_ROWS = 512
 #: Entries and length of an entry that a worker's word cache holds before it is emptied.
-CACHE_WORDS, CACHE_CHARS = 300_000, 128
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Bytes of text that the encoder works on at a time.
+GROUP_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,32 +122,99 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-class WordEncoder(dict):
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
+class _Recent(dict):
+    """A memory of two generations: when the newer one is full it becomes the older one, so what is in use stays."""
 
-    The vocabulary's splitting pattern never joins characters over white space, so a text's ids are those of its
-    pieces between spaces and line ends.  Ids of short pieces are remembered; the memory is bounded.
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self._make, self._older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self._older.get(key)
+        if got is None:
+            got = self._make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self._older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
+#: Fixed value: the vocabulary's splitting pattern.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for texts without PLAIN's exceptions: what stands apart from the letters around it.
+APART = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+)"
+#: Characters that a text must not have for the short way: beyond Latin, of odd white space or lower case, or special.
+PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
+
+
+class WordEncoder:
+    """Token ids of whole texts as little-endian unsigned 32-bit numbers, by the tokenizers library.
+
+    The vocabulary's splitting pattern never joins characters over white space.  A text of Latin letters is
+    lower-cased and split by that pattern here, a column at a time, and the library's model turns each distinct part
+    to ids; any other text goes through the library's whole encoder, a piece between spaces at a time.  Ids of short
+    parts and pieces are remembered; the memory is bounded.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
-        ids = np.array(self._encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self._tokenizer = Tokenizer.from_file(path)
+        # only where the file asks for just this may the parts go to the model by themselves
+        spec = self._tokenizer.to_str()
+        self._simple = SPLIT.replace("\\", "\\\\") in spec and '"use_regex":false' in spec.replace(" ", "")
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self._bytes = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self._model = self._tokenizer.model
+        self._parts, self._pieces = _Recent(self._part), _Recent(self._piece)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self._bytes)
+        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(part)]) if part else b""
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self._tokenizer.encode(piece, add_special_tokens=False).ids]) if piece else b""
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        """The ids of one text, by the long way."""
+        return b"".join(map(self._pieces.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of its rows in ids) of groups of rows of some GROUP_BYTES; each distinct part of a group is looked up once."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, "right")))
+            part = pc.fill_null(texts.slice(at, stop - at), "").cast(pa.large_string())
+            odd = pc.match_substring_regex(part, PLAIN).to_numpy(zero_copy_only=False) if self._simple else np.ones(len(part), bool)
+            ids, edge = self._short_way(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
+            if odd.any():
+                rows = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
+                for k in np.nonzero(odd)[0].tolist():
+                    rows[k] = np.frombuffer(self.encode(part[k].as_py()), "<u4")
+                edge = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+                ids = np.concatenate(rows)
+            yield at, ids, edge
+            at = stop
+
+    def _short_way(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(part), APART, r" \1 "))
+        coded = lists.flatten().dictionary_encode()
+        held = list(map(self._parts.__getitem__, coded.dictionary.to_pylist()))
+        length = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start = np.cumsum(length) - length
+        u = coded.indices.to_numpy(zero_copy_only=False)
+        n = length[u]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(held), "<u4")[np.repeat(start[u] - total[:-1], n) + np.arange(total[-1])]
+        edge = lists.offsets.to_numpy()
+        return ids, total[edge - edge[0]]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -34,7 +34,7 @@ from . import common
 
 #: Values and bits of each selector, 1 to 14; 0 is the escape.
 SELECTORS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-BLOCK = 4096
+BLOCK = 16384
 #: Ids after which a segment is closed; it bounds the writer's memory beside one text.
 SEGMENT_IDS = 1 << 20
 _HEAD = struct.Struct("<4sIQQQQQ")
@@ -45,15 +45,24 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     ids = ids.astype(np.uint64)
     step, pick = np.ones(n, np.int64), np.zeros(n, np.uint64)  # selector 0 unless one below fits
-    at = np.arange(n)
     for k in range(14, 0, -1):
         count, bits = SELECTORS[k]
-        bad = np.where(ids >> np.uint64(bits) != 0, at, n + 64)
-        until = np.minimum.accumulate(bad[::-1])[::-1]
-        fits = until - at >= count
+        if count > n:
+            continue
+        bad = ids >> np.uint64(bits) != 0
+        reach = 1  # bad[i]: some id of the ``reach`` from i on is too wide
+        while reach < count:
+            more = min(reach, count - reach)
+            bad = bad[: len(bad) - more] | bad[more:]
+            reach += more
+        fits = np.nonzero(~bad)[0]
         step[fits], pick[fits] = count, k
-        if not fits.any() and bits < 12:
-            break  # narrower ones fit no more
+    for k in range(14, 0, -1):  # a block's last ids may fill a word in part
+        count, bits = SELECTORS[k]
+        tail = ids[max(0, n - count + 1) :]
+        wide = np.nonzero(tail >> np.uint64(bits))[0]
+        first = n - len(tail) + (int(wide[-1]) + 1 if len(wide) else 0)
+        step[first:], pick[first:] = count, k
     starts, i, steps = [], 0, step.tolist()
     while i < n:
         starts.append(i)
@@ -123,12 +132,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, p
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = common.id_text(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard, segment = common.encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        columns, shard, segment = common.encoder(vocabulary).encode_column, TaskContext.get().partitionId(), 0
         ids, arrays, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -138,13 +147,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, p
             return pa.RecordBatch.from_pydict(cols, schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                part = batch.slice(at, common.SLICE_ROWS)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    got = np.frombuffer(encode(text) + end, "<u4")
-                    ids.append(doc_id)
-                    arrays.append(got)
-                    size += len(got)
+            doc_ids = batch.column(0).to_pylist()
+            for row, flat, edge in columns(batch.column(1)):
+                edge = edge.tolist()
+                for k in range(len(edge) - 1):
+                    ids.append(doc_ids[row + k])
+                    arrays.append(np.append(flat[edge[k] : edge[k + 1]], end))
+                    size += edge[k + 1] - edge[k] + 1
                     if size >= SEGMENT_IDS:
                         yield flush()
         if ids:
