@@ -18,6 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -30,7 +31,7 @@ from . import common
 
 CAPACITY, END_ID = 2048, 0
 #: Search effort: nodes in all, fillings kept for a node, and the number of pieces up to which copies are placed one by one.
-NODE_LIMIT, FILLINGS, EXACT_PIECES = 20_000, 16, 64
+NODE_LIMIT, FILLINGS, EXACT_PIECES = 20_000, 8, 64
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -76,32 +77,42 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Filli
 
 
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
-    """The volume bound, and with it the bound of Martello and Toth over a few thresholds."""
-    items = sorted(((k, n) for k, n in hist.items() if n), reverse=True)
-    total = sum(k * n for k, n in items)
-    best = -(-total // capacity)
-    for alpha in {k for k, _ in items if k <= capacity // 2}:
-        big = sum(n for k, n in items if k > capacity - alpha)
-        mid = [(k, n) for k, n in items if capacity // 2 < k <= capacity - alpha]
-        count = sum(n for _, n in mid)
-        small = sum(k * n for k, n in items if alpha <= k <= capacity // 2)
-        best = max(best, big + count + max(0, -(-(small - (count * capacity - sum(k * n for k, n in mid))) // capacity)))
-    return max(best, sum(n for k, n in items if 2 * k > capacity))
+    """The larger of the volume bound and the bounds of Martello and Toth over all thresholds up to half a bin."""
+    count = np.zeros(capacity + 1, np.int64)
+    for k, n in hist.items():
+        count[k] = n
+    volume = count * np.arange(capacity + 1)
+    number, total, half = np.cumsum(count), np.cumsum(volume), capacity // 2
+    best = -(-int(total[-1]) // capacity)
+    alpha = np.arange(half + 1)
+    big = number[-1] - number[capacity - alpha]
+    mid, mid_volume = number[capacity - alpha] - number[half], total[capacity - alpha] - total[half]
+    small = total[half] - np.where(alpha > 0, total[np.maximum(alpha - 1, 0)], 0)
+    more = np.maximum(0, -(-(small - (mid * capacity - mid_volume)) // capacity))
+    return max(best, int((big + mid + more).max()))
 
 
 def fillings(hist: dict[int, int], capacity: int, limit: int = FILLINGS) -> list[Filling]:
     """Undominated fillings of a bin around the largest piece, the fullest first."""
-    sizes = sorted((k for k, n in hist.items() if n), reverse=True)
-    largest = sizes[0]
+    sizes = sorted(k for k, n in hist.items() if n)
+    largest = sizes[-1]
     found: list[tuple[int, Filling]] = []
-    budget = 40 * limit
+    budget = 12 * limit
 
-    def grow(at: int, left: int, chosen: list[tuple[int, int]]) -> None:
+    def free(k: int) -> int:
+        return hist[k] - (k == largest)
+
+    def spare(low: int, high: int, used: dict[int, int]) -> bool:
+        """A piece over low and up to high is left out."""
+        return any(free(k) > used.get(k, 0) for k in sizes[bisect_right(sizes, low) : bisect_right(sizes, high)])
+
+    def grow(below: int, left: int, chosen: list[tuple[int, int]]) -> None:
         nonlocal budget
         budget -= 1
-        while at < len(sizes) and (sizes[at] > left or not free(sizes[at])):
-            at += 1
-        if at == len(sizes):
+        at = bisect_right(sizes, min(left, below)) - 1
+        while at >= 0 and not free(sizes[at]):
+            at -= 1
+        if at < 0:
             if not dominated(chosen, left):
                 found.append((left, tuple(chosen)))
             return
@@ -109,25 +120,23 @@ def fillings(hist: dict[int, int], capacity: int, limit: int = FILLINGS) -> list
         for n in range(min(left // k, free(k)), -1, -1):
             if budget <= 0 and found:
                 return
-            grow(at + 1, left - n * k, [*chosen, (k, n)] if n else chosen)
-
-    def free(k: int) -> int:
-        return hist[k] - (k == largest)
+            grow(k - 1, left - n * k, [*chosen, (k, n)] if n else chosen)
+            if found and not found[-1][0] and len(found) >= limit:
+                return
 
     def dominated(chosen: list[tuple[int, int]], left: int) -> bool:
         """A piece left out fits in place of a smaller chosen one, or of two chosen ones that are no longer than it."""
         used = dict(chosen)
-        spare = [k for k in sizes if free(k) > used.get(k, 0)]
-        if any(k <= left for k in spare):
+        if spare(0, left, used):
             return True
-        for a, n in chosen:
-            if any(a < x <= a + left for x in spare):
+        for i, (a, n) in enumerate(chosen):
+            if spare(a, a + left, used):
                 return True
-            if any(a + b <= x <= a + b + left for b, m in chosen if (a, b) != (b, a) or n > 1 for x in spare):
+            if any(spare(a + b - 1, a + b + left, used) for b, _ in chosen[i + (n < 2) :]):
                 return True
         return False
 
-    grow(0, capacity - largest, [])
+    grow(largest, capacity - largest, [])
     found.sort(key=lambda x: x[0])
     out = []
     for _, f in found[:limit]:
@@ -145,25 +154,30 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_
     best = best_fit_decreasing(hist, capacity)
     best_bins, bound, nodes = sum(n for _, n in best), lower_bound(hist, capacity), 0
     one_by_one = sum(hist.values()) <= EXACT_PIECES
-    stack = [(dict(hist), 0, [])]
+    # each entry: what is left, bins so far, the chain of (chain, filling, copies) that led here, fillings yet to try
+    stack = [(dict(hist), 0, None, iter(fillings(hist, capacity)))] if hist else []
     while stack and best_bins > bound and nodes < node_limit:
-        rest, bins, done = stack.pop()
+        rest, bins, chain, todo = stack[-1]
+        filling = next(todo, None)
+        if filling is None:
+            stack.pop()
+            continue
         nodes += 1
-        if not rest:
+        copies = 1 if one_by_one else min(rest[k] // n for k, n in filling)
+        left = dict(rest)
+        for k, n in filling:
+            left[k] -= n * copies
+            if not left[k]:
+                del left[k]
+        bins, chain = bins + copies, (chain, filling, copies)
+        if not left:
             if bins < best_bins:
-                best, best_bins = done, bins
-            continue
-        volume = sum(k * n for k, n in rest.items())
-        if bins + -(-volume // capacity) >= best_bins or bins + lower_bound(rest, capacity) >= best_bins:
-            continue
-        for filling in reversed(fillings(rest, capacity)):  # the fullest is taken from the stack first
-            copies = 1 if one_by_one else min(rest[k] // n for k, n in filling)
-            left = dict(rest)
-            for k, n in filling:
-                left[k] -= n * copies
-                if not left[k]:
-                    del left[k]
-            stack.append((left, bins + copies, [*done, (filling, copies)]))
+                best, best_bins = [], bins
+                while chain:
+                    chain, filling, copies = chain
+                    best.append((filling, copies))
+        elif bins + lower_bound(left, capacity) < best_bins:
+            stack.append((left, bins, chain, iter(fillings(left, capacity))))
     return best
 
 
@@ -184,25 +198,27 @@ def slots(planned: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """One row for each piece, with its partition and its rank among the partition's pieces of the same length."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [])]
     schema = pa.schema(kinds)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, seen = common.encoder(vocabulary).encode, TaskContext.get().partitionId(), Counter()
+        columns, part, seen = common.encoder(vocabulary).encode_column, TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                chunk, out = batch.slice(at, common.SLICE_ROWS), [[] for _ in kinds]
-                for doc_id, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()):
-                    data = encode(text) + end
-                    for k in range(0, len(data), 4 * capacity):
-                        own = data[k : k + 4 * capacity]
-                        n = len(own) // 4
-                        row = [doc_id, k // (4 * capacity), k // 4, n, common.crc32(own), part, seen[n], *([np.frombuffer(own, "<u4").astype(np.int32)] if ids else [])]
+            doc_ids = batch.column(0).to_pylist()
+            for row, flat, edge in columns(batch.column(1)):
+                out = [[] for _ in kinds]
+                edge = edge.tolist()
+                for k in range(len(edge) - 1):
+                    data = np.append(flat[edge[k] : edge[k + 1]], end)
+                    for at in range(0, len(data), capacity):
+                        own = data[at : at + capacity]
+                        n = len(own)
+                        values = [doc_ids[row + k], at // capacity, at, n, common.crc32(own), part, seen[n], *([own.astype(np.int32)] if ids else [])]
                         seen[n] += 1
-                        for column, v in zip(out, row):
+                        for column, v in zip(out, values):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
