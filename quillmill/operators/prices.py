@@ -16,7 +16,7 @@ def normalize_label(c: Column) -> Column:
 
 
 #: Unit spellings and the unit each stands for.
-UNITS = {"kg": "kg", "kilo": "kg", "kilogramm": "kg", "g": "g", "gramm": "g", "l": "l", "liter": "l", "ml": "ml", "stk": "stk", "st": "stk", "stck": "stk", "stueck": "stk", "pcs": "stk", "karton": "karton", "kiste": "kiste", "flasche": "flasche", "fl": "flasche", "dose": "dose", "pack": "pack", "packung": "pack", "pkg": "pack"}
+UNITS = {"kilogramm": "kg", "kilo": "kg", "kg": "kg", "gramm": "g", "gr": "g", "g": "g", "stuck": "Stück", "stueck": "Stück", "stk": "Stück", "karton": "Karton", "kt": "Karton", "liter": "l", "l": "l"}
 
 
 def normalize_unit(c: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import money
+from . import money, texts, work
 
-MODULES = (money,)
+MODULES = (money, texts, work)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
