@@ -227,9 +227,14 @@ def persistence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("persisted", F.expr("has_label and has_vector and has_page"))
 
 
+def _word(pattern: str) -> str:
+    """A pattern between word ends, in words that Java and RE2 read alike."""
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_]){pattern}(?:[^\p{{L}}\p{{N}}_]|$)"
+
+
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as page stacks: turns are pages, every third is left out in some stacks."""
-    sig = segment.Signals(first_page=r"(?i)\bon\b", header=r"(?i)\bthe\b", number=r"(?i)\b(an[a-z]{2,6})\b", customer=r"(?i)\b(re[a-z]{2,6})\b", date=r"(?i)\bof\b", total=r"(?i)\bin\b", later_page=r"(?i)\bthat\b", continued=r"(?i)\bit\b", page_of=r"(?i)\b(er)\s+(er)\b")
+    sig = segment.Signals(first_page=_word("on"), header=_word("the"), number=_word("(an[a-z]{2,6})"), customer=_word("(re[a-z]{2,6})"), date=_word("of"), total=_word("in"), later_page=_word("that"), continued=_word("it"), page_of=_word(r"(er)\s+(er)"))
     pages = read(spark, sf_dir, "conversations").where("not (conv_id % 5 = 0 and turn % 3 = 1)").select("conv_id", "turn", "text")
     return segment.transitions(pages, "conv_id", "turn", "text", sig, F.length("text") < 60)
 
@@ -242,12 +247,12 @@ def boundary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.documents(_stack(spark, sf_dir), "conv_id", "turn").select("conv_id", "doc_seq", "start_page", "end_page", "ambiguous")
 
 
-_W = lambda p: f"regexp_matches(text, '(?i)(^|[^a-z0-9_]){p}([^a-z0-9_]|$)')"
+_W = lambda p: f"regexp_matches(text, '{_word(p)}')"
 _STACK = rf"""
 WITH p0 AS (SELECT conv_id, turn, trim(text) AS text, length(text) < 60 AS blank, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum, lag(length(text) < 60) OVER w AS pb, turn - lag(turn) OVER w AS step FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn % 3 = 1) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p1 AS (SELECT *, CASE WHEN NOT blank THEN 'C' WHEN alnum = 0 THEN 'S' WHEN NOT coalesce(pb, true) THEN 'B' ELSE 'S' END AS k, coalesce(max(step) OVER (PARTITION BY conv_id) > 1, false) AS has_gap FROM p0),
 p2 AS (SELECT *, sum(CASE WHEN k = 'S' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seps FROM p1),
-f AS (SELECT conv_id, turn, has_gap, seps, {_W('on')} AS f1, lower(regexp_extract(text, '(?i)\b(an[a-z]{{2,6}})\b', 1)) AS num, lower(regexp_extract(text, '(?i)\b(re[a-z]{{2,6}})\b', 1)) AS cust, {_W('the')} AS hd, {_W('of')} AS dt, {_W('in')} AS tot, {_W('that')} AS lat, {_W('it')} AS con, regexp_matches(text, '(?i)\ber\s+er\b') AS lst FROM p2 WHERE k = 'C'),
+f AS (SELECT conv_id, turn, has_gap, seps, {_W('on')} AS f1, lower(regexp_extract(text, '{_word("(an[a-z]{2,6})")}', 1)) AS num, lower(regexp_extract(text, '{_word("(re[a-z]{2,6})")}', 1)) AS cust, {_W('the')} AS hd, {_W('of')} AS dt, {_W('in')} AS tot, {_W('that')} AS lat, {_W('it')} AS con, {_W("er[[:space:]]+er")} AS lst FROM p2 WHERE k = 'C'),
 g AS (SELECT *, lag(turn) OVER w IS NOT NULL AS has, lag(num) OVER w AS pnum, lag(cust) OVER w AS pcust, lag(hd) OVER w AS phd, lag(dt) OVER w AS pdt, lag(tot) OVER w AS ptot, lag(lst) OVER w AS plst, lag(seps) OVER w AS pseps FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 s AS (SELECT *, CASE WHEN has THEN greatest(0::DOUBLE, least(1::DOUBLE, 0.2::DOUBLE + (0::DOUBLE + CASE WHEN f1 THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN num <> '' AND pnum <> '' AND num <> pnum THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN hd AND NOT phd THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN dt AND NOT pdt THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN plst THEN 0.7::DOUBLE ELSE 0 END + CASE WHEN ptot THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN seps > pseps THEN 0.5::DOUBLE ELSE 0 END)
    - (0::DOUBLE + CASE WHEN lat THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN con THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN num <> '' AND num = pnum THEN 0.7::DOUBLE ELSE 0 END + CASE WHEN cust <> '' AND cust = pcust THEN 0.4::DOUBLE ELSE 0 END))) END AS score FROM g),

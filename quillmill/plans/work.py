@@ -37,7 +37,7 @@ def _leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("user_id").alias("job_id"), "status", F.when(F.col("user_id") % 2 == 0, epoch + 600).alias("lock_expires_at"), F.when(F.col("user_id") % 3 == 0, epoch + jobs.backoff(F.col("attempt") % 10)).alias("next_retry_at"), epoch.alias("created_at"))
 
 
-_LEASES = _LATEST + ", j AS (SELECT user_id AS job_id, status, CASE WHEN user_id % 2 = 0 THEN epoch(ts)::BIGINT + 600 END AS lock_expires_at, CASE WHEN user_id % 3 = 0 THEN epoch(ts)::BIGINT + CASE WHEN attempt % 10 <= 0 THEN 30 ELSE least(30 * pow(2, attempt % 10 - 1), 1800) END END AS next_retry_at, epoch(ts)::BIGINT AS created_at FROM l)"
+_LEASES = _LATEST + ", j AS (SELECT user_id AS job_id, status, CASE WHEN user_id % 2 = 0 THEN floor(epoch(ts))::BIGINT + 600 END AS lock_expires_at, CASE WHEN user_id % 3 = 0 THEN floor(epoch(ts))::BIGINT + CASE WHEN attempt % 10 <= 0 THEN 30 ELSE least(30 * pow(2, attempt % 10 - 1), 1800) END END AS next_retry_at, floor(epoch(ts))::BIGINT AS created_at FROM l)"
 _MID = "(SELECT (max(created_at) + min(created_at)) // 2 FROM j)"
 
 
