@@ -1,7 +1,7 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  The windows of a text (WINDOW words)
-are compressed with the ordinary dictionary, and with the toxic one placed before it; what both know costs the same,
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  The windows of a text (WINDOW words,
+half overlapping) are compressed with the ordinary dictionary, and with the toxic one placed before it; what both know costs the same,
 so the gain (bytes saved) is near zero but where toxic strings occur.  A text's gains give five figures (largest,
 mean of the three largest, mean, share and count of large ones), which a logistic model turns into a score; its
 offset is calibrated so that the threshold of best F1 on the training rows is a score of THRESHOLD.
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
-WINDOW, LEVEL = 6, 6
+WINDOW, STRIDE, LEVEL = 8, 4, 9
 ORDINARY_BYTES, TOXIC_BYTES, SUPPORT = 65536, 2048, 0.01
-THRESHOLD, LARGE = 0.7, 3
+THRESHOLD, LARGE, FOLDS = 0.7, 3, 5
 _TRIM = b".,;:!?#%&*$|\"'()"
 
 
@@ -39,9 +39,10 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+def windows(text: str | None, size: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
+    """Runs of ``size`` words that start every ``stride`` words and together hold the whole text."""
     words = _words(text)
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words) - size + stride), stride)] if words else []
 
 
 def _common_words(texts: list[str], others: list[str]) -> list[bytes]:
@@ -101,15 +102,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Scorer | None:
-    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
     samples = _common_words(toxic, ordinary) if toxic and ordinary else []
     if not samples:
         return None
-    plain = _dictionary([w for t in ordinary for w in windows(t, 40)], ORDINARY_BYTES)
-    bare = Scorer(plain, _dictionary(samples * 3, TOXIC_BYTES), np.zeros(6), np.zeros(5), np.ones(5))
-    x = np.array([bare.figures(t) for t in (*toxic, *ordinary)])
-    y = np.array([1] * len(toxic) + [0] * len(ordinary))
+    return _dictionary([w for t in ordinary for w in windows(t, 40, 40)], ORDINARY_BYTES), _dictionary(samples * 3, TOXIC_BYTES)
+
+
+def _figures(texts: list[str], made: tuple[bytes, bytes]) -> list[np.ndarray]:
+    bare = Scorer(*made, np.zeros(6), np.zeros(5), np.ones(5))
+    return [bare.figures(t) for t in texts]
+
+
+def fit(toxic: list[str], ordinary: list[str], folds: int = FOLDS) -> Scorer | None:
+    """The scorer of the given texts; None where there is nothing to tell apart.
+
+    The logistic model and its threshold are fitted on figures that each text gets from dictionaries made without it
+    (cross-fitting), since a text's own words would make it look easier than a new text is.
+    """
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    made = _dictionaries(toxic, ordinary)
+    if not made:
+        return None
+    x, y = [], []
+    for k in range(folds):
+        rest = lambda texts: [t for i, t in enumerate(texts) if i % folds != k]  # noqa: B023, E731
+        own = _dictionaries(rest(toxic), rest(ordinary)) or made
+        for label, texts in ((1, toxic[k::folds]), (0, ordinary[k::folds])):
+            x += _figures(texts, own)
+            y += [label] * len(texts)
+    x, y = np.array(x), np.array(y)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic((x - mean) / scale, y)
     z = ((x - mean) / scale) @ w[:-1] + w[-1]
@@ -118,7 +140,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Scorer | None:
     best = int(np.argmax(2 * hit / (np.arange(1, len(y) + 1) + y.sum())))
     cut = (z[order[best]] + z[order[min(best + 1, len(y) - 1)]]) / 2
     w[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - cut
-    return Scorer(*bare.parts[:2], w, mean, scale)
+    return Scorer(*made, w, mean, scale)
 
 
 def held_out() -> F.Column:
