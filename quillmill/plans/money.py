@@ -137,10 +137,10 @@ def amount_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amount_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net, tax and gross of each line item, as three labelled candidates of a document."""
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    """Net, tax and gross of each order and line number, from a text with three labelled amounts for each of its rows."""
+    line = read(spark, sf_dir, "lineitem")
     doc = F.concat_ws("\n", F.concat(F.lit("Netto "), F.format_string("%.2f", "l_extendedprice")), F.concat(F.lit("MwSt 19% "), F.format_string("%.2f", F.col("l_extendedprice") * 0.19)), F.concat(F.lit("Gesamtbetrag EUR "), F.format_string("%.2f", F.col("l_extendedprice") * 1.19)))
-    found = amounts.candidates(line.select(F.col("l_orderkey").alias("doc_id"), doc.alias("text")), "doc_id", "text")
+    found = amounts.candidates(line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), doc.alias("text")), "doc_id", "text")
     return amounts.solve(found)
 
 
@@ -148,7 +148,7 @@ def extraction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
     key = ["l_orderkey", "l_linenumber"]
     want = line.select(*key, F.col("l_quantity").alias("expected_amount"))
-    got = line.where("l_orderkey % 10 <> 0").select(*key, (F.col("l_quantity") + F.when(F.col("l_partkey") % 8 == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("found_amount"))
+    got = line.where("l_returnflag <> 'A'").select(*key, (F.col("l_quantity") + F.when(F.col("l_partkey") % 8 == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("found_amount"))
     return retrieve.extraction_metrics(want, got, key)
 
 
@@ -177,7 +177,7 @@ SELECT count(*) AS documents, count(*) FILTER (route = 'FAST_LANE') AS fast_lane
     "metadata_duplicates": "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n, min(o_orderkey) AS keep_id FROM orders GROUP BY ALL HAVING count(*) > 1",
     "dominant_rate": "SELECT l_suppkey, arg_max(l_tax, (n, -l_tax)) AS dominant, max(n) AS n FROM (SELECT l_suppkey, l_tax, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey",
     "extraction_metrics": """
-WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_partkey % 8 = 0 THEN 1 ELSE 0 END AS q FROM lineitem WHERE l_orderkey % 10 <> 0),
+WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_partkey % 8 = 0 THEN 1 ELSE 0 END AS q FROM lineitem WHERE l_returnflag <> 'A'),
 j AS (SELECT g.q IS NOT NULL AS found, abs(l.l_quantity - g.q) AS err FROM lineitem l LEFT JOIN g USING (l_orderkey, l_linenumber))
 SELECT count(*) AS expected, count(*) FILTER (found) AS found, avg(CASE WHEN found THEN 1.0 ELSE 0.0 END) AS recall, avg(CASE WHEN err <= 0.02 THEN 1.0 WHEN err IS NOT NULL THEN 0.0 END) AS amount_accuracy, avg(err) AS mae, median(err) AS median_error FROM j""",
 }

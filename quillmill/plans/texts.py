@@ -233,9 +233,10 @@ def _word(pattern: str) -> str:
 
 
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as page stacks: turns are pages, every third is left out in some stacks."""
+    """Conversations as page stacks: turns are pages, and some stacks skip a page number."""
     sig = segment.Signals(first_page=_word("on"), header=_word("the"), number=_word("(an[a-z]{2,6})"), customer=_word("(re[a-z]{2,6})"), date=_word("of"), total=_word("in"), later_page=_word("that"), continued=_word("it"), page_of=_word(r"(er)\s+(er)"))
-    pages = read(spark, sf_dir, "conversations").where("not (conv_id % 5 = 0 and turn % 3 = 1)").select("conv_id", "turn", "text")
+    skip = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 2), 1).otherwise(0)
+    pages = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + skip).alias("turn"), "text")
     return segment.transitions(pages, "conv_id", "turn", "text", sig, F.length("text") < 60)
 
 
@@ -249,7 +250,7 @@ def boundary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _W = lambda p: f"regexp_matches(text, '{_word(p)}')"
 _STACK = rf"""
-WITH p0 AS (SELECT conv_id, turn, trim(text) AS text, length(text) < 60 AS blank, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum, lag(length(text) < 60) OVER w AS pb, turn - lag(turn) OVER w AS step FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn % 3 = 1) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+WITH p0 AS (SELECT conv_id, turn, trim(text) AS text, length(text) < 60 AS blank, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum, lag(length(text) < 60) OVER w AS pb, turn - lag(turn) OVER w AS step FROM (SELECT conv_id, turn + CASE WHEN conv_id % 5 = 0 AND turn >= 2 THEN 1 ELSE 0 END AS turn, text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p1 AS (SELECT *, CASE WHEN NOT blank THEN 'C' WHEN alnum = 0 THEN 'S' WHEN NOT coalesce(pb, true) THEN 'B' ELSE 'S' END AS k, coalesce(max(step) OVER (PARTITION BY conv_id) > 1, false) AS has_gap FROM p0),
 p2 AS (SELECT *, sum(CASE WHEN k = 'S' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seps FROM p1),
 f AS (SELECT conv_id, turn, has_gap, seps, {_W('on')} AS f1, lower(regexp_extract(text, '{_word("(an[a-z]{2,6})")}', 1)) AS num, lower(regexp_extract(text, '{_word("(re[a-z]{2,6})")}', 1)) AS cust, {_W('the')} AS hd, {_W('of')} AS dt, {_W('in')} AS tot, {_W('that')} AS lat, {_W('it')} AS con, {_W("er[[:space:]]+er")} AS lst FROM p2 WHERE k = 'C'),
