@@ -88,8 +88,8 @@ def identity_keys(rows: DataFrame, row_id: str, keys: dict[str, Column]) -> Data
 def resolve_entities(keys: DataFrame, rounds: int = 40) -> DataFrame:
     """(row_id, entity): rows that share a key, directly or by others, have the least row_id of them all.
 
-    Rows and keys take turns in passing on the least id known; each round halves nothing by luck, so rounds are
-    bounded and the last must change nothing.  State is checkpointed, not cached, each fourth round.
+    Rows and keys take turns in passing on the least id known, and rows jump to what their entity has learnt.  Each
+    round is checkpointed; the last must change nothing.
     """
     spark = keys.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -34,6 +34,17 @@ def duplicate_slugs(pages: DataFrame, slug: Column) -> DataFrame:
     return pages.groupBy(slug.alias("slug")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def lint(pages: DataFrame, slug: str, edges: DataFrame) -> DataFrame:
+    """check, n: pages, links, broken links, orphans and repeated slugs of a page set, by key joins and counts alone."""
+    slugs = pages.select(F.col(slug).alias("target"))
+    parts = {"pages": pages, "links": edges, "broken_links": broken(edges, slugs), "orphans": orphans(pages, slug, edges), "duplicate_slugs": duplicate_slugs(pages, F.col(slug))}
+    out = None
+    for name, rows in parts.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def top_counts(rows: DataFrame, key: str, top: int | None = None) -> DataFrame:
     """Counts by key, the most frequent first, ties by key."""
     out = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)

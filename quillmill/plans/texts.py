@@ -199,6 +199,11 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphans(p, "slug", _edges(spark, sf_dir)).select("page_id", "slug")
 
 
+def wiki_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), F.element_at(F.split("url", "/"), -1)).alias("slug"))
+    return graph.lint(p, "slug", _edges(spark, sf_dir))
+
+
 def dup_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.duplicate_slugs(read(spark, sf_dir, "part"), tx.slug(F.col("p_name")))
 
@@ -262,7 +267,7 @@ t AS (SELECT conv_id, turn, has_gap, score, coalesce(score > 0.6::DOUBLE, false)
 
 QUERIES = {f.__name__: f for f in (
     exact_duplicates, keep_first, strong_ids, redact_text, mask_ids, classify_documents, email_intent, chunk_documents, bm25_search, vector_topk, hash_embedding, retrieval_metrics, hybrid_search, supplier_containment, alias_match, contact_entities, reconcile_status,
-    link_edges, hub_rollup, broken_links, orphan_pages, dup_slugs, compaction_report, category_counts, import_dedup_stats, persistence_check, boundary_transitions, boundary_documents,
+    link_edges, hub_rollup, broken_links, orphan_pages, wiki_lint, dup_slugs, compaction_report, category_counts, import_dedup_stats, persistence_check, boundary_transitions, boundary_documents,
 )}
 
 _VEC = """
@@ -295,11 +300,20 @@ m AS (SELECT t.query_id, query_type, min(CASE WHEN list_contains(expected, r.doc
 SELECT query_type, count(*) AS queries, avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0.0 END) AS hit_at_1, avg(CASE WHEN f <= 3 THEN 1.0 ELSE 0.0 END) AS hit_at_3, avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END) AS hit_at_5, avg(coalesce(1.0::DOUBLE / f, 0)) AS mrr, avg(CASE WHEN n > dd THEN 1.0 ELSE 0.0 END) AS duplicates FROM m GROUP BY ROLLUP (query_type)""",
     "supplier_containment": _CONTAIN + "SELECT doc_id, name_id FROM c",
     "alias_match": _CONTAIN + ", m AS (SELECT *, max(length(norm)) OVER (PARTITION BY doc_id) AS top FROM c) SELECT doc_id, count(DISTINCT name_id) AS candidates, CASE WHEN count(DISTINCT name_id) = 1 THEN min(name_id) END AS entity_id FROM m WHERE length(norm) = top GROUP BY doc_id",
+    "contact_entities": """
+WITH RECURSIVE keys AS (SELECT c_custkey AS id, 'b' || c_nationkey || '|' || c_mktsegment || '|' || floor(c_acctbal / 500)::BIGINT AS k FROM customer UNION ALL SELECT c_custkey, 'p' || c_custkey // 2 FROM customer),
+adj AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keys a JOIN keys b USING (k)),
+r(id, e) AS (SELECT id, id FROM keys UNION SELECT adj.b, r.e FROM r JOIN adj ON adj.a = r.id),
+m AS (SELECT id, min(e) AS entity FROM r GROUP BY id)
+SELECT entity, count(*) AS members, max(id) AS last_member FROM m GROUP BY entity""",
     "reconcile_status": _RECONCILE,
     "link_edges": _EDGES + " SELECT page_id, target FROM e",
     "hub_rollup": _EDGES + " SELECT * FROM h",
     "broken_links": _EDGES + " SELECT page_id, target FROM e WHERE target NOT IN (SELECT target FROM h WHERE source_count >= 2)",
     "orphan_pages": _EDGES + ", p AS (SELECT page_id, '/' || list_last(string_split(url, '/')) AS slug FROM pages) SELECT page_id, slug FROM p WHERE slug NOT IN (SELECT target FROM e)",
+    "wiki_lint": _EDGES + """, p AS (SELECT page_id, '/' || list_last(string_split(url, '/')) AS slug FROM pages)
+SELECT 'pages' AS "check", count(*) AS n FROM p UNION ALL SELECT 'links', count(*) FROM e UNION ALL SELECT 'broken_links', count(*) FROM e WHERE target NOT IN (SELECT slug FROM p) UNION ALL SELECT 'orphans', count(*) FROM p WHERE slug NOT IN (SELECT target FROM e)
+UNION ALL SELECT 'duplicate_slugs', count(*) FROM (SELECT slug FROM p GROUP BY slug HAVING count(*) > 1)""",
     "dup_slugs": "SELECT slug, count(*) AS n FROM (SELECT substr(regexp_replace(regexp_replace(replace(lower(p_name), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM part) GROUP BY slug HAVING count(*) > 1",
     "compaction_report": "SELECT source, sum(c)::BIGINT AS documents, sum(c - 1)::BIGINT AS surplus FROM (SELECT source, md5(text) AS m, count(*) AS c FROM documents GROUP BY ALL) GROUP BY source",
     "category_counts": "SELECT p_type, count(*) AS n FROM part GROUP BY p_type",
