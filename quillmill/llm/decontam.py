@@ -15,8 +15,11 @@ walks the tests measure a recall of 0.95 or more at the full edit bound, and 1 f
 The benchmark is read in blocks of at most ``block_chars`` characters; each block is one pass over the documents and
 one broadcast of bounded size.
 
-Cases: null and empty texts hold nothing; items with under ``min_words`` words are compared as whole items but can't
-be sampled, so they are looked for as exact word runs; repeated rows give repeated hits; empty tables give none.
+Items with under ``MIN_WORDS`` words are too short to sample.  They are cut into one segment more than the edits that
+the bound allows; an edit spoils one segment at most, so any run within the bound holds some segment unchanged, near
+its place.  Looking up all segments therefore finds every candidate, and Myers' algorithm decides as for long items.
+
+Cases: null and empty texts hold nothing; repeated rows give repeated hits; empty tables give none.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from . import common
 MAX_EDIT = 0.2
 STEPS, STRIDE, REPEATS, SAMPLES = 12, 2, 4, 7
 MIN_WORDS = STEPS + STRIDE
+PAD = max(STEPS, MIN_WORDS)
 BLOCK_CHARS = 16 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -84,57 +88,79 @@ class Walks:
         return sig
 
 
+def run_signatures(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The runs of n words at starts, folded into one number; h is padded by PAD words."""
+    sig = np.full(len(starts), n, np.uint64)
+    for k in range(n):
+        sig = (sig ^ h[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
+        sig ^= sig >> np.uint64(29)
+    return sig
+
+
+class Lookup:
+    """Signatures of one kind, sorted, with the item and the word where each starts."""
+
+    def __init__(self, sigs: list[np.ndarray], owners: list[np.ndarray]):
+        s, o = np.concatenate(sigs), np.concatenate(owners)
+        order = np.argsort(s, kind="stable")
+        self.sigs, self.owners = s[order], o[order]
+        self.shift = np.uint64(64 - max(16, min(26, len(s).bit_length() + 6)))
+        self.there = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.there[s >> self.shift] = True
+
+    def met(self, sig: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place where it would start, start of the window) of each agreeing pair."""
+        maybe = np.nonzero(self.there[sig >> self.shift])[0]
+        lo, hi = np.searchsorted(self.sigs, sig[maybe], "left"), np.searchsorted(self.sigs, sig[maybe], "right")
+        met = hi > lo
+        lo, n, at = lo[met], (hi - lo)[met], np.repeat(starts[maybe][met], (hi - lo)[met])
+        owner = self.owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return owner >> 32, at - (owner & 0xFFFFFFFF), at
+
+
 class Index:
     """A block of benchmark items, ready to be looked up."""
 
     def __init__(self, items: list[tuple[int, str]], max_edit: float = MAX_EDIT):
         self.walks, self.items, self.max_edit = Walks(), [], max_edit
-        self.short: dict[bytes, list[int]] = {}
-        sigs: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
-        owners: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
+        # what is looked up: (repetition, 0) of walks and (-1, words) of segments
+        held: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            k = len(self.items)
+            k, m = len(self.items), len(words)
             masks: dict[bytes, int] = {}
             for i, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << i
-            self.items.append((item_id, words, masks, int(max_edit * len(words))))
-            if len(words) < MIN_WORDS:
-                self.short.setdefault(words[0], []).append(k)
-                continue
-            h = np.concatenate([hashed(words), np.zeros(STEPS, np.uint64)])
-            starts = np.arange(len(words) - STEPS + 1)
-            for r in range(REPEATS):
-                sigs[r].append(self.walks.signatures(h, starts, r))
-                owners[r].append((k << 32) + starts)
-        self.sigs, self.owners, self.maps = [], [], []
-        n = sum(len(x) for x in sigs[0]) if sigs[0] else 0
-        self.shift = np.uint64(64 - max(16, min(26, int(max(n, 1)).bit_length() + 6)))
-        for r in range(REPEATS):
-            s = np.concatenate(sigs[r]) if sigs[r] else np.zeros(0, np.uint64)
-            order = np.argsort(s, kind="stable")
-            self.sigs.append(s[order])
-            self.owners.append((np.concatenate(owners[r]) if owners[r] else np.zeros(0, np.int64))[order])
-            there = np.zeros(1 << (64 - int(self.shift)), bool)
-            there[s >> self.shift] = True
-            self.maps.append(there)
-
-    def candidates(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place in h where it would start) pairs, distinct, of the windows at starts; h is padded."""
-        items, places = [], []
-        for r in range(REPEATS):
-            sig = self.walks.signatures(h, starts, r)
-            maybe = np.nonzero(self.maps[r][sig >> self.shift])[0]
-            lo, hi = np.searchsorted(self.sigs[r], sig[maybe], "left"), np.searchsorted(self.sigs[r], sig[maybe], "right")
-            met = hi > lo
-            lo, n, at = lo[met], (hi - lo)[met], starts[maybe][met]
-            owner = self.owners[r][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            items.append(owner >> 32)
-            places.append(np.repeat(at, n) - (owner & 0xFFFFFFFF))
-        both = np.unique(np.stack([np.concatenate(items), np.concatenate(places)]), axis=1)
-        return both[0], both[1]
+            self.items.append((item_id, words, masks, int(max_edit * m)))
+            h = np.concatenate([hashed(words), np.zeros(PAD, np.uint64)])
+            if m < MIN_WORDS:
+                parts = min(m, int(max_edit * m) + 1)
+                edges = [m * i // parts for i in range(parts + 1)]
+                kinds = [((-1, b - a), np.array([a])) for a, b in zip(edges, edges[1:])]
+            else:
+                kinds = [((r, 0), np.arange(m - STEPS + 1)) for r in range(REPEATS)]
+            for kind, starts in kinds:
+                sigs, owners = held.setdefault(kind, ([], []))
+                sigs.append(self.signatures(kind, h, starts))
+                owners.append((k << 32) + starts)
+        self.lookups = {kind: Lookup(*held[kind]) for kind in sorted(held)}
+
+    def signatures(self, kind: tuple[int, int], h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return run_signatures(h, starts, kind[1]) if kind[1] else self.walks.signatures(h, starts, kind[0])
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Distinct columns of item, place in its text where it would start, and text; texts start at first in h."""
+        found, starts = [np.zeros((3, 0), np.int64)], {}
+        for kind, lookup in self.lookups.items():
+            step = 1 if kind[1] else STRIDE
+            if step not in starts:
+                starts[step] = np.concatenate([np.arange(a, a + n, step) for a, n in zip(first, sizes)])
+            items, places, at = lookup.met(self.signatures(kind, h, starts[step]), starts[step])
+            owner = np.searchsorted(first, at, "right") - 1  # a place may lie before its text, the window doesn't
+            found.append(np.stack([items, places - first[owner], owner]))
+        return np.unique(np.concatenate(found, axis=1), axis=1)
 
     def hits_of(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, distance, first word, words) of the best place of each item that it holds."""
@@ -152,20 +178,15 @@ class Index:
 
     def _hits(self, texts: list[list[bytes]]) -> list[list[tuple[int, int, int, int]]]:
         sizes = np.array([len(w) for w in texts])
-        first = np.concatenate([[0], np.cumsum(sizes + STEPS)])
+        first = np.concatenate([[0], np.cumsum(sizes + PAD)])
         h = np.zeros(first[-1], np.uint64)
         for k, w in enumerate(texts):
             h[first[k] : first[k] + len(w)] = hashed(w)
-        starts = np.concatenate([np.arange(a, a + n, STRIDE) for a, n in zip(first, sizes)] or [np.zeros(0, np.int64)])
         found: list[set[tuple[int, int]]] = [set() for _ in texts]
-        if len(starts) and len(self.sigs[0]):
-            items, places = self.candidates(h, starts)
-            # an item may seem to start before its text does; the text is that of the window, at most an item further
-            owner = np.clip(np.searchsorted(first, places, "right") - 1, 0, len(texts) - 1)
+        if sizes.any():
+            items, places, owner = self.candidates(h, first[:-1], sizes)
             for k, at, d in zip(items.tolist(), places.tolist(), owner.tolist()):
-                found[d].add((k, at - int(first[d])))
-                if d + 1 < len(texts) and at + len(self.items[k][1]) > first[d + 1]:
-                    found[d + 1].add((k, at - int(first[d + 1])))
+                found[d].add((k, at))
         return [self.verified(w, f) for w, f in zip(texts, found)]
 
     def verified(self, words: list[bytes], candidates: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -187,12 +208,6 @@ class Index:
             if d <= most:
                 got = (d, lo + max(0, end - len(own)), min(len(own), end))
                 best[k] = min(best.get(k, got), got)
-        if self.short:
-            for i, w in enumerate(words):
-                for k in self.short.get(w, ()):
-                    own = self.items[k][1]
-                    if words[i : i + len(own)] == own:
-                        best[k] = min(best.get(k, (0, i, len(own))), (0, i, len(own)))
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
 

@@ -431,6 +431,26 @@ def test_recall_of_edited_items(spark):
     assert found[0.0] == 1 and found[0.1] >= 0.97 and found[0.2] >= 0.9
 
 
+def test_short_items_against_brute_force():
+    r = random.Random(4)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(n * 10 + k, " ".join(r.choice(vocab) for _ in range(n))) for n in range(1, 14) for k in range(4)]
+    index, edited = decontam.Index(items), 0
+    for item_id, text in items * 6:
+        words = text.split()
+        for _ in range(len(words) // 5):
+            p, o = r.randrange(len(words)), r.random()
+            words[p : p + 1] = ["new"] if o < 0.4 else ["new", words[p]] if o < 0.7 else []
+        page = [r.choice(vocab) for _ in range(30)] + words + [r.choice(vocab) for _ in range(30)]
+        own = [w.encode() for w in page]
+        want = {i: x for i, t in items if (x := brute_distance(t.encode().split(), own)) <= len(t.split()) // 5}
+        assert {h[0]: h[1] for h in index.hits(" ".join(page))} == want and item_id in want
+        edited += want[item_id] > 0
+    assert edited > 100
+    # many small texts in one call keep their hits to themselves
+    assert [[h[0] for h in x] for x in index.hits_of(["", items[-1][1], "a", items[-1][1]])] == [[h[0] for h in index.hits(t)] for t in ("", items[-1][1], "a", items[-1][1])]
+
+
 def test_leaks_against_brute_force(spark, docs, odd, clashing, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(b.item_id, decontam.words_of(b.text)) for b in bench.collect()]
