@@ -5,12 +5,14 @@ its words is within ``floor(max_edit * words of the item)`` word edits of the wh
 
 The CGK walk reads a word at its position, writes it to the embedding, and moves on by a random bit that depends on
 the step and the word; equal stretches, also shifted ones, soon walk in step, so that edit distance becomes Hamming
-distance.  Each repetition has a walk of its own and samples a few coordinates of its first ``STEPS`` steps.  Windows
-start at every ``STRIDE``-th word of a text and at every word of an item, so an item copied anywhere meets a window
-in phase.  Windows whose samples agree are candidates; Myers' bit-vector algorithm over words then decides exactly.
+distance.  Each repetition has a walk of its own and samples a few coordinates of its first steps.  Windows start at
+every ``stride``-th word of a text and at every word of an item, so an item copied anywhere meets a window in phase.
+The walks are shorter than the items: at the full bound every fifth word is edited, and a walk over a whole item would
+hardly ever agree.  The shorter an item, the fewer windows it has and the shorter are its unedited runs; so each class
+of lengths in ``CLASSES`` has steps, samples, repetitions and a stride of its own.  Windows whose samples agree are candidates; Myers' bit-vector algorithm over words then decides exactly.
 
-A window agrees surely where the words under its walk are unchanged; over the windows of a passage and REPEATS
-walks the tests measure a recall of 0.95 or more at the full edit bound, and 1 for copies.
+A window agrees surely where the words under its walk are unchanged; over the windows and walks of an item the tests
+measure a recall of 0.97 or more at the full edit bound for every length, and 1 for copies.
 
 The benchmark is read in blocks of at most ``block_chars`` characters; each block is one pass over the documents and
 one broadcast of bounded size.
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_EDIT = 0.2
-STEPS, STRIDE, REPEATS, SAMPLES = 12, 2, 4, 7
-MIN_WORDS = STEPS + STRIDE
-PAD = max(STEPS, MIN_WORDS)
+MIN_WORDS = 14
+#: By the least words of an item: steps of a walk, samples of them, repetitions, words from window to window of a text.
+CLASSES = {MIN_WORDS: (8, 6, 6, 1), 24: (12, 7, 5, 2)}
+PAD = max(MIN_WORDS, *(steps for steps, *_ in CLASSES.values()))
 BLOCK_CHARS = 16 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -66,15 +69,16 @@ def hashed(words: list[bytes]) -> np.ndarray:
 
 
 class Walks:
-    """The fixed random choices: for each repetition a mixing constant and the sampled steps."""
+    """The fixed random choices of a class: for each repetition a mixing constant and the sampled steps."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, steps: int, samples: int, repeats: int, stride: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.mix = rng.integers(1, 1 << 63, REPEATS, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.taken = [set(rng.choice(STEPS, SAMPLES, replace=False).tolist()) for _ in range(REPEATS)]
+        self.steps, self.repeats, self.stride = steps, repeats, stride
+        self.mix = rng.integers(1, 1 << 63, repeats, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.taken = [set(rng.choice(steps, samples, replace=False).tolist()) for _ in range(repeats)]
 
     def signatures(self, h: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        """Samples of the embedding of the windows at starts, folded into one number; h is padded by STEPS words."""
+        """Samples of the embedding of the windows at starts, folded into one number; h is padded by PAD words."""
         bits = h * self.mix[r]
         bits ^= bits >> np.uint64(31)
         pos, sig = starts.copy(), np.full(len(starts), r + 1, np.uint64)
@@ -122,8 +126,9 @@ class Index:
     """A block of benchmark items, ready to be looked up."""
 
     def __init__(self, items: list[tuple[int, str]], max_edit: float = MAX_EDIT):
-        self.walks, self.items, self.max_edit = Walks(), [], max_edit
-        # what is looked up: (repetition, 0) of walks and (-1, words) of segments
+        self.items, self.max_edit = [], max_edit
+        self.walks = {least: Walks(*chosen) for least, chosen in CLASSES.items()}
+        # what is looked up: (least words of the class, repetition) of walks and (0, words) of segments
         held: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item_id, text in items:
             words = words_of(text)
@@ -138,9 +143,11 @@ class Index:
             if m < MIN_WORDS:
                 parts = min(m, int(max_edit * m) + 1)
                 edges = [m * i // parts for i in range(parts + 1)]
-                kinds = [((-1, b - a), np.array([a])) for a, b in zip(edges, edges[1:])]
+                kinds = [((0, b - a), np.array([a])) for a, b in zip(edges, edges[1:])]
             else:
-                kinds = [((r, 0), np.arange(m - STEPS + 1)) for r in range(REPEATS)]
+                least = max(x for x in CLASSES if x <= m)
+                starts = np.arange(m - self.walks[least].steps + 1)
+                kinds = [((least, r), starts) for r in range(self.walks[least].repeats)]
             for kind, starts in kinds:
                 sigs, owners = held.setdefault(kind, ([], []))
                 sigs.append(self.signatures(kind, h, starts))
@@ -148,13 +155,13 @@ class Index:
         self.lookups = {kind: Lookup(*held[kind]) for kind in sorted(held)}
 
     def signatures(self, kind: tuple[int, int], h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return run_signatures(h, starts, kind[1]) if kind[1] else self.walks.signatures(h, starts, kind[0])
+        return self.walks[kind[0]].signatures(h, starts, kind[1]) if kind[0] else run_signatures(h, starts, kind[1])
 
     def candidates(self, h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Distinct columns of item, place in its text where it would start, and text; texts start at first in h."""
         found, starts = [np.zeros((3, 0), np.int64)], {}
         for kind, lookup in self.lookups.items():
-            step = 1 if kind[1] else STRIDE
+            step = self.walks[kind[0]].stride if kind[0] else 1
             if step not in starts:
                 starts[step] = np.concatenate([np.arange(a, a + n, step) for a, n in zip(first, sizes)])
             items, places, at = lookup.met(self.signatures(kind, h, starts[step]), starts[step])

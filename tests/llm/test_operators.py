@@ -431,6 +431,22 @@ def test_recall_of_edited_items(spark):
     assert found[0.0] == 1 and found[0.1] >= 0.97 and found[0.2] >= 0.9
 
 
+def test_recall_at_the_full_bound_by_length():
+    r = random.Random(6)
+    vocab = [f"w{k}" for k in range(2000)]
+    for n in (14, 15, 16, 17, 19, 20, 23, 24, 25, 29, 40):
+        items = [(k, " ".join(r.choice(vocab) for _ in range(n))) for k in range(150)]
+        pages = []
+        for _, text in items:
+            words = text.split()
+            for _ in range(n // 5):
+                p, o = r.randrange(len(words)), r.random()
+                words[p : p + 1] = [r.choice(vocab)] if o < 0.4 else [r.choice(vocab), words[p]] if o < 0.7 else []
+            pages.append(" ".join([r.choice(vocab) for _ in range(r.randint(20, 40))] + words + [r.choice(vocab) for _ in range(30)]))
+        found = sum(any(h[0] == k for h in hits) for k, hits in enumerate(decontam.Index(items).hits_of(pages)))
+        assert found >= 0.97 * len(items), n
+
+
 def test_short_items_against_brute_force():
     r = random.Random(4)
     vocab = [f"w{k}" for k in range(60)]
