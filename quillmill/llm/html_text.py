@@ -2,9 +2,9 @@
 
 The builder takes tokens (tags, text, comments, raw text of script-like elements) to a tree.  It closes what a new tag
 implies (p before blocks, li, dt/dd, options, rows and cells), opens a missing row or table body, lets void elements
-be empty, ignores end tags that nothing opened, and closes everything at the end.  Not visible are script, style,
-head, template, noscript, comments and such, elements with ``hidden``, ``aria-hidden="true"``, ``display:none`` or
-``visibility:hidden``, hidden inputs, and closed ``details`` but for their summary.
+be empty, closes head at the first tag or text that cannot stand in it, ignores end tags that nothing opened, and closes everything at the end.  Not visible are script, style,
+head, template, noscript, comments and such, what svg and math only define or annotate, elements with ``hidden``,
+``display:none`` or ``visibility:hidden``, hidden inputs, and closed ``details`` but for their summary.
 
 The renderer emits all visible text: white space collapses outside ``pre`` and ``textarea``; blocks stand on lines of
 their own, paragraphs and headings apart by an empty line; list items carry ``- `` or their number, indented by
@@ -30,8 +30,11 @@ from . import common
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Not shown within svg and math.
+UNSHOWN = frozenset("annotation annotation-xml desc metadata defs clippath mask symbol marker pattern".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist noembed noframes title meta link base param source track".split())
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title meta link base param source track".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup legend dd dt li".split()) | frozenset("dd dt li".split())
@@ -84,11 +87,18 @@ class Builder:
         self.root = Node("#root")
         self.open = [self.root]
 
+    def foreign(self) -> bool:
+        return any(n.tag in ("svg", "math") for n in self.open)
+
     def text(self, s: str) -> None:
         if s:
+            if self.open[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                self.open.pop()
             self.open[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self.open.pop()
         if tag in IMPLIED:
             self._imply(*IMPLIED[tag])
         if tag in CLOSES_P:
@@ -103,12 +113,14 @@ class Builder:
             return
         if tag == "a" and any(n.tag == "a" for n in self.open):
             self.end("a")
+        if tag in UNSHOWN and self.foreign():
+            attrs = {**attrs, "hidden": ""}
         node = Node(tag, attrs)
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
             self._push(node)
-            if closed and tag in ("svg", "path"):
+            if closed and self.foreign():
                 self.open.pop()
 
     def end(self, tag: str) -> None:
@@ -165,7 +177,7 @@ def parse(page: str) -> Node:
         if m[2]:
             tag, rest = m[2].lower(), m[3]
             b.start(tag, attributes(rest), rest.endswith("/"))
-            if tag in RAW or tag in RCDATA:
+            if (tag in RAW or tag in RCDATA) and b.open[-1].tag == tag:  # not <title/> of an svg
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 inner = page[at : stop.start() if stop else n]
                 if tag in RCDATA:
@@ -181,7 +193,7 @@ def parse(page: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if node.tag in HIDDEN or "hidden" in a:
         return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
@@ -251,12 +263,20 @@ def render(root: Node) -> str:
 
 def _flat(node: Node) -> str:
     """All visible text below a node that lies too deep for layout."""
-    out, todo = [], list(reversed(node.children))
+    out, todo = [], [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif visible(x):
+        elif not visible(x):
+            continue
+        elif x.tag == "img":
+            out.append(x.attrs.get("alt", ""))
+        elif x.tag == "input":
+            out.append(x.attrs.get("value") or x.attrs.get("placeholder") or "")
+        elif x.tag == "details" and "open" not in x.attrs:
+            todo += [y for y in x.children if isinstance(y, Node) and y.tag == "summary"][:1]
+        else:
             todo += reversed(x.children)
     return " ".join(out)
 
@@ -292,6 +312,10 @@ def _element(node: Node, page: Page, depth: int, pre: bool) -> None:
         page.inline(node.attrs.get("alt", ""))
     elif tag == "input":
         page.inline(" " + (node.attrs.get("value") or node.attrs.get("placeholder") or "") + " ")
+    elif tag in ("text", "mtd"):  # labels of a diagram, cells of a formula
+        page.inline(" ")
+        _children(node, page, depth, pre)
+        page.inline(" ")
     elif tag == "table":
         page.apart(1)
         _table(node, page, depth)

@@ -380,6 +380,19 @@ def test_layout(page, text):
     assert html_text.page_text(page).strip("\n") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>t</title><p>text", "text"), ("<html><head><meta charset=x> \n words <body>b", "words\nb"), ("<head><style>s</style><script>x</script><div>a</div><body><p>b", "a\n\nb"), ("<head><title>t</title></head><body>b", "b"),
+        ("a <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></semantics></math> b", "a x=1 b"), ("<span aria-hidden=true>x²</span>", "x²"),
+        ("<svg><title/><defs><text>no</text></defs><circle/><text>one</text><text>two</text></svg> c", "one two c"), ("<svg><title>no</title><style>no</style><path d='x'/></svg>c", "c"),
+        ("<div>" * 300 + "a<img alt='pic'><input value='v'><input type=hidden value=no><details><summary>s</summary>no</details>", "a pic v s"), ("<div>" * 200 + "<img alt='edge'>", "edge"),
+    ],
+)
+def test_all_visible_text_stays(page, text):
+    assert html_text.page_text(page).strip("\n") == text
+
+
 def test_pages_of_any_kind(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = spark.createDataFrame([(1, "u", deep, "x"), (None, None, None, "x"), (2, "u", "<table>" * 300 + "t", "x"), (2, "u", "<td <p class='a", "x")], "page_id long, url string, html string, text string")
