@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field for what they don't name.
 
 The CRF tags the tokens of a line as beginning, inside or outside of a secret.  Its features are a token's identity
-and shape, those of the three tokens before and of the one after it, and features of the whole file.  It is trained
-on the driver, from lines that a seeded generator writes (TRAIN_LINES of them, a bounded sample that does not depend
-on the data), by maximum likelihood; decoding is by Viterbi.  A line in which no tag but "outside" can win under any
-transition is outside throughout; only the other lines need the dynamic programme, so the result is exactly Viterbi's.
+and shape, those of the three tokens before and of the one after it, and features of the whole file: its size and its
+shares of signs, digits and key words of code.  It is trained on the driver, from files of prose, code and settings that
+a seeded generator writes (TRAIN_LINES lines in all, a bounded sample that does not depend on the data; files of 10 to
+some 10,000 tokens), by maximum likelihood; decoding is by Viterbi.  A line in which no tag but "outside" can win under
+any transition is outside throughout; only the other lines need the dynamic programme, so the result is exactly Viterbi's.
 
 Cases: a null or empty text has no spans; overlapping spans of different kinds all stay, but a span of the CRF that
-overlaps a pattern's is dropped; repeated rows get equal results; an empty table gives an empty result.
+overlaps a pattern's is dropped; repeated rows get equal results; an empty table gives an empty result; further columns
+are not read by a scan and stay as they are in a redaction.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +54,13 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
 
 
 def _shape(token: str) -> str:
+    """The token's runs of digits, capitals, other letters and signs; of more than six runs their kinds and number."""
     out = []
-    for c in token[:64]:
+    for c in token:
         k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:6])
+    return "".join(out) if len(out) <= 6 else "".join(sorted(set(out))) + str(len(out).bit_length())
 
 
 def canonical(token: str) -> str:
@@ -80,8 +84,7 @@ def _features(token: str) -> tuple[list[str], list[str]]:
     plain = low.isalpha() and not digits
     entropy = 0.0
     if n >= 10 and not plain:
-        counts = np.unique(list(token[:256]), return_counts=True)[1]
-        entropy = -sum(c / min(n, 256) * math.log2(c / min(n, 256)) for c in counts)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(token).values())
     ascii_word = token.isascii() and any(c.isalnum() for c in token)
     mixed = (any("a" <= c <= "z" for c in token)) + any("A" <= c <= "Z" for c in token) + (digits > 0)
     key = bool(_KEY.search(low))
@@ -101,10 +104,20 @@ def _token_slots(token: str) -> list[list[int]]:
 
 
 def file_features(tokens: list[str]) -> list[int]:
-    """Slots of the file's features: how much of it is digits, symbols and key words, by its first letters of tokens."""
+    """Slots of the file's features: its size, and how many of its tokens begin with a sign, with a digit, or are key words."""
     n = max(len(tokens), 1)
-    marks = sum(1 for t in tokens if t[0] in "=:\"'{}$<>")
-    return [_slot(ROLES, f"marks={min(9, marks * 20 // n)}"), _slot(ROLES, f"size={min(6, int(math.log10(n) * 2))}")]
+    first = Counter(t[0] for t in tokens)
+    signs, digits = sum(first[c] for c in "=:\"'{}$<>"), sum(first[c] for c in "0123456789")
+    keys = sum(1 for t in tokens if t in _FILE_KEYS)
+    return [_slot(ROLES, f"{name}={_level(k, n)}") for name, k in (("signs", signs), ("digits", digits), ("keys", keys))] + [_slot(ROLES, f"size={min(8, int(math.log10(n) * 2))}")]
+
+
+def _level(k: int, n: int) -> int:
+    """0 for none, else 1 to 7 by powers of two of the share k / n: under 1 %, 2 %, 4 %, ..., 32 %, and over."""
+    return 0 if not k else 1 + min(6, max(0, int(math.log2(100 * k / n)) + 1) if 100 * k >= n else 0)
+
+
+_FILE_KEYS = frozenset("def class import return if else for while function const let var public static void true false null None self export set host port user".split())
 
 
 class Crf:
@@ -264,10 +277,32 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 7) -> list[list[tuple[str,
     return lines
 
 
+def training_files(n: int = TRAIN_LINES, seed: int = 7) -> list[tuple[list[list[tuple[str, bool]]], list[int]]]:
+    """(lines to learn from, slots of the file's features) of files that hold n such lines together.
+
+    A file of prose, code or settings is as long as real ones are; most of its lines are filling of its kind, which
+    only the file's features count, and every secret stands in some file.
+    """
+    r = random.Random(seed + 1)
+    lines = training_lines(n, seed)
+    r.shuffle(lines)
+    words = ["the", "and", "tion", "ering", "ouver", "lichen", "dela", "menteque", "onan", "thes"]
+    prose = lambda: " ".join(r.choice(words) + r.choice(words) + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(6, 30)))
+    code = lambda: r.choice(["def {0}({1}):", "    return {0} + {1}", "import {0}", "if {0} == {1}:", "    for {0} in {1}:", "const {0} = {2};", "self.{0} = {1}[{2}]", "function {0}({1}) {{"]).format(r.choice(words), r.choice(words), r.randint(0, 99))
+    settings = lambda: r.choice(["{0}: {2}", "{0} = {1}", '"{0}": "{1}",', "host={1}.local", "port: {2}", "set {0} {2}"]).format(r.choice(words), r.choice(words), r.randint(0, 9999))
+    out = []
+    while lines:
+        filling = r.choice([prose, prose, code, settings])
+        own = [lines.pop() for _ in range(min(len(lines), r.choice([1, 1, 2, 4, 8])))]
+        text = "\n".join(["".join(p for p, _ in parts) for parts in own] + [filling() for _ in range(r.choice([0, 0, 1, 4, 16, 64, 256]))])
+        out.append((own, file_features(TOKEN.findall(text))))
+    return out
+
+
 def train(n: int = TRAIN_LINES, steps: int = TRAIN_STEPS, seed: int = 7) -> Crf:
     """Maximum likelihood with a small L2 penalty, by Adam over all lines at once."""
     slots, labels = [], []
-    for parts in training_lines(n, seed):
+    for parts, file in [(parts, file) for own, file in training_files(n, seed) for parts in own]:
         text = "".join(p for p, _ in parts)
         marks, at = [], 0
         for p, s in parts:
@@ -282,7 +317,7 @@ def train(n: int = TRAIN_LINES, steps: int = TRAIN_STEPS, seed: int = 7) -> Crf:
             hit = any(a < m.end() and m.start() < b for a, b in marks)
             tags.append(0 if not hit else 2 if inside else 1)
             inside = hit
-        own, file = [_token_slots(canonical(t)) for t in tokens], file_features(tokens)
+        own = [_token_slots(canonical(t)) for t in tokens]
         rows = []
         for i in range(len(tokens)):
             row = [*own[i][0], *file]
