@@ -5,21 +5,33 @@ a packing needs to know of millions of pieces is how many there are of each leng
 ``capacity`` rows.  The driver packs the histogram:
 
 * best-fit decreasing gives the incumbent;
-* branch and bound then completes bins around the largest remaining piece.  It enumerates the undominated fillings,
-  best fit first, and prunes by waste: bins so far plus the volume bound of the rest must beat the incumbent.
-  It ends at once when the incumbent meets the bound, and otherwise after ``node_limit`` nodes, keeping the incumbent.
-
-The plan is a list of fillings with copies.  Pieces then take their places in parallel: the r-th piece of a length
-owns the r-th slot of that length.  Ranks come from counts by (partition, length), so no length meets in one task.
+* branch and bound completes bins around the largest remaining piece.  A node's children are the undominated fillings,
+  fullest first and made only when they are asked for, each with every number of copies that the pieces left allow.
+  A node is pruned by waste: its bins and the bound of what is left must beat the incumbent, and a filling may waste
+  no more than the incumbent allows.  What is left at a node, packed by best fit, is tried as an incumbent.
+* The search goes by discrepancies: first along first children, then along all paths with one step aside, with two,
+  and so on (a node's k-th child is k steps aside).  States met before with as few bins and as many steps to go are not searched again.
+
+The search ends when the incumbent meets the bound, when nothing is left to try (the plan is then optimal), or when it
+has looked at ``node_limit`` fillings and children; ``Plan`` says which, and how far from the bound it is.  It is the
+same search at every size.
+
+The plan is a list of fillings with copies: best-fit decreasing adds two of them for each length at most, a branch one
+for each child, and a filling holds no more than sqrt(2 * capacity) lengths.  So the table of slots that goes to the
+workers is bounded by capacity and node_limit, whatever the number of pieces.  Pieces take their places in parallel:
+the r-th piece of a length owns the r-th slot of that length.  Ranks come from counts by (partition, length), so no
+length meets in one task.
 
 Cases: a null or empty text is its end id alone; null doc_ids and repeated rows are packed like any others; an empty
-table gives an empty result.
+table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +42,8 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY, END_ID = 2048, 0
-#: Search effort: nodes in all, fillings kept for a node, and the number of pieces up to which copies are placed one by one.
-NODE_LIMIT, FILLINGS, EXACT_PIECES = 20_000, 8, 64
+#: Fillings and children that the search looks at before it keeps its incumbent.
+NODE_LIMIT = 50_000
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -92,92 +104,149 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     return max(best, int((big + mid + more).max()))
 
 
-def fillings(hist: dict[int, int], capacity: int, limit: int = FILLINGS) -> list[Filling]:
-    """Undominated fillings of a bin around the largest piece, the fullest first."""
+def fillings(hist: dict[int, int], capacity: int, waste: int) -> Iterator[Filling | None]:
+    """Undominated fillings of a bin around the largest piece that waste at most ``waste``, the fullest first; None for each dominated one."""
     sizes = sorted(k for k, n in hist.items() if n)
     largest = sizes[-1]
-    found: list[tuple[int, Filling]] = []
-    budget = 12 * limit
-
-    def free(k: int) -> int:
-        return hist[k] - (k == largest)
+    free = {k: hist[k] - (k == largest) for k in sizes}
+    below = [k for k in reversed(sizes) if free[k] and k <= capacity - largest]
+    # reach[i]: bit s is set if pieces of below[i:] can fill s
+    full, reach = (1 << capacity - largest + 1) - 1, [1]
+    for k in reversed(below):
+        r, left, step = reach[-1], min(free[k], (capacity - largest) // k), 1
+        while left:
+            step = min(step, left)
+            r |= r << k * step & full
+            left -= step
+            step *= 2
+        reach.append(r)
+    reach.reverse()
+
+    def fill(i: int, s: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[Filling]:
+        if not s:
+            yield chosen
+            return
+        for j in range(i, len(below)):
+            if not reach[j] >> s & 1:
+                return
+            k = below[j]
+            for n in range(min(s // k, free[k]), 0, -1):
+                if reach[j + 1] >> s - n * k & 1:
+                    yield from fill(j + 1, s - n * k, (*chosen, (k, n)))
 
     def spare(low: int, high: int, used: dict[int, int]) -> bool:
         """A piece over low and up to high is left out."""
-        return any(free(k) > used.get(k, 0) for k in sizes[bisect_right(sizes, low) : bisect_right(sizes, high)])
-
-    def grow(below: int, left: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal budget
-        budget -= 1
-        at = bisect_right(sizes, min(left, below)) - 1
-        while at >= 0 and not free(sizes[at]):
-            at -= 1
-        if at < 0:
-            if not dominated(chosen, left):
-                found.append((left, tuple(chosen)))
-            return
-        k = sizes[at]
-        for n in range(min(left // k, free(k)), -1, -1):
-            if budget <= 0 and found:
-                return
-            grow(k - 1, left - n * k, [*chosen, (k, n)] if n else chosen)
-            if found and not found[-1][0] and len(found) >= limit:
-                return
+        return any(free[k] > used.get(k, 0) for k in sizes[bisect_right(sizes, low) : bisect_right(sizes, high)])
 
-    def dominated(chosen: list[tuple[int, int]], left: int) -> bool:
-        """A piece left out fits in place of a smaller chosen one, or of two chosen ones that are no longer than it."""
+    def dominated(chosen: Filling, left: int) -> bool:
+        """A piece left out fits beside the chosen, in place of a smaller one, or of two that are no longer than it."""
         used = dict(chosen)
         if spare(0, left, used):
             return True
         for i, (a, n) in enumerate(chosen):
-            if spare(a, a + left, used):
+            if left and spare(a, a + left, used):
                 return True
             if any(spare(a + b - 1, a + b + left, used) for b, _ in chosen[i + (n < 2) :]):
                 return True
         return False
 
-    grow(largest, capacity - largest, [])
-    found.sort(key=lambda x: x[0])
-    out = []
-    for _, f in found[:limit]:
-        merged = Counter(dict(f))
-        merged[largest] += 1
-        out.append(tuple(sorted(merged.items(), reverse=True)))
-    return out or [((largest, 1),)]
-
-
-def plan(hist: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[tuple[Filling, int]]:
-    """(filling, copies) that hold all pieces of hist: {length: pieces}."""
+    for left in range(min(waste, capacity - largest) + 1):
+        if reach[0] >> capacity - largest - left & 1:
+            for chosen in fill(0, capacity - largest - left, ()):
+                if dominated(chosen, left):
+                    yield None
+                    continue
+                merged = Counter(dict(chosen))
+                merged[largest] += 1
+                yield tuple(sorted(merged.items(), reverse=True))
+
+
+def copies(most: int) -> Iterator[int]:
+    """Every number from 1 to most: most first, then the middles of what lies between, so that the range is soon covered."""
+    yield most
+    todo = deque([(0, most)])  # open ranges
+    while todo:
+        low, high = todo.popleft()
+        if high - low > 1:
+            mid = (low + high) // 2
+            yield mid
+            todo += [(low, mid), (mid, high)]
+
+
+@dataclass
+class Plan:
+    """Fillings with copies; bins of them, the bound on any packing's bins, what the search looked at, and whether it is proven to be optimal."""
+
+    fillings: list[tuple[Filling, int]]
+    bins: int
+    bound: int
+    nodes: int = 0
+    complete: bool = True
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> Plan:
+    """The packing of all pieces of hist: {length: pieces}."""
     if any(k > capacity or k <= 0 for k in hist):
         raise ValueError("a piece is longer than a bin")
     hist = {k: n for k, n in hist.items() if n}
-    best = best_fit_decreasing(hist, capacity)
-    best_bins, bound, nodes = sum(n for _, n in best), lower_bound(hist, capacity), 0
-    one_by_one = sum(hist.values()) <= EXACT_PIECES
-    # each entry: what is left, bins so far, the chain of (chain, filling, copies) that led here, fillings yet to try
-    stack = [(dict(hist), 0, None, iter(fillings(hist, capacity)))] if hist else []
-    while stack and best_bins > bound and nodes < node_limit:
-        rest, bins, chain, todo = stack[-1]
-        filling = next(todo, None)
-        if filling is None:
-            stack.pop()
-            continue
-        nodes += 1
-        copies = 1 if one_by_one else min(rest[k] // n for k, n in filling)
-        left = dict(rest)
-        for k, n in filling:
-            left[k] -= n * copies
-            if not left[k]:
-                del left[k]
-        bins, chain = bins + copies, (chain, filling, copies)
-        if not left:
-            if bins < best_bins:
-                best, best_bins = [], bins
+    found = best_fit_decreasing(hist, capacity)
+    best = Plan(found, sum(n for _, n in found), lower_bound(hist, capacity))
+    if not hist or best.bins == best.bound:
+        return best
+    met: dict[int, tuple[int, int]] = {}  # hash of what is left: bins that led there, steps to go
+
+    def children(left: dict[int, int], bins: int) -> Iterator[tuple[Filling, int] | None]:
+        waste = (best.bins - 1 - bins) * capacity - sum(k * n for k, n in left.items())
+        for filling in fillings(left, capacity, waste):
+            if filling is None:
+                yield None
+            else:
+                for c in copies(min(left[k] // n for k, n in filling)):
+                    yield filling, c
+
+    steps, more = 0, True
+    while more and best.bins > best.bound and best.nodes < node_limit:
+        more = False  # whether some path was cut off for its steps
+        # each entry: what is left, bins so far, the chain of (chain, filling, copies) that led here, steps to go, children yet to try
+        stack = [[hist, 0, None, steps, children(hist, 0)]]
+        while stack and best.bins > best.bound and best.nodes < node_limit:
+            rest, bins, chain, to_go, todo = stack[-1]
+            if to_go < 0:
+                more = True
+                stack.pop()
+                continue
+            child = next(todo, False)
+            if child is False:
+                stack.pop()
+                continue
+            best.nodes += 1
+            if child is None:
+                continue
+            stack[-1][3] -= 1
+            filling, c = child
+            left = dict(rest)
+            for k, n in filling:
+                left[k] -= n * c
+                if not left[k]:
+                    del left[k]
+            bins, chain = bins + c, (chain, filling, c)
+            if bins + lower_bound(left, capacity) >= best.bins:
+                continue
+            state = hash(frozenset(left.items()))
+            if state in met and met[state][0] <= bins and met[state][1] >= to_go:
+                continue
+            met[state] = bins, to_go
+            found = best_fit_decreasing(left, capacity)
+            if bins + sum(n for _, n in found) < best.bins:
+                best.fillings, best.bins = found, bins + sum(n for _, n in found)
                 while chain:
-                    chain, filling, copies = chain
-                    best.append((filling, copies))
-        elif bins + lower_bound(left, capacity) < best_bins:
-            stack.append((left, bins, chain, iter(fillings(left, capacity))))
+                    chain, filling, c = chain
+                    best.fillings.append((filling, c))
+                chain = stack[-1][2], *child
+            if left:
+                stack.append([left, bins, chain, to_go, children(left, bins)])
+        steps += 1
+    best.complete = best.bins == best.bound or not more and best.nodes < node_limit
     return best
 
 
@@ -231,7 +300,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     cut = common.materialize(pieces(docs, vocabulary, capacity, end_id, ids), "pieces")
     counts = common.materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    table = slots(plan(hist, capacity))
+    table = slots(plan(hist, capacity).fillings)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
