@@ -1,23 +1,30 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
+The templates are the files of ``license_texts`` beside this module, one for each name: whole licences, the headers that
+they ask to be put into files, and the short notices that people write instead of either.  They are the words of the
+licences' stewards but for the notices, which are common usage.  Other templates can be given as a parameter.
+
 Words are runs of letters, digits and ``.+-`` in lower case; shingles are five words (a template of fewer words is its
 one shingle).  A text holds a template if some window of the template's length in words has at least ``share`` of the
 template's distinct shingles.
 
-Templates are sorted into length classes whose members differ by a quarter at most.  A class's windows start at every
+Templates are sorted into length classes whose members differ by a fifth at most.  A class's windows start at every
 quarter of its length and are long enough that each possible place of its templates lies whole in one of them.  With a
 share k of w shingles in common, a window and a template have a chance of k / w of sharing a band's minimum (one
-permutation for each band); the bands are as many as bring the chance of a miss under MISS.  A template of one
-shingle is looked up itself.  Texts of a slice are laid end to end for the search and verified each by itself.
+permutation for each band); the bands are as many as bring the chance of a miss under MISS.  All classes share the
+permutations.  A template of one shingle is looked up itself.  Texts of a slice are laid end to end for the search and
+verified each by itself.
 
 Cases: null and empty texts hold nothing; each template is reported once for a text, at its best and then first place;
-repeated rows are scanned alike; an empty table gives no rows.
+repeated rows are scanned alike; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +35,12 @@ from . import common
 SHINGLE, SHARE, MISS = 5, 0.8, 1e-3
 WORD = re.compile(r"[\w.+\-]*\w")
 
-#: Well-known licence notices, as their stewards publish them.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+FOLDER = Path(__file__).parent / "license_texts"
+
+
+def templates() -> dict[str, str]:
+    """Name and text of each licence, header and notice that the scan knows."""
+    return {p.stem: p.read_text("utf-8") for p in sorted(FOLDER.glob("*.txt"))}
 
 
 class _Hashes(dict):
@@ -74,9 +74,10 @@ def shingles(text: str | None) -> np.ndarray:
 class Scanner:
     """Templates by length class, with their signatures."""
 
-    def __init__(self, templates: dict[str, str] | None = None, share: float = SHARE, miss: float = MISS):
+    def __init__(self, texts: dict[str, str] | None = None, share: float = SHARE, miss: float = MISS):
         self.share = share
-        self.templates = [(name, shingles(text)) for name, text in (templates or TEMPLATES).items()]
+        self.templates = [(name, shingles(text)) for name, text in (templates() if texts is None else texts).items()]
+        self.least = [math.ceil(share * len(np.unique(s))) for _, s in self.templates]  # shingles to be found
         order = sorted((len(s), t) for t, (_, s) in enumerate(self.templates) if len(s))
         groups: list[list[int]] = []
         for n, t in reversed(order):  # the longest of a class leads it
@@ -84,16 +85,17 @@ class Scanner:
                 groups.append([])
             groups[-1].append(t)
         rng = np.random.default_rng(17)
+        self.mixes: list[np.uint64] = []
         self.classes = []
         for own in groups:
             size = len(self.templates[own[0]][1])
             step = max(1, size // 4)
             over = -(-(size + step - 1) // step)  # steps in a window
-            need = lambda t: math.ceil(share * len(np.unique(self.templates[t][1])))  # noqa: B023, E731
-            chance = min(need(t) / (over * step + len(self.templates[t][1]) - need(t)) for t in own)
+            chance = min(self.least[t] / (over * step + len(self.templates[t][1]) - self.least[t]) for t in own)
             bands = 1 if chance >= 1 else math.ceil(math.log(miss) / math.log(1 - chance))
-            mixes = rng.integers(0, 1 << 62, bands, np.uint64) * np.uint64(2) + np.uint64(1)
-            self.classes.append((step, over, [(m, *self._table(own, m)) for m in mixes]))
+            while len(self.mixes) < bands:
+                self.mixes.append(rng.integers(0, 1 << 62, 1, np.uint64)[0] * np.uint64(2) + np.uint64(1))
+            self.classes.append((step, over, [self._table(own, m) for m in self.mixes[:bands]]))
 
     def _table(self, own: list[int], mix: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         least = np.array([_mixed(self.templates[t][1], mix).min() for t in own], np.uint64)
@@ -109,20 +111,27 @@ class Scanner:
         first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         s = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         asked: set[tuple[int, int, int, int]] = set()  # text, template, from, to
-        for step, over, tables in self.classes if len(s) else ():
-            grid = np.arange(0, len(s), step)
-            for mix, least, own in tables:
-                low = np.minimum.reduceat(_mixed(s, mix), grid) if step > 1 else _mixed(s, mix)
-                win = low.copy()
-                for k in range(1, min(over, len(low))):
-                    np.minimum(win[:-k], low[k:], out=win[:-k])
+        for band, mix in enumerate(self.mixes if len(s) else ()):
+            mixed = _mixed(s, mix)
+            for step, over, tables in self.classes:
+                if band >= len(tables):
+                    continue
+                least, own = tables[band]
+                win = low = np.minimum.reduceat(mixed, np.arange(0, len(s), step)) if step > 1 else mixed
+                if over > 1:
+                    win = low.copy()
+                    for k in range(1, min(over, len(low))):
+                        np.minimum(win[:-k], low[k:], out=win[:-k])
                 at = np.searchsorted(least, win)
                 hit = np.nonzero(least[np.minimum(at, len(least) - 1)] == win)[0]
                 for w in hit.tolist():
                     a, b = w * step, min((w + over) * step, len(s))
                     inside = range(int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b, "left")))
                     for j in range(int(at[w]), int(np.searchsorted(least, win[w], "right"))):
-                        asked.update((d, int(own[j]), max(a, int(first[d])), min(b, int(first[d + 1]))) for d in inside)
+                        for d in inside:
+                            lo, hi = max(a, int(first[d])), min(b, int(first[d + 1]))
+                            if hi - lo >= self.least[own[j]]:
+                                asked.add((d, int(own[j]), lo, hi))
         found: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
         for d, t, a, b in sorted(asked):
             got = self._contained(s[a:b], self.templates[t][1])
@@ -133,18 +142,24 @@ class Scanner:
 
     @staticmethod
     def _contained(window: np.ndarray, own: np.ndarray) -> tuple[float, int] | None:
-        """(largest share of own's distinct shingles in a run of len(own) shingles, first such run)."""
+        """(largest share of own's distinct shingles in a run of len(own) shingles, first such run that starts at one of them)."""
         want = np.unique(own)
-        there = np.isin(window, want)
-        if not there.any():
+        at = np.nonzero(np.isin(window, want))[0].tolist()
+        if not at:
             return None
-        best, at = 0.0, 0
-        n = len(own)
-        for i in np.nonzero(there)[0].tolist():  # a best run may start at a shingle that counts
-            share = len(np.unique(window[i : i + n][there[i : i + n]])) / len(want)
-            if share > best:
-                best, at = share, i
-        return best, at
+        which = np.searchsorted(want, window[at]).tolist()
+        held: Counter = Counter()
+        most, best, end = 0, 0, 0
+        for i, start in enumerate(at):
+            while end < len(at) and at[end] < start + len(own):
+                held[which[end]] += 1
+                end += 1
+            if len(held) > most:
+                most, best = len(held), start
+            held[which[i]] -= 1
+            if not held[which[i]]:
+                del held[which[i]]
+        return most / len(want), best
 
 
 def _mixed(s: np.ndarray, mix: np.uint64) -> np.ndarray:
@@ -152,12 +167,12 @@ def _mixed(s: np.ndarray, mix: np.uint64) -> np.ndarray:
     return m ^ (m >> np.uint64(29))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
+def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
     """doc_id, license, at_word, containment of each template in each document.
 
     The templates are a parameter of fixed size; their signatures go to the workers with the task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates, share))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(texts, share))
 
     def run(x):
         rows = [(d, *hit) for d, hits in zip(x["doc_id"], shared.value.scan_all(x["text"])) for hit in hits]
