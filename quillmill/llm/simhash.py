@@ -1,16 +1,20 @@
 """SimHash near-duplicates: 64-bit fingerprints linked at a small Hamming distance, found with vantage-point trees.
 
 1. Each text's fingerprint comes from the XXH64 hashes of its 3-word shingles.  Equal fingerprints become one point.
-2. The top of a vantage-point tree, fitted on a bounded sample of the points, cuts the space into shards: a node
-   sends what lies within ``mu`` of its vantage point left and the rest right.  Every point goes to its one home
-   shard as data, and as a query to each shard that the triangle bound cannot exclude (``d - r <= mu`` left,
-   ``d + r > mu`` right), so pairs across a boundary are met exactly.
+2. The top of a vantage-point tree, fitted on a sample of the points (those of lowest hash, some SAMPLE of them),
+   cuts the space into shards: a node sends what lies within ``mu`` of its vantage point left and the rest right.
+   Where more shards are wanted than the sample can fit, each shard of the top tree gets a tree of its own, fitted by
+   a task on a sample of its own points.  Every point goes to its one home shard as data, and as a query to each shard
+   that the triangle bound cannot exclude (``d - r <= mu`` left, ``d + r > mu`` right), so pairs across a boundary are
+   met exactly.
 3. Each shard answers its queries with a vantage-point tree of its own and returns, instead of pairs, a spanning
    star of what it has linked.  A shard's memory is bounded: queries come in chunks, links are merged as they come.
-4. Large-star and small-star rounds turn the stars into connected components; nothing is gathered on the driver.
+4. Large-star and small-star rounds turn the stars into connected components; nothing is gathered on the driver but
+   the samples of the top tree and the trees' nodes, one for each SHARD points.
 
 Cases: a null or empty text has fingerprint 0 and is linked like any other; a row of null doc_id has a fingerprint
-but no component; repeated doc_ids share the least component; an empty table gives an empty result.
+but no component; each of the rows that repeat a doc_id is linked by its own text, and so may have a component of its
+own; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from . import common
 
 #: Fixed by the contract.
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Points that fit the top tree, points a shard is meant to hold, data of a leaf inside a shard, links kept before they are merged.
-SAMPLE, SHARD, LEAF, LINKS = 32768, 32768, 192, 1 << 20
+#: Points that fit a tree, and of these for each leaf at least; points a shard is meant to hold, data of a leaf inside a shard, links kept before they are merged.
+SAMPLE, PER_LEAF, SHARD, LEAF, LINKS = 32768, 16, 32768, 192, 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -55,12 +59,12 @@ def _majority(digests: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
+    """doc_id, fp (the fingerprint as a signed long) and h (a hash of the text) of each row."""
 
     def run(x):
-        return {"doc_id": x["doc_id"], "fp": [v - (1 << 64) if (v := fingerprint(t)) >> 63 else v for t in x["text"]]}
+        return {"doc_id": x["doc_id"], "h": x["h"], "fp": [v - (1 << 64) if (v := fingerprint(t)) >> 63 else v for t in x["text"]]}
 
-    return common.map_rows(common.id_text(docs), "doc_id long, fp long", run)
+    return common.map_rows(common.id_text(docs).withColumn("h", F.xxhash64("text")), "doc_id long, h long, fp long", run)
 
 
 def vantage_tree(points: np.ndarray, leaves: int) -> list[tuple]:
@@ -110,6 +114,66 @@ def route(nodes: list[tuple], fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate([o[0] for o in out] or [np.zeros(0, np.int64)]), np.concatenate([o[1] for o in out] or [np.zeros(0, np.int64)])
 
 
+class Forest:
+    """A top tree and, for shards of it that are still too large, trees of their own."""
+
+    def __init__(self, top: list[tuple], below: dict[int, list[tuple]], wide: int):
+        self.top, self.below, self.wide = top, below, wide
+
+    def route(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        idx, shard = route(self.top, fps, radius)
+        if not self.below:
+            return idx, shard
+        out_i, out_s = [], []
+        for k in np.unique(shard).tolist():
+            own = idx[shard == k]
+            i, sub = route(self.below.get(k, []), fps[own], radius)
+            out_i.append(own[i])
+            out_s.append(k * self.wide + sub)
+        return (np.concatenate(out_i), np.concatenate(out_s)) if out_i else (idx, shard)
+
+
+def _sample(points: DataFrame, count: int, wanted: int) -> DataFrame:
+    """Some ``wanted`` of the points: those whose hash is under a threshold."""
+    share = min(1.0, wanted / max(count, 1))
+    return points.select("fp").where(F.expr(f"(xxhash64(fp) & 9223372036854775807) <= {int(share * ((1 << 63) - 1))}"))
+
+
+def fit_forest(points: DataFrame, count: int, shard: int = SHARD, sample: int = SAMPLE) -> tuple[Forest, int]:
+    """(forest, shards wanted) for points of which there are ``count``."""
+    leaves = -(-count // shard)
+    if leaves < 2:
+        return Forest([], {}, 1), 1
+    most = max(2, sample // PER_LEAF)
+    picked = np.array([r.fp for r in _sample(points, count, sample).toLocalIterator()], np.int64).view(np.uint64)
+    picked.sort()
+    np.random.default_rng(1).shuffle(picked)
+    top = vantage_tree(picked, min(leaves, most))
+    if leaves <= most:
+        return Forest(top, {}, 1), leaves
+    wide = -(-leaves // most)
+    shared = Forest(top, {}, 1)
+
+    def home(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            at, to = shared.route(fps, 0)
+            yield pa.RecordBatch.from_pydict({"top": to.astype(np.int32), "fp": fps[at].view(np.int64)})
+
+    def fit(t: pa.Table) -> pa.Table:
+        own = np.sort(t.column("fp").to_numpy().view(np.uint64))
+        np.random.default_rng(2).shuffle(own)
+        nodes = vantage_tree(own, wide)
+        return pa.table({"top": pa.array([t.column("top")[0].as_py()], pa.int32()), "nodes": pa.array([[[_signed(v) for v in n] for n in nodes]], pa.list_(pa.list_(pa.int64())))})
+
+    found = _sample(points, count, leaves * PER_LEAF * 2).mapInArrow(home, "top int, fp long").groupBy("top").applyInArrow(fit, "top int, nodes array<array<long>>").collect()
+    return Forest(top, {r.top: [(n[0] % (1 << 64), *n[1:]) for n in r.nodes] for r in found}, wide + 1), leaves
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 > 0 else v
+
+
 class Links:
     """Connected components over n points under links that arrive in arrays; bounded memory."""
 
@@ -177,17 +241,14 @@ def link_shard(data: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def near_links(points: DataFrame, count: int, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Edges (u, v) that join exactly the points (column fp, distinct) which links of at most RADIUS bits connect."""
-    spark = points.sparkSession
-    leaves = max(1, min(-(-count // shard), sample // 16))
-    picked = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if leaves > 1 else np.zeros(0, np.uint64)
-    nodes = vantage_tree(picked, leaves)
-    chunks = max(1, round(1.55 ** math.log2(leaves) / 8)) if leaves > 1 else 1
+    forest, leaves = fit_forest(points, count, shard, sample)
+    chunks = max(1, round(1.55 ** math.log2(leaves) / 8))
 
     def send(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            home, at = route(nodes, fps, 0)
-            asked, to = route(nodes, fps, RADIUS)
+            home, at = forest.route(fps, 0)
+            asked, to = forest.route(fps, RADIUS)
             part = ((fps[asked] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(chunks)
             yield pa.RecordBatch.from_pydict({
                 "shard": np.concatenate([np.repeat(at, chunks), to]).astype(np.int32),
@@ -229,8 +290,8 @@ def _digest(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.expr("sum(xxhash64(u, v) % 1000000007)"), F.expr("bit_xor(xxhash64(v, u))")).first())
 
 
-def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable; null where doc_id is null) of each row of docs."""
+def _classes(docs: DataFrame, shard: int) -> DataFrame:
+    """doc_id, h, fp, component_id and root (a fingerprint that names the component) of each row of docs."""
     rows = common.materialize(fingerprints(docs), "fingerprints")
     points = common.materialize(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     star = components(near_links(points.select("fp"), points.count(), shard))
@@ -238,19 +299,26 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     named = common.materialize(named, "named")
     # only roots that have other members need the second join
     wide = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_point = named.join(wide, "root").select(F.col("fp").alias("_fp"), "component_id")
+    of_point = named.join(wide, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
     joined = rows.join(common.materialize(of_point, "classes"), F.col("fp") == F.col("_fp"), "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", "h", "fp", F.when(known, F.col("component_id")).alias("component_id"), F.when(known, F.col("root")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """doc_id, fp and component_id (the least doc_id reachable; null where doc_id is null) of each row of docs."""
+    return _classes(docs, shard).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, that of the least doc_id, with all its columns; rows of null doc_id all stay.
+    """One row of each group, one of the least doc_id, with all its columns; rows of null doc_id all stay.
 
-    Only ids are joined against; of rows that repeat the kept doc_id one stays.
+    The row that stays is known by its doc_id and its text's hash, so rows of the same doc_id with other texts are not
+    taken for it; of rows equal in both one stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    rows = common.boxed(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
-    first = rows.where("_id is not null").join(kept, F.col("_id") == F.col("_keep_id"), "left_semi").dropDuplicates(["_id"])
+    kept = _classes(docs, SHARD).where("doc_id = component_id").groupBy("root").agg(F.first("doc_id").alias("_keep_id"), F.min("h").alias("_keep_h"))
+    rows = common.boxed(docs).withColumn("_id", F.col("_row.doc_id").cast("long")).withColumn("_h", F.xxhash64(F.coalesce(F.col("_row.text"), F.lit(""))))
+    first = rows.where("_id is not null").join(kept, F.expr("_id = _keep_id and _h = _keep_h"), "left_semi").dropDuplicates(["_id", "_h"])
     return first.unionByName(rows.where("_id is null")).select("_row.*")
 
 
