@@ -1,19 +1,25 @@
 """Layout-aware HTML text: a tree builder with implied tags, visibility rules, and a renderer that keeps the layout.
 
-The builder takes tokens (tags, text, comments, raw text of script-like elements) to a tree.  It closes what a new tag
-implies (p before blocks, li, dt/dd, options, rows and cells), opens a missing row or table body, lets void elements
-be empty, closes head at the first tag or text that cannot stand in it, ignores end tags that nothing opened, and closes everything at the end.  Not visible are script, style,
-head, template, noscript, comments and such, what svg and math only define or annotate, elements with ``hidden``,
-``display:none`` or ``visibility:hidden``, hidden inputs, and closed ``details`` but for their summary.
+The tokeniser reads a page once, from left to right, as the HTML standard does: tags with their attributes, comments,
+raw text of script-like elements; a tag or comment that never ends takes the rest of the page.  The builder makes a
+tree of it.  It closes what a new tag implies (p before blocks, li, dt/dd, options, rows and cells), opens a missing
+row or table body, lets void elements be empty, closes head at the first tag or text that cannot stand in it, ignores
+end tags that nothing opened, and closes everything at the end.  It knows where each tag is open, so no tag costs more
+than what it closes.
+
+Not visible are script, style, head, template, noscript, comments and such, what svg and math only define or annotate,
+elements with ``hidden`` or ``display:none``, hidden inputs, and closed ``details`` but for their summary.  Under
+``visibility:hidden`` nothing shows but what is ``visibility:visible`` again.
 
 The renderer emits all visible text: white space collapses outside ``pre`` and ``textarea``; blocks stand on lines of
 their own, paragraphs and headings apart by an empty line; list items carry ``- `` or their number, indented by
-depth; a table's cells stand in columns of equal width, with ``colspan`` and ``rowspan`` filled; images give their
-``alt``, inputs their value.
+depth; a table's cells stand in aligned columns, head first and foot last, with ``colspan`` and ``rowspan`` kept free;
+images give their ``alt``, inputs their value.  The layout stops widening, never the text: columns are aligned up to
+COLUMN characters and indentation grows up to INDENT; a table of single cells is laid out as blocks.
 
-Cases: null and empty pages give an empty text; malformed markup always gives some tree; nesting of any depth is
-walked without recursion in the builder and cut to MAX_DEPTH levels of layout in the renderer (deeper text stays, as
-plain inline text); repeated rows render alike; an empty table gives no rows.
+Cases: null and empty pages give an empty text; malformed markup always gives some tree; nesting of any depth is walked
+with a stack of its own, not by recursion; repeated rows render alike; an empty table gives no rows; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +39,14 @@ from . import common
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 #: Not shown within svg and math.
 UNSHOWN = frozenset("annotation annotation-xml desc metadata defs clippath mask symbol marker pattern".split())
 RCDATA = frozenset("title textarea".split())
 HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title meta link base param source track".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir".split())
-CLOSES_P = BLOCK - frozenset("body html option optgroup legend dd dt li".split()) | frozenset("dd dt li".split())
+CLOSES_P = BLOCK - frozenset("body html option optgroup legend".split())
 #: What an opening tag closes, up to the nearest of the named boundaries.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,13 +65,20 @@ IMPLIED = {
     "rt": ({"rt", "rp"}, {"ruby"}),
     "rp": ({"rt", "rp"}, {"ruby"}),
 }
+CELL_BOUNDS = frozenset("td th table".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot td th body html".split())
+P_BOUNDS = frozenset("td th table li button div section article".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
-MAX_DEPTH, MAX_SPAN, MAX_CELLS = 200, 100, 20_000
-
-_token = re.compile(r"<!--(.*?)(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
-_attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_style_hides = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Widest column that cells are aligned to, and deepest indentation.
+COLUMN, INDENT = 160, 80
+
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_attr = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)?))?")
+_gap = re.compile(r"[\s/]*")
+_display = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_visibility = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
+_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW | RCDATA}
 
 
 class Node:
@@ -72,46 +88,52 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
-def attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    if text.strip(" /\n\t\r\f"):
-        for m in _attr.finditer(text):
-            out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-    return out
-
-
 class Builder:
     """Tokens to a tree."""
 
     def __init__(self) -> None:
         self.root = Node("#root")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)  # for each tag the places in ``open`` of its elements
+
+    def nearest(self, tags: frozenset[str] | set[str]) -> int:
+        """The innermost open element of these tags; 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def foreign(self) -> bool:
-        return any(n.tag in ("svg", "math") for n in self.open)
+        return bool(self.at.get("svg") or self.at.get("math"))
+
+    def cut(self, i: int) -> None:
+        while len(self.open) > i:
+            self.at[self.open.pop().tag].pop()
+
+    def push(self, node: Node) -> None:
+        self.open[-1].children.append(node)
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
 
     def text(self, s: str) -> None:
         if s:
             if self.open[-1].tag == "head" and s.strip(" \t\n\r\f"):
-                self.open.pop()
+                self.cut(len(self.open) - 1)
             self.open[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if self.open[-1].tag == "head" and tag not in HEAD:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in IMPLIED:
-            self._imply(*IMPLIED[tag])
-        if tag in CLOSES_P:
-            self._close_p()
+            self.imply(*IMPLIED[tag])
+        if tag in CLOSES_P and (i := self.nearest({"p"})) > self.nearest(P_BOUNDS):
+            self.cut(i)
         if tag == "tr" and self.open[-1].tag == "table":
-            self._push(Node("tbody"))
+            self.push(Node("tbody"))
         elif tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             if self.open[-1].tag == "table":
-                self._push(Node("tbody"))
-            self._push(Node("tr"))
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+                self.push(Node("tbody"))
+            self.push(Node("tr"))
+        if tag in ("html", "body") and self.at.get(tag):
             return
-        if tag == "a" and any(n.tag == "a" for n in self.open):
+        if tag == "a" and self.at.get("a"):
             self.end("a")
         if tag in UNSHOWN and self.foreign():
             attrs = {**attrs, "hidden": ""}
@@ -119,85 +141,116 @@ class Builder:
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
-            self._push(node)
+            self.push(node)
             if closed and self.foreign():
-                self.open.pop()
+                self.cut(len(self.open) - 1)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br"))
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i].tag
-            if name == tag:
-                again = [Node(n.tag, n.attrs) for n in self.open[i + 1 :] if n.tag in FORMATTING] if tag in FORMATTING else []
-                del self.open[i:]
-                for n in again[:8]:  # misnested formatting goes on behind the end
-                    self._push(n)
-                return
-            if name in ("td", "th", "table", "#root") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                return  # an end tag doesn't reach out of its cell
-        if tag == "p":
+        i = self.nearest({tag})
+        if i and (tag in TABLE_PARTS or i > self.nearest(CELL_BOUNDS)):  # an end tag doesn't reach out of its cell
+            again = [Node(n.tag, n.attrs) for n in self.open[i + 1 :] if n.tag in FORMATTING][:8] if tag in FORMATTING else []
+            self.cut(i)
+            for n in again:  # misnested formatting goes on behind the end
+                self.push(n)
+        elif tag == "p":
             self.open[-1].children.append(Node("p"))
 
-    def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
-        self.open.append(node)
+    def imply(self, closes: set[str], until: set[str]) -> None:
+        i = self.nearest(closes)
+        if i > self.nearest(until):
+            while self.open[i - 1].tag in closes and self.open[i - 1].tag not in until:
+                i -= 1
+            self.cut(i)
 
-    def _imply(self, closes: set[str], until: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in until:
-                break
-            if self.open[i].tag in closes:
-                cut = i
-                while self.open[cut - 1].tag in closes and self.open[cut - 1].tag not in until:
-                    cut -= 1
-                del self.open[cut:]
-                return
-
-    def _close_p(self) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == "p":
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table", "li", "button", "div", "section", "article"):
-                return
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """(attributes, whether the tag closes itself, the place behind the tag or -1 where it never ends)."""
+    out: dict[str, str] = {}
+    n = len(page)
+    while True:
+        gap = _gap.match(page, at)
+        at = gap.end()
+        if at >= n:
+            return out, False, -1
+        if page[at] == ">":
+            return out, gap[0].endswith("/"), at + 1
+        m = _attr.match(page, at)
+        at = m.end()
+        if at < n and page[at] in "\"'" and page[at - 1 : at].strip(" \t\n\r\f") in ("=", "") and m[2] is m[3] is m[4] is None:
+            return out, False, -1  # a quote that is never closed
+        value = next((v for v in m.groups()[1:] if v is not None), "")
+        out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
 
 
 def parse(page: str) -> Node:
-    b, at = Builder(), 0
-    search, n = _token.search, len(page)
+    b, at, n = Builder(), 0, len(page)
     while at < n:
-        m = search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= n:
             b.text(page[at:])
             break
-        b.text(page[at : m.start()])
-        at = m.end()
-        if m[2]:
-            tag, rest = m[2].lower(), m[3]
-            b.start(tag, attributes(rest), rest.endswith("/"))
-            if (tag in RAW or tag in RCDATA) and b.open[-1].tag == tag:  # not <title/> of an svg
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+        nxt = page[lt + 1]
+        m = _name.match(page, lt + 1 + (nxt == "/"))
+        if m:
+            b.text(page[at:lt])
+            tag = m[0].lower()
+            if m.end() < n and page[m.end()] == ">":
+                attrs, closed, at = {}, False, m.end() + 1
+            else:
+                attrs, closed, at = attributes(page, m.end())
+            if at < 0:
+                break
+            if nxt == "/":
+                b.end(tag)
+                continue
+            b.start(tag, attrs, closed)
+            if tag in _ends and b.open[-1].tag == tag:  # not <title/> of an svg
+                stop = _ends[tag].search(page, at)
                 inner = page[at : stop.start() if stop else n]
                 if tag in RCDATA:
                     b.text(inner)
                 elif inner:
                     b.open[-1].children.append(inner)
-                at = stop.end() if stop else n
+                at = page.find(">", stop.end()) + 1 if stop else n
                 b.end(tag)
-        elif m[4]:
-            b.end(m[4].lower())
+                if not at:
+                    break
+        elif nxt in "!?/":
+            b.text(page[at:lt])
+            if page.startswith("<![CDATA[", lt) and b.foreign():
+                stop = page.find("]]>", lt + 9)
+                b.open[-1].children.append(page[lt + 9 : stop if stop >= 0 else n])
+                at = stop + 3 if stop >= 0 else n
+            elif page.startswith("<!--", lt):
+                if page.startswith((">", "->"), lt + 4):
+                    at = page.find(">", lt + 4) + 1
+                else:
+                    stop = page.find("-->", lt + 4)
+                    at = stop + 3 if stop >= 0 else n
+            else:
+                stop = page.find(">", lt + 2)
+                at = stop + 1 if stop >= 0 else n
+        else:  # a sign, not a tag
+            b.text(page[at : lt + 1])
+            at = lt + 1
     return b.root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a:
-        return False
-    if node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if node.tag in HIDDEN or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
-    return not ("style" in a and _style_hides.search(a["style"]))
+    shown = _display.findall(a["style"]) if "style" in a else []
+    return shown[-1].lower() != "none" if shown else "hidden" not in a
+
+
+def visible(node: Node, shown: bool) -> bool:
+    """Whether text shows in an element whose parent's text does (or doesn't)."""
+    said = _visibility.findall(node.attrs["style"]) if "style" in node.attrs else []
+    return shown if not said or said[-1].lower() == "inherit" else said[-1].lower() not in ("hidden", "collapse")
 
 
 def width(text: str) -> int:
@@ -253,185 +306,204 @@ class Page:
         self.flush()
         self.gap = max(self.gap, lines)
 
+    def deeper(self, by: int) -> str:
+        """Indents by so much more; returns what to set back."""
+        before = self.indent
+        self.indent = " " * min(INDENT, len(before) + by)
+        return before
+
+
+Steps = Iterator["Steps"]
+
+
+def run(steps: Steps) -> None:
+    """Runs a generator that yields what is to be run before it goes on; the stack is a list, so depth is free."""
+    stack = [steps]
+    while stack:
+        more = next(stack[-1], None)
+        if more is None:
+            stack.pop()
+        else:
+            stack.append(more)
+
 
 def render(root: Node) -> str:
     page = Page()
-    _children(root, page, 0, False)
+    run(_children(root.children, page, False, True))
     page.flush()
     return "\n".join(line.rstrip() for line in page.lines)
 
 
-def _flat(node: Node) -> str:
-    """All visible text below a node that lies too deep for layout."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not visible(x):
+def _children(nodes: list[Node | str], page: Page, pre: bool, shown: bool) -> Steps:
+    for x in nodes:
+        if not isinstance(x, str):
+            if displayed(x):
+                yield _element(x, page, pre, shown)
+        elif not shown:
             continue
-        elif x.tag == "img":
-            out.append(x.attrs.get("alt", ""))
-        elif x.tag == "input":
-            out.append(x.attrs.get("value") or x.attrs.get("placeholder") or "")
-        elif x.tag == "details" and "open" not in x.attrs:
-            todo += [y for y in x.children if isinstance(y, Node) and y.tag == "summary"][:1]
+        elif pre:
+            for k, line in enumerate(x.split("\n")):
+                if k:
+                    page.put("".join(page.now))
+                    page.now = []
+                if line:
+                    page.now.append(line)
         else:
-            todo += reversed(x.children)
-    return " ".join(out)
-
-
-def _children(node: Node, page: Page, depth: int, pre: bool) -> None:
-    for x in node.children:
-        if isinstance(x, str):
-            if pre:
-                for k, line in enumerate(x.split("\n")):
-                    if k:
-                        page.put("".join(page.now))
-                        page.now = []
-                    if line:
-                        page.now.append(line)
-            else:
-                page.inline(x)
-        elif visible(x):
-            _element(x, page, depth + 1, pre)
+            page.inline(x)
 
 
-def _element(node: Node, page: Page, depth: int, pre: bool) -> None:
-    tag = node.tag
-    if depth > MAX_DEPTH:
-        page.inline(_flat(node))
-    elif tag == "br":
+def _element(node: Node, page: Page, pre: bool, shown: bool) -> Steps:
+    tag, a = node.tag, node.attrs
+    shown = visible(node, shown)
+    if tag == "br":
         if page.now:
             page.flush()
-        else:
+        elif shown:
             page.put("")
     elif tag == "hr":
         page.apart(1)
     elif tag == "img":
-        page.inline(node.attrs.get("alt", ""))
+        page.inline(a.get("alt", "") if shown else "")
     elif tag == "input":
-        page.inline(" " + (node.attrs.get("value") or node.attrs.get("placeholder") or "") + " ")
+        page.inline(" " + (a.get("value") or a.get("placeholder") or "") + " " if shown else "")
     elif tag in ("text", "mtd"):  # labels of a diagram, cells of a formula
         page.inline(" ")
-        _children(node, page, depth, pre)
+        yield _children(node.children, page, pre, shown)
         page.inline(" ")
     elif tag == "table":
         page.apart(1)
-        _table(node, page, depth)
+        yield _table(node, page, shown)
         page.apart(1)
     elif tag in ("ul", "ol", "menu", "dir"):
         page.apart(0 if page.indent else 1)
-        number = int(node.attrs["start"]) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
-        before = page.indent
+        number = int(a["start"]) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", a.get("start", "")) else 1
         for x in node.children:
-            if isinstance(x, Node) and x.tag == "li" and visible(x):
+            if isinstance(x, Node) and x.tag == "li" and displayed(x):
                 page.apart(0)
                 page.mark = f"{number}. " if tag == "ol" else "- "
-                page.indent = before + " " * len(page.mark)
+                before = page.deeper(len(page.mark))
                 number += 1
-                _children(x, page, depth + 1, pre)
+                yield _children(x.children, page, pre, visible(x, shown))
                 page.flush()
-                if page.mark:
+                if page.mark and visible(x, shown):
                     page.put("")
-                page.indent = before
-            elif isinstance(x, str):
-                page.inline(x)
-            elif visible(x):
-                _element(x, page, depth + 1, pre)
+                page.mark, page.indent = "", before
+            else:
+                yield _children([x], page, pre, shown)
         page.apart(0 if page.indent else 1)
     elif tag in ("pre", "textarea"):
         page.apart(1)
-        _children(node, page, depth, True)
+        yield _children(node.children, page, True, shown)
         if page.now:
             page.put("".join(page.now))
             page.now = []
         page.apart(1)
-    elif tag == "details" and "open" not in node.attrs:
+    elif tag == "details" and "open" not in a:
         page.apart(0)
-        for x in node.children:
-            if isinstance(x, Node) and x.tag == "summary" and visible(x):
-                _element(x, page, depth + 1, pre)
-                break
+        summary = next((x for x in node.children if isinstance(x, Node) and x.tag == "summary"), None)
+        yield _children([summary] if summary else [], page, pre, shown)
         page.apart(0)
     elif tag in ("blockquote", "dd"):
         page.apart(1 if tag == "blockquote" else 0)
-        before, page.indent = page.indent, page.indent + "  "
-        _children(node, page, depth, pre)
+        before = page.deeper(2)
+        yield _children(node.children, page, pre, shown)
         page.flush()
         page.indent = before
         page.apart(1 if tag == "blockquote" else 0)
     elif tag in BLOCK:
         page.apart(1 if tag in APART else 0)
-        _children(node, page, depth, pre)
+        yield _children(node.children, page, pre, shown)
         page.apart(1 if tag in APART else 0)
     else:
-        _children(node, page, depth, pre)
+        yield _children(node.children, page, pre, shown)
 
 
-def _span(node: Node, name: str) -> int:
-    v = node.attrs.get(name, "")
-    return max(1, min(MAX_SPAN, int(v))) if v.isdecimal() and len(v) < 6 else 1
+def _span(node: Node, name: str, most: int) -> int:
+    v = node.attrs.get(name, "").strip()
+    return max(1, min(most, int(v))) if v.isascii() and v.isdecimal() and len(v) < 10 else 1
 
 
-def _table(table: Node, page: Page, depth: int) -> None:
-    rows: list[Node] = []
+def _table(table: Node, page: Page, shown: bool) -> Steps:
+    parts: dict[str, list[tuple[Node, bool]]] = {"thead": [], "tbody": [], "tfoot": []}
     for x in table.children:
-        if isinstance(x, str):
-            page.inline(x)
-        elif not visible(x):
+        if isinstance(x, str) or x.tag not in ("caption", "thead", "tbody", "tfoot", "tr"):
+            yield _children([x], page, False, shown)
+        elif not displayed(x):
             continue
         elif x.tag == "caption":
-            _children(x, page, depth, False)
+            yield _children(x.children, page, False, shown)
             page.apart(0)
-        elif x.tag in ("thead", "tbody", "tfoot"):
-            for y in x.children:
-                if isinstance(y, Node) and y.tag == "tr":
-                    rows += [y] if visible(y) else []
-                elif isinstance(y, str):
-                    page.inline(y)
-                elif visible(y):
-                    _element(y, page, depth + 1, False)
         elif x.tag == "tr":
-            rows.append(x)
+            parts["tbody"].append((x, visible(x, shown)))
         else:
-            _element(x, page, depth + 1, False)
+            for y in x.children:
+                if isinstance(y, Node) and y.tag == "tr":
+                    parts[x.tag] += [(y, visible(y, visible(x, shown)))] if displayed(y) else []
+                else:
+                    yield _children([y], page, False, visible(x, shown))
     page.flush()
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
-    for r, row in enumerate(rows):
-        cells: dict[int, list[str]] = {}
-        c = 0
-        for x in row.children:
+    rows = [([x for x in row.children if (x.strip() if isinstance(x, str) else displayed(x))], seen) for part in parts.values() for row, seen in part]
+    if all(len(row) < 2 for row, _ in rows):  # nothing to align
+        for row, seen in rows:
+            page.apart(0)
+            yield _children(row, page, False, seen)
+            page.apart(0)
+        return
+    grid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines) of each cell
+    busy: list[tuple[int, int, int]] = []  # columns from, to, and the row up to which cells of rows above reach
+    for r, (row, seen) in enumerate(rows):
+        busy = sorted(b for b in busy if b[2] > r)
+        above, cells, c, k = busy, [], 0, 0
+        for x in row:
+            while k < len(above) and above[k][0] <= c:
+                c, k = max(c, above[k][1]), k + 1
             if isinstance(x, str):
-                if x.strip():
-                    cells.setdefault(c, []).append(_space.sub(" ", x).strip())
-                continue
-            if not visible(x):
-                continue
-            while taken.get((r, c)):
-                c += 1
-            inner = Page()
-            _children(x, inner, depth + 1, False)
-            inner.flush()
-            cells.setdefault(c, []).extend(line.rstrip() for line in inner.lines)
-            across, down = _span(x, "colspan"), _span(x, "rowspan")
-            if down > 1 and len(taken) < MAX_CELLS:
-                taken.update({(r + i, c + j): True for i in range(1, down) for j in range(across)})
+                lines, across = [_space.sub(" ", x).strip()] if seen else [], 1
+            else:
+                inner = Page()
+                yield _element(x, inner, False, seen)
+                inner.flush()
+                lines, across = [line.rstrip() for line in inner.lines], _span(x, "colspan", MAX_COLSPAN)
+                if (down := _span(x, "rowspan", MAX_ROWSPAN)) > 1:
+                    busy = [*busy, (c, c + across, r + down)]
+            cells.append((c, across, lines))
             c += across
         grid.append(cells)
-    wide: dict[int, int] = {}
+    starts = _columns(grid)
     for cells in grid:
-        for c, lines in cells.items():
-            wide[c] = max(wide.get(c, 0), *(width(x) for x in lines), 0)
-    columns = sorted(wide)
+        for k in range(max((len(lines) for *_, lines in cells), default=0)):
+            line, at = [], 0
+            for c, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    gap = max(starts[c] - at, 2 if at else 0)
+                    line += [" " * gap, lines[k]]
+                    at += gap + width(lines[k])
+            page.put("".join(line))
+
+
+def _columns(grid: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+    """Where each column starts that some cell starts in: cells of one column set its width, wider ones the last of theirs."""
+    used = sorted({c for cells in grid for c, *_ in cells})
+    place = {c: k for k, c in enumerate(used)}
+    wide = [0] * len(used)
+    across = []
     for cells in grid:
-        for k in range(max((len(x) for x in cells.values()), default=0)):
-            parts = []
-            for c in columns:
-                text = cells[c][k] if c in cells and k < len(cells[c]) else ""
-                parts.append(text + " " * (wide[c] - width(text)))
-            page.put("  ".join(parts).rstrip())
+        for c, n, lines in cells:
+            most = min(COLUMN, max(map(width, lines), default=0))
+            last = place[c]
+            while last + 1 < len(used) and used[last + 1] < c + n:
+                last += 1
+            if last == place[c]:
+                wide[last] = max(wide[last], most)
+            elif most:
+                across.append((last - place[c], place[c], last, most))
+    for _, first, last, most in sorted(across):
+        wide[last] += max(0, min(COLUMN, most - sum(wide[first : last + 1]) - 2 * (last - first)))
+    out, at = {}, 0
+    for c, n in zip(used, wide):
+        out[c] = at
+        at += n + 2 if n else 0
+    return out
 
 
 def page_text(page: str | None) -> str:
