@@ -5,23 +5,30 @@ its words is within ``floor(max_edit * words of the item)`` word edits of the wh
 
 The CGK walk reads a word at its position, writes it to the embedding, and moves on by a random bit that depends on
 the step and the word; equal stretches, also shifted ones, soon walk in step, so that edit distance becomes Hamming
-distance.  Each repetition has a walk of its own and samples a few coordinates of its first steps.  Windows start at
-every ``stride``-th word of a text and at every word of an item, so an item copied anywhere meets a window in phase.
-The walks are shorter than the items: at the full bound every fifth word is edited, and a walk over a whole item would
-hardly ever agree.  The shorter an item, the fewer windows it has and the shorter are its unedited runs; so each class
-of lengths in ``CLASSES`` has steps, samples, repetitions and a stride of its own.  Windows whose samples agree are candidates; Myers' bit-vector algorithm over words then decides exactly.
+distance.  A document's windows are as long as the item and lie at every ``stride``-th word.
 
-A window agrees surely where the words under its walk are unchanged; over the windows and walks of an item the tests
-measure a recall of 0.97 or more at the full edit bound for every length, and 1 for copies.
+One walk over a whole window seldom agrees at the full bound, where every fifth word is edited, and would take dozens of
+repetitions of up to 120 steps (README has figures).  So a window's embedding is made of short walks, one from each of
+its words, and a sample takes coordinates of one of them: such walks are shared by all windows that they lie in and are
+computed once for a text.  Each repetition has walks and samples of its own.  A walk that agrees with an item's at some word
+places the item's window; that window, with room for the edits on both sides, is the candidate.  The shorter an item, the
+fewer walks it has and the shorter are its unedited runs; so each class of lengths in ``CLASSES`` has steps, samples,
+repetitions and a stride of its own, set from the recall that the tests measure at the full edit bound: 0.97 or more
+for every length, and 1 for copies.
 
-The benchmark is read in blocks of at most ``block_chars`` characters; each block is one pass over the documents and
-one broadcast of bounded size.
+Myers' bit-vector algorithm over words then decides exactly, in blocks of MASK words of the item, so that its memory
+grows with the item's words and not with their square.
+
+The benchmark is read in blocks of at most ``block_chars`` characters (or of one item); each block is one pass over the
+documents and one broadcast of bounded size.
 
 Items with under ``MIN_WORDS`` words are too short to sample.  They are cut into one segment more than the edits that
 the bound allows; an edit spoils one segment at most, so any run within the bound holds some segment unchanged, near
 its place.  Looking up all segments therefore finds every candidate, and Myers' algorithm decides as for long items.
 
-Cases: null and empty texts hold nothing; repeated rows give repeated hits; empty tables give none.
+Cases: null and empty texts hold nothing; items without a word are held by nothing; items of null or repeated item_id
+are items of their own and give hits of their own; repeated rows give repeated hits; empty tables give none; further
+columns are not read, and stay as they are in ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -37,9 +44,11 @@ from . import common
 MAX_EDIT = 0.2
 MIN_WORDS = 14
 #: By the least words of an item: steps of a walk, samples of them, repetitions, words from window to window of a text.
-CLASSES = {MIN_WORDS: (8, 6, 6, 1), 24: (12, 7, 5, 2)}
+CLASSES = {MIN_WORDS: (8, 6, 6, 1), 24: (12, 7, 5, 2), 100: (10, 7, 2, 4)}
 PAD = max(MIN_WORDS, *(steps for steps, *_ in CLASSES.values()))
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
+#: Words of a block of Myers' algorithm, and words whose masks a worker remembers.
+MASK, MASKED = 1024, 1 << 18
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -130,15 +139,13 @@ class Index:
         self.walks = {least: Walks(*chosen) for least, chosen in CLASSES.items()}
         # what is looked up: (least words of the class, repetition) of walks and (0, words) of segments
         held: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        same: dict[bytes, bytes] = {}  # one object for each distinct word
         for item_id, text in items:
-            words = words_of(text)
+            words = [same.setdefault(w, w) for w in words_of(text)]
             if not words:
                 continue
             k, m = len(self.items), len(words)
-            masks: dict[bytes, int] = {}
-            for i, w in enumerate(words):
-                masks[w] = masks.get(w, 0) | 1 << i
-            self.items.append((item_id, words, masks, int(max_edit * m)))
+            self.items.append((item_id, words, int(max_edit * m)))
             h = np.concatenate([hashed(words), np.zeros(PAD, np.uint64)])
             if m < MIN_WORDS:
                 parts = min(m, int(max_edit * m) + 1)
@@ -153,6 +160,15 @@ class Index:
                 sigs.append(self.signatures(kind, h, starts))
                 owners.append((k << 32) + starts)
         self.lookups = {kind: Lookup(*held[kind]) for kind in sorted(held)}
+        self.masks, self.masked = {}, 0
+
+    def masks_of(self, k: int) -> list[tuple[dict[bytes, int], int]]:
+        if k not in self.masks:
+            if self.masked > MASKED:
+                self.masks, self.masked = {}, 0
+            self.masks[k] = masks(self.items[k][1])
+            self.masked += len(self.items[k][1])
+        return self.masks[k]
 
     def signatures(self, kind: tuple[int, int], h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return self.walks[kind[0]].signatures(h, starts, kind[1]) if kind[0] else run_signatures(h, starts, kind[1])
@@ -201,38 +217,54 @@ class Index:
         seen: set[tuple[int, int]] = set()
         n = len(words)
         for k, at in sorted(candidates):
-            item_id, own, masks, most = self.items[k]
+            own, most = self.items[k][1:]
             # places within the bound of one another are settled by one wide look
             cell = (k, at // (most + 1))
             if cell in seen:
                 continue
             seen.add(cell)
             lo, hi = max(0, at - 2 * most - 1), min(n, at + len(own) + 2 * most + 1)
-            near = words[lo:hi]
-            if sum(map(masks.__contains__, near)) < len(own) - most:
+            near, blocks = words[lo:hi], self.masks_of(k)
+            if len(blocks) == 1 and sum(map(blocks[0][0].__contains__, near)) < len(own) - most:
                 continue  # too few of the item's words for the bound
-            d, end = closest(masks, len(own), near)
+            d, end = closest(blocks, near)
             if d <= most:
                 got = (d, lo + max(0, end - len(own)), min(len(own), end))
                 best[k] = min(best.get(k, got), got)
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
 
-def closest(masks: dict[bytes, int], m: int, words: list[bytes]) -> tuple[int, int]:
+def masks(words: list[bytes], size: int = MASK) -> list[tuple[dict[bytes, int], int]]:
+    """For each block of an item's words the places of each word as bits, and the number of places."""
+    out = []
+    for at in range(0, len(words), size):
+        held: dict[bytes, int] = {}
+        for i, w in enumerate(words[at : at + size]):
+            held[w] = held.get(w, 0) | 1 << i
+        out.append((held, min(size, len(words) - at)))
+    return out
+
+
+def closest(blocks: list[tuple[dict[bytes, int], int]], words: list[bytes]) -> tuple[int, int]:
     """(least edit distance of the whole item to any run of words, where that run ends), by Myers' bit vectors."""
-    full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, m, 0
-    for j, w in enumerate(words, 1):
-        eq = masks.get(w, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | (~(xh | pv) & full), pv & xh
-        if ph & high:
-            score += 1
-        elif mh & high:
-            score -= 1
-        ph, mh = ph << 1, mh << 1  # a run may start anywhere: nothing is added at its start
-        pv, mv = (mh | (~(xv | ph) & full)) & full, ph & xv & full
+    carry = [0] * len(words)  # how the row above a block differs from column to column; a run may start anywhere
+    for held, m in blocks:
+        full, high = (1 << m) - 1, 1 << (m - 1)
+        pv, mv = full, 0
+        for j, w in enumerate(words):
+            eq, above = held.get(w, 0), carry[j]
+            xv = eq | mv
+            if above < 0:
+                eq |= 1
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | (~(xh | pv) & full), pv & xh
+            carry[j] = 1 if ph & high else -1 if mh & high else 0
+            ph, mh = ph << 1 | (above > 0), mh << 1 | (above < 0)
+            pv, mv = (mh | (~(xv | ph) & full)) & full, ph & xv & full
+    score = best = sum(m for _, m in blocks)
+    end = 0
+    for j, step in enumerate(carry, 1):
+        score += step
         if score < best:
             best, end = score, j
     return best, end
