@@ -28,7 +28,7 @@ table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,8 +56,7 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Filli
     def put(left: int, filling: Filling, bins: int) -> None:
         if bins:
             if not room[left]:
-                open_rooms.append(left)
-                open_rooms.sort()
+                insort(open_rooms, left)
             room[left][filling] += bins
 
     def add(filling: Filling, length: int, n: int) -> Filling:
@@ -66,12 +65,13 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Filli
     for length in sorted((x for x in hist if hist[x] > 0), reverse=True):
         left = hist[length]
         while left:
-            fits = next((r for r in open_rooms if r >= length), None)
-            if fits is None:
+            at = bisect_left(open_rooms, length)
+            if at == len(open_rooms):
                 each = capacity // length
                 put(capacity - each * length, add((), length, each), left // each)
                 put(capacity - left % each * length, add((), length, left % each), 1 if left % each else 0)
                 break
+            fits = open_rooms[at]
             filling, bins = next(iter(room[fits].items()))
             each = fits // length
             full = min(bins, left // each)
@@ -81,13 +81,45 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> list[tuple[Filli
             if not room[fits][filling]:
                 del room[fits][filling]
             if not room[fits]:
-                open_rooms.remove(fits)
+                del open_rooms[at]
             put(fits - each * length, add(filling, length, each), full)
             put(fits - part * length, add(filling, length, part), extra)
             left -= full * each + part
     return [(f, n) for fillings in room.values() for f, n in fillings.items()]
 
 
+def best_fit_bins(hist: dict[int, int], capacity: int) -> int:
+    """How many bins best-fit decreasing takes; the same steps without the fillings."""
+    room: dict[int, int] = {}  # room left: bins
+    open_rooms: list[int] = []
+    total = 0
+    for length in sorted(hist, reverse=True):
+        left = hist[length]
+        while left:
+            at = bisect_left(open_rooms, length)
+            new = at == len(open_rooms)
+            fits = capacity if new else open_rooms[at]
+            each = fits // length
+            full, part = divmod(left, each)
+            if new:
+                total += full + (part > 0)
+            elif full < room[fits]:
+                room[fits] -= full + (part > 0)
+            else:
+                full, part = room[fits], 0
+                room[fits] = 0
+            if not new and not room[fits]:
+                del open_rooms[at], room[fits]
+            for less, bins in ((each, full), (part, 1 if part else 0)):
+                if bins:
+                    if fits - less * length not in room:
+                        insort(open_rooms, fits - less * length)
+                        room[fits - less * length] = 0
+                    room[fits - less * length] += bins
+            left -= full * each + part
+    return total
+
+
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
     """The larger of the volume bound and the bounds of Martello and Toth over all thresholds up to half a bin."""
     count = np.zeros(capacity + 1, np.int64)
@@ -236,9 +268,9 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_
             if state in met and met[state][0] <= bins and met[state][1] >= to_go:
                 continue
             met[state] = bins, to_go
-            found = best_fit_decreasing(left, capacity)
-            if bins + sum(n for _, n in found) < best.bins:
-                best.fillings, best.bins = found, bins + sum(n for _, n in found)
+            more_bins = best_fit_bins(left, capacity)
+            if bins + more_bins < best.bins:
+                best.fillings, best.bins = best_fit_decreasing(left, capacity), bins + more_bins
                 while chain:
                     chain, filling, c = chain
                     best.fillings.append((filling, c))

@@ -233,6 +233,14 @@ def test_fillings_against_all_subsets():
         assert sum(got[0]) == max(map(sum, all_sums))
 
 
+def test_bins_without_fillings():
+    r = random.Random(9)
+    for _ in range(500):
+        cap = r.choice([10, 37, 200])
+        hist = {r.randint(1, cap): r.randint(1, 50) for _ in range(r.randint(0, 30))}
+        assert packing.best_fit_bins(hist, cap) == sum(n for _, n in packing.best_fit_decreasing(hist, cap))
+
+
 def test_copies_are_all_there():
     for n in (1, 2, 7, 100):
         assert sorted(packing.copies(n)) == list(range(1, n + 1)) and next(packing.copies(n)) == n
