@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,9 +20,9 @@ from pyspark.sql import types as T
 #: Rows that one step inside an Arrow map works on at a time; bounds the worker's memory.
 SLICE_ROWS = 512
 #: Entries and length of an entry that a worker's word cache holds before it is emptied.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
-#: Bytes of text that the encoder works on at a time.
-GROUP_BYTES = 8 << 20
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Bytes of text that the encoder works on at a time; longer texts are cut at white space.
+GROUP_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; where that is unset, a temporary one in a local session, else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -123,24 +126,33 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class _Recent(dict):
-    """A memory of two generations: when the newer one is full it becomes the older one, so what is in use stays."""
+    """A memory of what short keys make, emptied when it is full."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self._make, self._older = make, {}
+        self._make = make
 
     def __missing__(self, key: str) -> bytes:
-        got = self._older.get(key)
-        if got is None:
-            got = self._make(key)
+        got = self._make(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
-                self._older = dict(self)
                 self.clear()
             self[key] = got
         return got
 
 
+_gap = re.compile(r"[ \n]")
+
+
+def chunks(text: str, size: int = GROUP_BYTES) -> Iterator[str]:
+    """The text in order, cut before white space where it is longer than size code points."""
+    at = 0
+    while len(text) - at > size and (gap := _gap.search(text, at + size)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 #: Fixed value: the vocabulary's splitting pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for texts without PLAIN's exceptions: what stands apart from the letters around it.
@@ -191,18 +203,26 @@ class WordEncoder:
         ends, at = np.cumsum(sizes), 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, "right")))
-            part = pc.fill_null(texts.slice(at, stop - at), "").cast(pa.large_string())
-            odd = pc.match_substring_regex(part, PLAIN).to_numpy(zero_copy_only=False) if self._simple else np.ones(len(part), bool)
-            ids, edge = self._short_way(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
-            if odd.any():
-                rows = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
-                for k in np.nonzero(odd)[0].tolist():
-                    rows[k] = np.frombuffer(self.encode(part[k].as_py()), "<u4")
-                edge = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-                ids = np.concatenate(rows)
+            if sizes[at] > GROUP_BYTES:
+                ids = np.concatenate([self._group(pa.array([c], pa.large_string()))[0] for c in chunks(texts[at].as_py())])
+                edge = np.array([0, len(ids)])
+            else:
+                ids, edge = self._group(pc.fill_null(texts.slice(at, stop - at), "").cast(pa.large_string()))
             yield at, ids, edge
             at = stop
 
+    def _group(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the rows in ids)."""
+        odd = pc.match_substring_regex(part, PLAIN).to_numpy(zero_copy_only=False) if self._simple else np.ones(len(part), bool)
+        ids, edge = self._short_way(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
+        if odd.any():
+            rows = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
+            for k in np.nonzero(odd)[0].tolist():
+                rows[k] = np.frombuffer(self.encode(part[k].as_py()), "<u4")
+            edge = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            ids = np.concatenate(rows)
+        return ids, edge
+
     def _short_way(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(part), APART, r" \1 "))
         coded = lists.flatten().dictionary_encode()

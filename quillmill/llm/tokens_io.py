@@ -14,8 +14,11 @@ over 60 bits, taken in order from the block's escapes.  Padding in a block's las
 Segments are rows of a Parquet table in the shared folder (shard, segment, n_docs, n_ids, payload): Spark's commit
 protocol covers lost executors, and any store that Spark writes to will do.  ``export`` writes them as plain files.
 
-Cases: a null or empty text has only the end id; null doc_ids come first; rows of one doc_id are ordered by text; an
-empty table gives an empty result.
+Rows are dealt to shards by ranges of (doc_id, hash of the text), so that a doc_id with many rows fills many shards; a
+sort that spills puts them in order.
+
+Cases: a null or empty text has only the end id; null doc_ids come first; rows of one doc_id are ordered by their texts'
+hashes, then texts; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +112,7 @@ def encode_segment(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     return head + b"".join(p.tobytes() for p in parts)
 
 
-def decode_segment(payload: bytes) -> tuple[list[int | None], list[np.ndarray]]:
+def decode_segment(payload: bytes | pa.Buffer) -> tuple[list[int | None], list[np.ndarray]]:
     magic, version, n_docs, n_ids, n_blocks, n_words, n_escapes = _HEAD.unpack_from(payload)
     if magic != b"QS8B" or version != 1:
         raise ValueError("not a token segment")
@@ -131,7 +134,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, p
     """Writes the ids of docs (doc_id, text) under ``path`` in ascending doc_id order and returns the segments' table."""
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = common.id_text(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ordered = common.id_text(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,18 +171,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, p
 def read_tokens(segments: DataFrame, ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document in the segments; ids on demand."""
 
-    def run(x):
-        out = {k: [] for k in ("shard", "segment", "doc_id", "local", "n_tokens", "ids_crc32", *(["ids"] if ids else []))}
-        for shard, segment, payload in zip(x["shard"], x["segment"], x["payload"]):
-            start = 0
-            for doc_id, got in zip(*decode_segment(payload)):
-                row = [shard, segment, doc_id, start, len(got), common.crc32(got.astype("<u4").tobytes()), *([got.astype(np.int64)] if ids else [])]
-                start += len(got)
-                for k, v in zip(out, row):
-                    out[k].append(v)
-        return out
-
-    rows = common.map_rows(segments.select("shard", "segment", "payload"), "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids, run)
+    kinds = [("shard", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if ids else [])]
+    schema = pa.schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a segment at a time
+                shard, segment, payload = (batch.column(c)[k] for c in range(3))
+                doc_ids, held = decode_segment(payload.as_buffer())
+                sizes = np.array([len(x) for x in held], np.int64)
+                n = len(held)
+                cols = [[shard.as_py()] * n, [segment.as_py()] * n, doc_ids, np.cumsum(sizes) - sizes, sizes, [common.crc32(x.astype("<u4").tobytes()) for x in held], *([[x.astype(np.int64) for x in held]] if ids else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    rows = segments.select("shard", "segment", "payload").mapInArrow(run, "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
     # offsets: shards by one running sum over a row each, segments within their shard
     sizes = segments.select("shard", "segment", "n_ids")
     shard = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
