@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters and what they fold to; ß, æ and œ are spelt out beforehand.
-_ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōřśšťùúûüūůýÿžźż"
-_PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooorsstuuuuuuyyzzz"
+def _folds() -> tuple[str, str]:
+    """Letters of one code point that are a base letter with marks, and their base letters, from the Unicode tables."""
+    pairs = [(chr(c), base) for c in range(0x80, 0x2C00) if len(base := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c) and base.isalnum()]
+    pairs += [("ł", "l"), ("ø", "o"), ("đ", "d")]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _forms() -> tuple[str, str]:
+    """Code points whose compatibility form (NFKC) is one other code point, and that form: wide letters, digits in circles and the like."""
+    pairs = [(chr(c), f) for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000 and len(f := unicodedata.normalize("NFKC", chr(c))) == 1 and f != chr(c)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _folds()
+_FORMS, _COMPATIBLE = _forms()
+#: Ligatures and their letters.
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ĳ": "ij", "…": "...", "™": "tm"}
 
 
 def casefold(c: Column) -> Column:
@@ -15,23 +32,44 @@ def casefold(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents, also those that stand as marks of their own."""
     spelt = F.replace(F.replace(casefold(c), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    return F.translate(spelt, _ACCENTED, _PLAIN)
+    return F.regexp_replace(F.translate(spelt, _ACCENTED, _PLAIN), r"\p{M}", "")
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility forms (wide letters, ligatures, circled digits) as plain characters, as NFKC has them."""
+    spelt = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _LIGATURES.items(), c)
+    return F.translate(spelt, _FORMS, _COMPATIBLE)
 
 
 def normalize_text(c: Column) -> Column:
-    """Case-folded words, one space apart."""
-    return F.array_join(F.regexp_extract_all(casefold(c), F.lit(r"(?U)\w+"), F.lit(0)), " ")
+    """Case-folded words of the compatible text, one space apart."""
+    return F.array_join(F.regexp_extract_all(casefold(compatible(c)), F.lit(r"(?U)\w+"), F.lit(0)), " ")
 
 
 def normalize_compact(c: Column) -> Column:
-    return F.regexp_replace(casefold(c), r"(?U)[^\p{Alnum}]", "")
+    return F.regexp_replace(casefold(compatible(c)), r"(?U)[^\p{Alnum}]", "")
 
 
 def match_key(c: Column) -> Column:
     """Letters and digits alone, without accents: for keys across spellings."""
-    return F.regexp_replace(strip_accents(c), "[^a-z0-9]", "")
+    return F.regexp_replace(strip_accents(compatible(c)), r"(?U)[^\p{Alnum}]", "")
+
+
+def safe_id(c: Column) -> Column:
+    """Letters, digits, _ and - of an id; runs of others as one _, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9_-]+", "_"), "^_+|_+$", "")
+
+
+def question_slug(c: Column, length: int = 40) -> Column:
+    """A page name from a question: each character that is no letter or digit as _, the first ones, no _ at the ends."""
+    return F.regexp_replace(F.substring(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}]", "_"), 1, length), "^_+|_+$", "")
+
+
+def flat(c: Column) -> Column:
+    """Case-folded, white space collapsed to one space."""
+    return F.regexp_replace(casefold(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
 
 
 def slug(c: Column, fallback: Column | None = None, length: int = 80) -> Column:
@@ -111,8 +149,13 @@ def query_words(c: Column, most: int = 20) -> Column:
 STOP_WORDS = ("seite", "rechnung", "datum", "betrag", "lieferant", "eur", "und", "der", "die", "das")
 
 
-def salient_context(c: Column, keywords: str, head: int = 1800, tail: int = 1800, lines: int = 80, length: int = 7000) -> Column:
-    """Head, keyword lines and tail of a text, each line once, in order."""
-    hits = F.slice(F.filter(F.split(c, "\n"), lambda x: x.rlike(f"(?iU){keywords}")), 1, lines)
-    parts = F.concat(F.split(F.substring(c, 1, head), "\n"), hits, F.split(F.right(c, F.lit(tail)), "\n"))
-    return F.substring(F.array_join(F.array_distinct(parts), "\n"), 1, length)
+def expected_decimal(c: Column) -> Column:
+    """A number of a ground-truth file: with both separators the dot groups and the comma is the point, else a comma is the point."""
+    t = F.trim(c)
+    both = t.contains(",") & t.contains(".")
+    return F.when(both, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("."))).try_cast("double")
+
+
+def page_digits(c: Column) -> Column:
+    """A page number of digits alone; null otherwise."""
+    return F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).try_cast("int"))

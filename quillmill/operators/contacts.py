@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .entities import identity_keys, resolve_entities
+from .entities import best_names, contained_names, identity_keys, resolve_entities
 
 STRONG = ("tax_id", "iban", "email", "ext_id")
 #: Names that stand for none.
@@ -88,3 +88,32 @@ def learn(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["seq", "status", "entity_id"])
 
     return rows.join(group, "seq").repartition("_group").sortWithinPartitions("_group", "seq").mapInPandas(run, "seq long, status string, entity_id string")
+
+
+#: Where a role's fields stand in a document, the first that is filled.
+FIELDS = {
+    "supplier": {"name": ("supplier",), "tax_id": ("supplier_tax_id", "tax_id"), "iban": ("supplier_iban",), "email": ("supplier_email",), "ext_id": ("supplier_ext_id",), "postal_code": ("supplier_postal_code",), "city": ("supplier_city",)},
+    "customer": {"name": ("customer", "recipient"), "tax_id": ("customer_tax_id", "tax_id"), "iban": ("customer_iban",), "email": ("customer_email",), "ext_id": ("customer_ext_id",), "postal_code": ("customer_postal_code",), "city": ("customer_city",)},
+}
+
+
+def from_documents(docs: DataFrame) -> DataFrame:
+    """Records for ``learn`` from documents (seq, document_id, validation_status, confidence, and fields of FIELDS that they have).
+
+    Only what passed validation with confidence enough is learnt from; each document gives a supplier, then a customer.
+    """
+    safe = docs.where((F.col("validation_status") == "PASSED") & (F.coalesce("confidence", F.lit(0.0)) >= MIN_CONFIDENCE))
+    out = None
+    for k, (role, fields) in enumerate(FIELDS.items()):
+        first = lambda names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in docs.columns], F.lit(None).cast("string"))
+        part = safe.select((F.col("seq") * 2 + k).alias("seq"), F.lit(role).alias("role"), "document_id", "confidence", *[first(names).alias(n) for n, names in fields.items()])
+        out = part if out is None else out.unionByName(part)
+    return out.where(~tx.normalize_text(F.coalesce("name", F.lit(""))).isin(*UNKNOWN))
+
+
+def known_names(docs: DataFrame, doc_id: str, text: str, aliases: DataFrame, entities: DataFrame, role: str) -> DataFrame:
+    """(doc_id, candidates, entity_id, name) by the longest alias of a role that a text holds as whole words; entity_id is null
+    where the longest belongs to several."""
+    names = aliases.where(F.col("role") == role).select("entity_id", "alias")
+    best = best_names(contained_names(docs, doc_id, text, names, "entity_id", "alias"))
+    return best.join(entities.select("entity_id", F.col("canonical_name").alias("name")), "entity_id", "left").select("doc_id", "candidates", "entity_id", "name")

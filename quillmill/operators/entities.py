@@ -1,7 +1,6 @@
 """Duplicates, keyed merges, entity matching and containment joins.
 
-Containment joins are never all-pairs: each name is looked up by its rarest word, an equality join, and only then
-compared as a whole.
+Containment is never a join of all pairs: the texts are read once for a block of names, see ``containment``.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.scratch import shared_dir
+from .containment import contained
 
 
 def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,11 +24,6 @@ def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def keyed_upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new replace those of existing with the same keys."""
-    return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
-
-
 def metadata_key(supplier: Column, gross: Column, day: Column) -> Column:
     return F.struct(F.lower(F.trim(supplier)).alias("supplier"), F.format_string("%.2f", gross).alias("gross"), day.cast("date").alias("day"))
 
@@ -54,23 +50,12 @@ def match_invoices(invoices: DataFrame, notes: DataFrame) -> DataFrame:
     return out.withColumn("confidence_score", score).drop("_pair", "n_contact", "n_name", "n_day", "n_gross")
 
 
-def words(c: Column) -> Column:
-    return F.array_distinct(F.split(tx.normalize_text(c), " "))
-
-
 def contained_names(docs: DataFrame, doc_id: str, text: str, names: DataFrame, name_id: str, name: str, least: int = 5) -> DataFrame:
-    """(doc_id, name_id, name) where the words of a name occur, together, in the text; names of ``least`` letters or more.
-
-    Blocking: a name is joined on its longest word (ties: the first in order); the pairs that meet are then compared
-    whole.  Work follows the texts that have the word, not texts times names.
-    """
+    """(doc_id, name_id, name, _norm) where the words of a name occur, together, in the text; names of ``least`` letters or more."""
     n = names.select(F.col(name_id).alias("name_id"), F.col(name).alias("name"), tx.normalize_text(F.col(name)).alias("_norm")).where(F.length("_norm") >= least)
-    n = n.withColumn("_word", F.element_at(F.array_sort(F.transform(F.split("_norm", " "), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"])
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.lit(" "), tx.normalize_text(F.col(text)), F.lit(" ")).alias("_body"))
-    per_word = d.select("doc_id", "_body", F.explode(F.array_distinct(F.split(F.trim("_body"), " "))).alias("_word"))
-    known = n.select("_word").distinct()
-    met = per_word.join(known, "_word", "left_semi").join(n, "_word")
-    return met.where(F.col("_body").contains(F.concat(F.lit(" "), F.col("_norm"), F.lit(" ")))).select("doc_id", "name_id", "name", "_norm")
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    n = n.withColumn("key", spaced(F.col("_norm")))
+    return contained(docs, doc_id, spaced(tx.normalize_text(F.col(text))), n).join(n, "key").select("doc_id", "name_id", "name", "_norm")
 
 
 def best_names(contained: DataFrame) -> DataFrame:
@@ -91,11 +76,7 @@ def resolve_entities(keys: DataFrame, rounds: int = 40) -> DataFrame:
     Rows and keys take turns in passing on the least id known, and rows jump to what their entity has learnt.  Each
     round is checkpointed; the last must change nothing.
     """
-    spark = keys.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmill-"))
+    shared_dir(keys.sparkSession)  # checkpoints go there
     edges = keys.distinct()
     label = edges.select("row_id", F.col("row_id").alias("entity")).distinct()
     for _ in range(rounds):
@@ -111,8 +92,11 @@ def resolve_entities(keys: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("entities did not settle")
 
 
-def reconcile(docs: DataFrame) -> DataFrame:
-    """docs (readable, strong, weak arrays of entity ids, current, role_ok) with status and reasons."""
+def reconcile(docs: DataFrame, known: bool = True) -> DataFrame:
+    """docs (readable, strong, weak arrays of entity ids, current, role_ok) with reasons, status and proposed entity.
+
+    ``known`` says whether there are entities at all; without any, documents that raise no conflict have no candidates.
+    """
     c = F.col
     one = F.size("strong") == 1
     reasons = F.array_compact(F.array(
@@ -120,8 +104,9 @@ def reconcile(docs: DataFrame) -> DataFrame:
         F.when(one & (F.size(F.array_except("weak", "strong")) > 0), "weak_disagrees"), F.when(c("current").isNotNull() & (F.size("strong") > 0) & ~F.array_contains("strong", c("current")), "current_disagrees"),
         F.when((F.size("strong") == 0) & (F.size("weak") > 1), "several_weak"),
     ))
+    single = F.when(one & (F.size("reasons") == 0), F.try_element_at("strong", F.lit(1)))
     status = (
-        F.when(~c("readable"), "SOURCE_UNREADABLE").when(F.size("reasons") > 0, "REVIEW_CONFLICT").when((F.size("strong") == 0) & (F.size("weak") == 0), "NO_CANDIDATE_ENTITIES")
-        .when(one & ~F.coalesce(F.try_element_at("strong", F.lit(1)) == c("current"), F.lit(False)), "UPDATED").otherwise("UNCHANGED")
+        F.when(~c("readable"), "SOURCE_UNREADABLE").when(F.size("reasons") > 0, "REVIEW_CONFLICT").when(F.lit(not known), "NO_CANDIDATE_ENTITIES")
+        .when(c("proposed").isNotNull() & ~F.coalesce(c("proposed") == c("current"), F.lit(False)), "UPDATED").otherwise("UNCHANGED")
     )
-    return docs.withColumn("reasons", reasons).withColumn("status", status)
+    return docs.withColumn("reasons", reasons).withColumn("proposed", single).withColumn("status", status)

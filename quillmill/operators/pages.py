@@ -1,28 +1,4 @@
-"""Texts that the engine writes: hub pages of entities, summaries, reply drafts."""
-
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from ..functions import text as tx
-
-PLACEHOLDERS = ("", "Unbekannt", "UNBEKANNT")
-
-
-def hub_pages(docs: DataFrame, updated: str) -> DataFrame:
-    """path and body of one Markdown page for each entity, from rows (entity_id, name, category, account, source, line).
-
-    Sets are built before the shuffle and sorted, so a page is the same for any order of its documents, and writing
-    it again changes nothing.
-    """
-    kept = lambda c: F.array_sort(F.collect_set(F.when(~F.col(c).isin(*PLACEHOLDERS), F.col(c))))
-    hub = docs.groupBy("entity_id").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("name"), F.array_sort(F.collect_set("name")).alias("aliases"), kept("category").alias("categories"), kept("account").alias("accounts"), F.array_sort(F.collect_set(F.struct("source", "line"))).alias("sources"))
-    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit("'")), F.lit('"'))), ", "), F.lit("]"))
-    front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("entity_id: "), "entity_id"), F.concat(F.lit("canonical_name: "), "name"), F.concat(F.lit("aliases: "), listed("aliases")), F.concat(F.lit("article_categories: "), listed("categories")), F.concat(F.lit("accounts: "), listed("accounts")), F.concat(F.lit("source_count: "), F.size("sources").cast("string")), F.lit(f"updated: {updated}"), F.lit("---"))
-    lines = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- `"), s["source"], F.lit("`: "), s["line"])), "\n")
-    return hub.select(F.concat(F.lit("contacts/"), tx.slug(F.col("name"), F.col("entity_id")), F.lit(".md")).alias("path"), F.concat(front, F.lit("\n\n# "), F.col("name"), F.lit("\n\n"), lines, F.lit("\n")).alias("body"))
-
+"""Phrases of the texts that the engine writes."""
 
 #: The opening of a reply by intent.
 OPENINGS = {
@@ -32,14 +8,3 @@ OPENINGS = {
     "MAHNUNG_ZAHLUNGSERINNERUNG": "wir prüfen den Zahlungsstand und melden uns umgehend.",
     "ALLGEMEINE_ANFRAGE": "vielen Dank für Ihre Nachricht. Wir melden uns in Kürze.",
 }
-
-
-def drafts(mails: DataFrame) -> DataFrame:
-    """mails (sender, subject, body, supplier, intent) with draft_id and draft; equal mails have equal ids."""
-    text = F.element_at(F.create_map(*[F.lit(x) for kv in OPENINGS.items() for x in kv]), F.coalesce("intent", F.lit("ALLGEMEINE_ANFRAGE")))
-    key = F.substring(F.sha2(F.concat_ws("\x1f", F.coalesce("sender", F.lit("")), F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))), 256), 1, 24)
-    return mails.withColumns({"draft_id": key, "draft": F.concat(F.lit("Guten Tag "), F.coalesce("supplier", F.lit("")), F.lit(",\n\n"), text, F.lit("\n\nMit freundlichen Grüßen"))})
-
-
-def summary(kind: Column, supplier: Column, day: Column, gross: Column, length: int = 120) -> Column:
-    return F.substring(F.format_string("%s von %s vom %s über %.2f EUR", F.coalesce(kind, F.lit("Beleg")), F.coalesce(supplier, F.lit("Unbekannt")), F.coalesce(day, F.lit("-")), F.coalesce(gross, F.lit(0.0))), 1, length)

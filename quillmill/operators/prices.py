@@ -42,9 +42,12 @@ def price_trends(obs: DataFrame, keys: list[str], price: str, order: list[str],
 
 
 def upsert_prices(existing: DataFrame, new: DataFrame, keys: list[str], document: str = "document_id") -> DataFrame:
-    """Observations of a document replace those with the same keys but keep their first recorded_at; those without a document are appended."""
+    """Observations of a document replace those with the same keys but keep their first recorded_at; those without a document are appended.
+
+    Of several new ones with the same keys the last counts, by recorded_at, then by the greatest values.
+    """
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     named = F.coalesce(F.col(document), F.lit("")) != ""
     group = Window.partitionBy(*keys)
-    kept = both.where(named).withColumn("_rn", F.row_number().over(group.orderBy(F.desc("_new")))).withColumn("recorded_at", F.min("recorded_at").over(group)).where("_rn = 1")
+    kept = both.where(named).withColumn("_rn", F.row_number().over(group.orderBy(F.desc("_new"), F.desc("recorded_at"), *[F.desc(c) for c in sorted(new.columns) if c not in (*keys, "recorded_at")]))).withColumn("recorded_at", F.min("recorded_at").over(group)).where("_rn = 1")
     return kept.drop("_rn", "_new").unionByName(both.where(~named).drop("_new"))

@@ -30,8 +30,10 @@ class Signals:
     page_of: str = r"(?iU)(?:seite|page|blatt)\s*(\d+)\s*(?:von|of|/)\s*(\d+)"
 
 
-#: Weights of the signals, base score, thresholds.
+#: Base score, thresholds, and the weights of the signals in the order in which they are added.
 BASE, BOUNDARY, AMBIGUOUS = 0.2, 0.6, 0.4
+FOR = {"first_page": 0.6, "new_number": 0.8, "new_header": 0.5, "new_date": 0.3, "after_last": 0.7, "after_total": 0.4, "separator": 0.5}
+AGAINST = {"later_page": 0.6, "continued": 0.5, "same_number": 0.7, "same_customer": 0.4}
 
 
 def page_classes(pages: DataFrame, source: str, page: str, text: str, insufficient: Column | None = None) -> DataFrame:
@@ -58,10 +60,10 @@ def transitions(pages: DataFrame, source: str, page: str, text: str, signals: Si
     rows = marked.withColumn("_f", flags).withColumn("_p", F.lag("_f").over(w))
     f, p = F.col("_f"), F.col("_p")
     both = lambda k: (f[k] != "") & (p[k] != "")
-    plus = ((f["first"], 0.6), (both("number") & (f["number"] != p["number"]), 0.8), (f["header"] & ~p["header"], 0.5), (f["date"] & ~p["date"], 0.3), (p["last"], 0.7), (p["total"], 0.4), (f["seps"] > p["seps"], 0.5))
-    minus = ((f["later"], 0.6), (f["continued"], 0.5), (both("number") & (f["number"] == p["number"]), 0.7), (both("customer") & (f["customer"] == p["customer"]), 0.4))
-    total = lambda parts: sum((F.when(c, F.lit(v)).otherwise(F.lit(0.0)) for c, v in parts), F.lit(0.0))
-    score = F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(BASE) + total(plus) - total(minus))))
+    plus = {"first_page": f["first"], "new_number": both("number") & (f["number"] != p["number"]), "new_header": f["header"] & ~p["header"], "new_date": f["date"] & ~p["date"], "after_last": p["last"], "after_total": p["total"], "separator": f["seps"] > p["seps"]}
+    minus = {"later_page": f["later"], "continued": f["continued"], "same_number": both("number") & (f["number"] == p["number"]), "same_customer": both("customer") & (f["customer"] == p["customer"])}
+    total = lambda flags, weights: sum((F.when(flags[k], F.lit(v)).otherwise(F.lit(0.0)) for k, v in weights.items()), F.lit(0.0))
+    score = F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(BASE) + total(plus, FOR) - total(minus, AGAINST))))
     out = rows.withColumn("score", score).withColumns({"is_boundary": F.coalesce(F.col("score") > BOUNDARY, F.lit(False)), "is_ambiguous": F.coalesce((F.col("score") >= AMBIGUOUS) & (F.col("score") <= BOUNDARY), F.lit(False))})
     return out.withColumn("doc_seq", F.sum(F.col("is_boundary").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_seps", "_f", "_p")
 
@@ -78,11 +80,3 @@ def documents(transition: DataFrame, source: str, page: str) -> DataFrame:
     nxt = F.lead("_start").over(Window.partitionBy(source).orderBy("doc_seq"))
     conf = F.least(F.lit(1.0), F.coalesce("_start", F.lit(0.8)) * 0.4 + F.coalesce(F.col("_end"), F.lit(0.8)) * 0.4 + F.coalesce("_inner", F.lit(0.8)) * 0.2)
     return inside.withColumn("_end", nxt).withColumn("confidence", conf).drop("_start", "_end", "_inner")
-
-
-def compare_documents(expected: DataFrame, found: DataFrame, source: str) -> DataFrame:
-    """One row for each source: expected, found and exactly equal (start_page, end_page) ranges."""
-    key = [source, "start_page", "end_page"]
-    e, f = expected.select(*key).distinct().withColumn("_e", F.lit(1)), found.select(*key).distinct().withColumn("_f", F.lit(1))
-    both = e.join(f, key, "full")
-    return both.groupBy(source).agg(F.count("_e").alias("expected"), F.count("_f").alias("found"), F.count_if(F.col("_e").isNotNull() & F.col("_f").isNotNull()).alias("exact"))

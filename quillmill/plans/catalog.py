@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import money, texts, work
+from . import archive, knowledge, money, reports, texts, work
 
-MODULES = (money, texts, work)
+MODULES = (money, texts, work, archive, knowledge, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

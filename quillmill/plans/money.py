@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import amounts, decide, entities, graph, prices, retrieve
+from ..operators import amounts, decide, entities, graph, prices
 from .base import read
 
 
@@ -144,15 +144,7 @@ def amount_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amounts.solve(found)
 
 
-def extraction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
-    key = ["l_orderkey", "l_linenumber"]
-    want = line.select(*key, F.col("l_quantity").alias("expected_amount"))
-    got = line.where("l_returnflag <> 'A'").select(*key, (F.col("l_quantity") + F.when(F.col("l_partkey") % 8 == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("found_amount"))
-    return retrieve.extraction_metrics(want, got, key)
-
-
-QUERIES = {f.__name__: f for f in (price_trends, price_trends_multi, validation_shield, route_documents, route_summary, invoice_match_status, match_discrepancies, partition_routing, metadata_duplicates, dominant_rate, amount_candidates, amount_solutions, extraction_metrics)}
+QUERIES = {f.__name__: f for f in (price_trends, price_trends_multi, validation_shield, route_documents, route_summary, invoice_match_status, match_discrepancies, partition_routing, metadata_duplicates, dominant_rate, amount_candidates, amount_solutions)}
 
 _TRENDS = """
 WITH obs AS (SELECT l_suppkey, l_partkey, l_extendedprice / l_quantity AS p, o_orderdate AS d, l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -176,8 +168,4 @@ SELECT count(*) AS documents, count(*) FILTER (route = 'FAST_LANE') AS fast_lane
     "partition_routing": _FILES,
     "metadata_duplicates": "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n, min(o_orderkey) AS keep_id FROM orders GROUP BY ALL HAVING count(*) > 1",
     "dominant_rate": "SELECT l_suppkey, arg_max(l_tax, (n, -l_tax)) AS dominant, max(n) AS n FROM (SELECT l_suppkey, l_tax, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey",
-    "extraction_metrics": """
-WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_partkey % 8 = 0 THEN 1 ELSE 0 END AS q FROM lineitem WHERE l_returnflag <> 'A'),
-j AS (SELECT g.q IS NOT NULL AS found, abs(l.l_quantity - g.q) AS err FROM lineitem l LEFT JOIN g USING (l_orderkey, l_linenumber))
-SELECT count(*) AS expected, count(*) FILTER (found) AS found, avg(CASE WHEN found THEN 1.0 ELSE 0.0 END) AS recall, avg(CASE WHEN err <= 0.02 THEN 1.0 WHEN err IS NOT NULL THEN 0.0 END) AS amount_accuracy, avg(err) AS mae, median(err) AS median_error FROM j""",
 }

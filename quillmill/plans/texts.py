@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import classify, entities, graph, retrieve, segment
+from ..operators.type_rules import MEDIUM, STRONG, WEAK
 from .base import read
 
 
@@ -34,7 +35,7 @@ def mask_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rules over the sample vocabulary; the German rules are held by literal cases.
-SAMPLE_RULES = {"Insult": ({r"\bidiot\b": "S", r"\bclown\b": "M", r"\bmoron\b": "M"}, {r"\blicense\b": "W"}), "Notice": ({r"\blicense\b": "S", r"\breleased\b": "W"}, {r"\bidiot\b": "S"}), "Prose": ({r"\bthe\b": "W", r"\band\b": "W", r"\bwith\b": "W"}, {})}
+SAMPLE_RULES = {"Insult": ({r"\bidiot\b": STRONG, r"\bclown\b": MEDIUM, r"\bmoron\b": MEDIUM}, {r"\blicense\b": WEAK}), "Notice": ({r"\blicense\b": STRONG, r"\breleased\b": WEAK}, {r"\bidiot\b": STRONG}), "Prose": ({r"\bthe\b": WEAK, r"\band\b": WEAK, r"\bwith\b": WEAK}, {})}
 
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,8 @@ SELECT doc_id, count(*) AS chunks, max(n)::INTEGER AS longest, sum(n)::BIGINT AS
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search queries: the first words of benchmark passages."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tx.query_words(F.col("text")), 1, 4).alias("words"))
+    """Search queries: benchmark passages, with as many words as a search takes."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.query_words(F.col("text")).alias("words"))
     return b.where(F.size("words") > 0)
 
 
@@ -86,23 +87,39 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-def _fold(c: str) -> str:
-    return f"translate(replace(replace(replace(lower({c}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '{tx._ACCENTED}', '{tx._PLAIN}')"
+def fold_sql(x: str) -> str:
+    """strip_accents of the sample's letters in SQL."""
+    return f"strip_accents(replace(replace(replace(lower({x}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))"
 
 
-_BM25 = rf"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex({_fold("text")}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS t FROM documents),
-s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avg FROM d),
-p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL),
-q0 AS (SELECT item_id AS query_id, list_distinct_ordered AS w FROM (SELECT item_id, list_filter(string_split_regex(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda w: length(w) >= 3 AND w NOT IN ('seite','rechnung','datum','betrag','lieferant','eur','und','der','die','das')) AS l,
-   list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]) AS list_distinct_ordered FROM benchmark)),
-q AS (SELECT query_id, unnest(w[1:4]) AS raw FROM q0),
-a AS (SELECT query_id, {_fold("raw")} AS word FROM q),
-h AS (SELECT word, doc_id, len, sum(tf) AS tf FROM (SELECT DISTINCT word FROM a) w JOIN p ON starts_with(p.term, w.word) GROUP BY ALL),
-df AS (SELECT word, count(*) AS df FROM h GROUP BY word),
-x AS (SELECT query_id, doc_id, sum(ln((s.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.avg))) AS score FROM a JOIN h USING (word) JOIN df USING (word), s GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x)
-"""
+#: A question's words as a search takes them, and all of its words, in SQL.
+_ONCE = "list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])"
+_CLEAN = r"string_split_regex(trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+')"
+_STOP = "w NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
+
+
+def words_sql(rows: str, stop: bool = True) -> str:
+    """(query_id, raw) for rows (query_id, query)."""
+    keep = f"length(w) >= 3 AND {_STOP}" if stop else "w <> ''"
+    return f"SELECT query_id, unnest({_ONCE + ('[1:20]' if stop else '')}) AS raw FROM (SELECT query_id, list_filter({_CLEAN.format('query')}, lambda w: {keep}) AS l FROM ({rows}))"
+
+
+def bm25_sql(p: str, docs: str, words: str) -> str:
+    """Common table expressions that end in {p}r (query_id, doc_id, score, rank), from docs (doc_id, body) and words (query_id, raw)."""
+    return rf"""
+{p}d AS (SELECT doc_id, list_filter(string_split_regex({fold_sql("body")}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS t FROM ({docs})),
+{p}s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avg FROM {p}d),
+{p}p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM {p}d) GROUP BY ALL),
+{p}a AS (SELECT query_id, {fold_sql("raw")} AS word FROM ({words})),
+{p}w AS (SELECT DISTINCT word, length(word) AS n FROM {p}a WHERE word <> ''),
+{p}t AS (SELECT word, term FROM (SELECT DISTINCT term FROM {p}p) x JOIN {p}w w ON left(x.term, least(w.n, 3)) = left(w.word, 3) AND starts_with(x.term, w.word)),
+{p}h AS (SELECT word, doc_id, len, sum(tf) AS tf FROM {p}t JOIN {p}p USING (term) GROUP BY ALL),
+{p}f AS (SELECT word, count(*) AS df FROM {p}h GROUP BY word),
+{p}x AS (SELECT query_id, doc_id, sum(ln((s.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.avg))) AS score FROM {p}a JOIN {p}h USING (word) JOIN {p}f USING (word), {p}s s GROUP BY ALL),
+{p}r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {p}x)"""
+
+
+_BM25 = "WITH " + bm25_sql("", "SELECT doc_id, text AS body FROM documents", words_sql("SELECT item_id AS query_id, text AS query FROM benchmark")) + "\n"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +137,6 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.hash_embedding(read(spark, sf_dir, "benchmark"), "item_id", words).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    truth = entities.contained_names(d, "doc_id", "text", b, "item_id", "passage").groupBy(F.col("name_id").alias("query_id")).agg(F.sort_array(F.collect_set("doc_id")).alias("expected"))
-    truth = truth.withColumn("query_type", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
-    return retrieve.retrieval_metrics(_bm25(spark, sf_dir), truth)
-
-
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    return retrieve.fuse([_bm25(spark, sf_dir).select("query_id", "doc_id", "rank"), v], 5).select("query_id", "doc_id", "stage", "rank")
-
-
 def supplier_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     return entities.contained_names(read(spark, sf_dir, "documents"), "doc_id", "text", b, "item_id", "passage").select("doc_id", "name_id")
@@ -170,7 +174,7 @@ WITH d AS (SELECT doc_id, doc_id % 41 <> 0 AS readable, list_concat(CASE WHEN do
   list_concat(CASE WHEN doc_id % 3 = 0 THEN ['E' || doc_id % 5] ELSE [] END, CASE WHEN doc_id % 15 = 0 THEN ['G' || doc_id % 5] ELSE [] END) AS w, CASE WHEN doc_id % 4 = 0 THEN 'E' || doc_id % 5 END AS cur, doc_id % 22 <> 0 AS role_ok FROM documents),
 r AS (SELECT *, list_filter([CASE WHEN NOT readable THEN 'source_unreadable' END, CASE WHEN len(s) > 1 THEN 'several_strong' END, CASE WHEN len(s) = 1 AND NOT role_ok THEN 'role_mismatch' END, CASE WHEN len(s) = 1 AND len(list_filter(w, lambda x: NOT list_contains(s, x))) > 0 THEN 'weak_disagrees' END,
   CASE WHEN cur IS NOT NULL AND len(s) > 0 AND NOT list_contains(s, cur) THEN 'current_disagrees' END, CASE WHEN len(s) = 0 AND len(w) > 1 THEN 'several_weak' END], lambda x: x IS NOT NULL) AS reasons FROM d)
-SELECT doc_id, CASE WHEN NOT readable THEN 'SOURCE_UNREADABLE' WHEN len(reasons) > 0 THEN 'REVIEW_CONFLICT' WHEN len(s) = 0 AND len(w) = 0 THEN 'NO_CANDIDATE_ENTITIES' WHEN len(s) = 1 AND coalesce(s[1] <> cur, true) THEN 'UPDATED' ELSE 'UNCHANGED' END AS status, array_to_string(reasons, ',') AS reasons FROM r"""
+SELECT doc_id, CASE WHEN NOT readable THEN 'SOURCE_UNREADABLE' WHEN len(reasons) > 0 THEN 'REVIEW_CONFLICT' WHEN len(s) = 1 AND coalesce(s[1] <> cur, true) THEN 'UPDATED' ELSE 'UNCHANGED' END AS status, array_to_string(reasons, ',') AS reasons FROM r"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,12 +241,16 @@ def _word(pattern: str) -> str:
     return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_]){pattern}(?:[^\p{{L}}\p{{N}}_]|$)"
 
 
+def _stack_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Conversations as page stacks: turns are pages, and some stacks skip a page number; and which pages have too little text."""
+    skip = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 2), 1).otherwise(0)
+    return read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + skip).alias("turn"), "text"), F.length("text") < 60
+
+
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as page stacks: turns are pages, and some stacks skip a page number."""
     sig = segment.Signals(first_page=_word("on"), header=_word("the"), number=_word("(an[a-z]{2,6})"), customer=_word("(re[a-z]{2,6})"), date=_word("of"), total=_word("in"), later_page=_word("that"), continued=_word("it"), page_of=_word(r"(er)\s+(er)"))
-    skip = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 2), 1).otherwise(0)
-    pages = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + skip).alias("turn"), "text")
-    return segment.transitions(pages, "conv_id", "turn", "text", sig, F.length("text") < 60)
+    pages, low = _stack_pages(spark, sf_dir)
+    return segment.transitions(pages, "conv_id", "turn", "text", sig, low)
 
 
 def boundary_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +274,7 @@ t AS (SELECT conv_id, turn, has_gap, score, coalesce(score > 0.6::DOUBLE, false)
 """
 
 QUERIES = {f.__name__: f for f in (
-    exact_duplicates, keep_first, strong_ids, redact_text, mask_ids, classify_documents, email_intent, chunk_documents, bm25_search, vector_topk, hash_embedding, retrieval_metrics, hybrid_search, supplier_containment, alias_match, contact_entities, reconcile_status,
+    exact_duplicates, keep_first, strong_ids, redact_text, mask_ids, classify_documents, email_intent, chunk_documents, bm25_search, vector_topk, hash_embedding, supplier_containment, alias_match, contact_entities, reconcile_status,
     link_edges, hub_rollup, broken_links, orphan_pages, wiki_lint, dup_slugs, compaction_report, category_counts, import_dedup_stats, persistence_check, boundary_transitions, boundary_documents,
 )}
 
@@ -289,15 +297,6 @@ SQL = {
 WITH w AS (SELECT item_id AS doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS l FROM benchmark)),
 b AS (SELECT doc_id, ('0x' || substr(sha256(w), 15, 2))::INTEGER % 128 AS bucket, sum(1.0::DOUBLE / i) AS v FROM w GROUP BY ALL)
 SELECT doc_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""",
-    "hybrid_search": _BM25.rstrip() + "," + _VEC + """,
-u AS (SELECT query_id, doc_id, 0 AS stage, rank AS place FROM r WHERE rank <= 5 UNION ALL SELECT query_id, vec_id, 1, rank FROM vr WHERE rank <= 5),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY stage, place) AS n FROM u),
-z AS (SELECT query_id, doc_id, stage, row_number() OVER (PARTITION BY query_id ORDER BY stage, place, doc_id) AS rank FROM k WHERE n = 1)
-SELECT query_id, doc_id, stage, rank::INTEGER AS rank FROM z WHERE rank <= 5""",
-    "retrieval_metrics": _BM25.rstrip() + "," + _CONTAIN.strip().removeprefix("WITH").replace("d AS (", "dd AS (").replace("FROM d JOIN", "FROM dd JOIN") + """,
-t AS (SELECT name_id AS query_id, CASE WHEN name_id % 2 = 0 THEN 'even' ELSE 'odd' END AS query_type, list(DISTINCT doc_id) AS expected FROM c GROUP BY name_id),
-m AS (SELECT t.query_id, query_type, min(CASE WHEN list_contains(expected, r.doc_id) THEN rank END) AS f, count(r.doc_id) AS n, count(DISTINCT r.doc_id) AS dd FROM t LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON r.query_id = t.query_id GROUP BY ALL)
-SELECT query_type, count(*) AS queries, avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0.0 END) AS hit_at_1, avg(CASE WHEN f <= 3 THEN 1.0 ELSE 0.0 END) AS hit_at_3, avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END) AS hit_at_5, avg(coalesce(1.0::DOUBLE / f, 0)) AS mrr, avg(CASE WHEN n > dd THEN 1.0 ELSE 0.0 END) AS duplicates FROM m GROUP BY ROLLUP (query_type)""",
     "supplier_containment": _CONTAIN + "SELECT doc_id, name_id FROM c",
     "alias_match": _CONTAIN + ", m AS (SELECT *, max(length(norm)) OVER (PARTITION BY doc_id) AS top FROM c) SELECT doc_id, count(DISTINCT name_id) AS candidates, CASE WHEN count(DISTINCT name_id) = 1 THEN min(name_id) END AS entity_id FROM m WHERE length(norm) = top GROUP BY doc_id",
     "contact_entities": """

@@ -18,6 +18,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import expected_decimal, german_decimal, page_digits
+
 #: Formats, limits of a file, of what it unpacks to, and of its rows.
 SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".txt", ".md", ".docx", ".csv", ".xlsx", ".eml")
 MAX_FILE, MAX_UNPACKED, MAX_ROWS, SNIPPET = 50 << 20, 200 << 20, 100_000, 500
@@ -156,10 +158,20 @@ def uncached(files: DataFrame, cache: DataFrame, key: str = "md5") -> DataFrame:
     return files.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def master_data(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A master-data CSV with trimmed headers, without a byte-order mark; all columns text."""
+def master_data(spark: SparkSession, path: str, sep: str = ";", decimals: tuple[str, ...] = ()) -> DataFrame:
+    """A master-data CSV with trimmed headers and values, without a byte-order mark; the named columns are German decimals, the rest text."""
     df = spark.read.csv(path, sep=sep, header=True, encoding="UTF-8", multiLine=True)
-    return df.toDF(*[c.replace("﻿", "").strip().strip('"').lower() for c in df.columns])
+    df = df.toDF(*[c.replace("\ufeff", "").strip().strip('"').lower() for c in df.columns])
+    return df.select(*[(german_decimal(F.col(f"`{c}`")) if c in decimals else F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))).alias(c) for c in df.columns])
+
+
+def expected_extraction(spark: SparkSession, path: str) -> DataFrame:
+    """Expected documents of an extraction from a CSV with semicolons: page numbers of digits alone, amounts with either separator."""
+    df = spark.read.csv(path, sep=";", header=True, encoding="UTF-8")
+    df = df.toDF(*[c.replace("\ufeff", "").strip().lower() for c in df.columns])
+    kinds = {c: expected_decimal for c in ("netto", "steuer", "brutto")} | {c: page_digits for c in ("startseite", "endseite")}
+    plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return df.select(*[kinds.get(c, plain)(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -134,3 +134,35 @@ def unique_jobs(jobs: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by time window and key; on a stream, rows later than the watermark are dropped and windows closed."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
+
+
+def checkpoints(jobs: DataFrame, saves: DataFrame) -> DataFrame:
+    """jobs (job_id, owner, lease) with the last checkpoint that its live owner saved (saves: job_id, worker, at, data).
+
+    A save by another worker or after the lease is refused, as an UPDATE guarded by owner and lease does.
+    """
+    j = saves.join(jobs.select("job_id", "owner", "lease"), "job_id")
+    good = j.where((F.col("worker") == F.col("owner")) & (F.col("lease") >= F.col("at")))
+    last = good.groupBy("job_id").agg(F.max_by("data", F.struct("at", "data")).alias("checkpoint"))
+    return jobs.join(last, "job_id", "left")
+
+
+def lookup(jobs: DataFrame, ids: DataFrame, key: str = "job_id") -> DataFrame:
+    """The rows of the asked keys; keys that nobody has give none."""
+    return jobs.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def first_by_hash(docs: DataFrame, verified: Column) -> DataFrame:
+    """For each hash the document saved first, if it is wholly persisted; what a resumed run takes instead of working again."""
+    first = docs.where(F.coalesce("md5", F.lit("")) != "").groupBy("md5").agg(F.min_by(F.struct("doc_id", verified.alias("ok")), F.struct("updated_at", "doc_id")).alias("_f"))
+    return first.where("_f.ok").select("md5", "_f.doc_id")
+
+
+#: The stages that a document's job passes and the events that move it: adapter of a pipeline to ``fold``.
+STAGES = {"acquire": ("claim", None), "ocr_start": ("complete", "OCR_RUNNING"), "ocr_done": ("complete", "OCR_COMPLETE"), "analyse": ("complete", "ANALYSIS_RUNNING"), "analysed": ("complete", "ANALYSIS_COMPLETE"), "persist": ("complete", "RAG_RUNNING"), "commit": ("complete", "COMMITTED"), "fail": ("fail", None)}
+
+
+def stage_events(steps: DataFrame) -> DataFrame:
+    """Events for ``fold`` from a pipeline's steps (job_id, seq, step, at, worker)."""
+    part = lambda k: F.create_map(*[F.lit(x) for name, v in STAGES.items() for x in (name, v[k])])
+    return steps.select("job_id", "seq", F.try_element_at(part(0), F.col("step")).alias("kind"), "at", "worker", F.try_element_at(part(1), F.col("step")).alias("target")).where("kind is not null")

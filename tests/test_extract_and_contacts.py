@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillmill.operators import contacts, extract, pages
+from quillmill.operators import contacts, extract, records, wiki
 
 TEXT = "Metr0 Großhandel\nRechnungsnummer: RE-4711\nDatum 14.05.2026\nNetto 100,00\nMwSt 19,00\nGesamtbetrag 119,00 EUR"
 
@@ -62,11 +62,12 @@ def test_contacts_equal_one_long_fold(spark):
     assert {x.seq: (x.status, x.entity_id) for x in contacts.learn(df.repartition(4)).collect()} == want
 
 
-def test_hub_pages_and_drafts(spark):
-    rows = [("e1", "Metro", "Fleisch", "3400", "d1", "one"), ("e1", "Metro AG", "Unbekannt", "3400", "d2", "two"), ("e1", "Metro", "Fleisch", "3400", "d1", "one")]
-    df = spark.createDataFrame(rows, "entity_id string, name string, category string, account string, source string, line string")
-    p = pages.hub_pages(df, "2026-01-01").collect()
-    assert len(p) == 1 and p[0].path == "contacts/metro-ag.md" and "source_count: 2" in p[0].body and 'article_categories: ["Fleisch"]' in p[0].body and "- `d2`: two" in p[0].body
-    mails = spark.createDataFrame([("a", "s", "b", "Metro", "PREIS_ERHOEHUNG"), ("a", "s", "b", None, None)], "sender string, subject string, body string, supplier string, intent string")
-    d = pages.drafts(mails).collect()
-    assert d[0].draft_id == d[1].draft_id and "Gegenangebot" in d[0].draft and d[1].draft.startswith("Guten Tag ,")
+def test_pages_and_drafts(spark):
+    rows = [("d2", "Metro", "e1", "Fleisch", "3400", None, 1.0, "f/2"), ("d1", "Metro", "e1", "Unbekannt", None, "2024-01-01", None, None), ("d3", "unbekannt", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, supplier string, entity_id string, goods string, skr03 string, day string, gross double, link string")
+    p = {r.path: r.text for r in wiki.entity_pages(df, "2026-01-01").collect()}
+    text = p["entities/suppliers/metro.md"]
+    assert set(p) == {"entities/suppliers/metro.md", "review/unresolved-documents.md"} and "source_count: 2" in text and 'article_categories: ["Fleisch"]' in text and text.index("`d1`") < text.index("`d2`") and "[Quelle](<f/2>)" in text
+    mails = spark.createDataFrame([("a", "s", "Metro", "PREIS_ERHOEHUNG", 1), ("a", "s", "Lidl", "PREIS_ERHOEHUNG", 2), ("a", "s", None, None, 3)], "sender string, subject string, supplier string, intent string, at int")
+    d = {r.intent: r for r in records.keep_last(records.mail_drafts(mails), ["draft_id"], ["at"]).collect()}
+    assert len(d) == 2 and "Gegenangebot" in d["PREIS_ERHOEHUNG"].draft and d["PREIS_ERHOEHUNG"].supplier == "Lidl" and d["ALLGEMEINE_ANFRAGE"].draft.startswith("Guten Tag Lieferant,")

@@ -2,10 +2,11 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import prices
-from quillmill.sources import files, sinks
+from quillmill.operators import prices, reconciliation, wiki
+from quillmill.sources import config, files, sinks
 from quillmill.streaming import jobs
 
 
@@ -38,10 +39,60 @@ def test_formats(spark, tmp_path):
 def test_master_data_and_truth(spark, tmp_path):
     (tmp_path / "m.csv").write_text('﻿"Nr";Name\n1;"a;b"\n')
     assert [r.asDict() for r in files.master_data(spark, str(tmp_path / "m.csv")).collect()] == [{"nr": "1", "name": "a;b"}]
+    (tmp_path / "n.csv").write_text("Nr;Preis\n1;1.234,50\n")
+    assert [r.asDict() for r in files.master_data(spark, str(tmp_path / "n.csv"), decimals=("preis",)).collect()] == [{"nr": "1", "preis": 1234.5}]
+    (tmp_path / "e.csv").write_text("\ufeffdateiname;startseite;endseite;netto\na.pdf; 1;x;1.000,50\n")
+    assert [r.asDict() for r in files.expected_extraction(spark, str(tmp_path / "e.csv")).collect()] == [{"dateiname": "a.pdf", "startseite": 1, "endseite": None, "netto": 1000.5}]
     (tmp_path / "t.jsonl").write_text('{"query_id": "q", "query": "x"}\n\n')
     assert files.ground_truth(spark, str(tmp_path / "t.jsonl")).first().expected_doc_ids == []
 
 
+def test_small_inputs(spark, tmp_path):
+    (tmp_path / "i.json").write_text('[{"id": "a_chunk_0", "doc_id": "a", "embedding": [0.5]}]')
+    assert [r.doc_id for r in config.vector_index(spark, str(tmp_path / "i.json")).collect()] == ["a"]
+    (tmp_path / "bad.json").write_text("{[")
+    assert config.vector_index(spark, str(tmp_path / "bad.json")).count() == 0 and config.account_map(spark, str(tmp_path / "bad.json")).count() == 0
+    (tmp_path / "m.json").write_text('{"SKR03": {"x": {"kontonummer": "3400", "bezeichnung": "W", "steuersatz": 7.0}}}')
+    assert [tuple(r) for r in config.account_map(spark, str(tmp_path / "m.json")).collect()] == [("SKR03", "x", "3400", "W", 7.0)]
+    (tmp_path / "c.json").write_text('{"processed_files": ["a.pdf"], "last_page": 4}')
+    assert tuple(config.checkpoint(spark, str(tmp_path / "c.json")).first()) == (["a.pdf"], 4) and tuple(config.checkpoint(spark, str(tmp_path / "bad.json")).first()) == ([], 0)
+    d = tmp_path / "wiki" / "archive"
+    d.mkdir(parents=True)
+    (d / "old.md").write_text("x")
+    for name in ("a_b.md", "index.md", "t.txt", "u.json", "n.pdf"):
+        (tmp_path / "wiki" / name).write_text("# A")
+    pages = config.wiki_pages(spark, str(tmp_path / "wiki"))
+    assert sorted(r.path for r in pages.collect()) == ["a_b.md", "archive/old.md", "index.md"] and [r.path for r in wiki.knowledge(pages).collect()] == ["a_b.md"]
+    assert {(r.doc_id, r.title) for r in config.text_files(spark, str(tmp_path / "wiki")).collect()} >= {("a_b.md", "A B"), ("t.txt", "T"), ("u.json", "U")}
+    assert config.allowed_path("/data/in/../in/x", ["/data/in"]) and config.allowed_path("s3://b/in", ["s3://b/in"])
+    for bad in ("/data/other", "/data/in/../other", "s3://c/in"):
+        with pytest.raises(ValueError):
+            config.allowed_path(bad, ["/data/in", "s3://b/in"])
+
+
+def test_pending_files_and_logs(spark, tmp_path):
+    for name, data in (("a.pdf", b"%PDF-1.4 /Type /Page "), ("b.pdf", b"no"), ("c.pdf", b""), ("Done_d.pdf", b"%PDF-"), ("e.pdf", b"%PDF-" + b"/Type/Page " * 2001)):
+        (tmp_path / name).write_bytes(data)
+    assert {r.name: r.error for r in config.pending_pdfs(spark, str(tmp_path)).collect()} == {"a.pdf": None, "b.pdf": "no PDF", "e.pdf": "too many pages"}
+    lines = spark.createDataFrame([(k, f"token={k} ") for k in range(5)], "n int, line string")
+    assert [tuple(r) for r in config.redacted_log(lines, 2).collect()] == [(3, "token=[REDACTED]"), (4, "token=[REDACTED]")] and config.redacted_log(lines, -3).count() == 1
+
+
+def test_pages_and_reports_are_written(spark, tmp_path):
+    pages = spark.createDataFrame([("x/a.md", "eins"), ("b.md", "zwei")], "path string, text string")
+    assert sinks.write_pages(pages, str(tmp_path / "w")) == 2 and (tmp_path / "w" / "x" / "a.md").read_text() == "eins"
+    with pytest.raises(ValueError):
+        sinks.write_pages(spark.createDataFrame([("../c.md", "")], "path string, text string"), str(tmp_path / "w"))
+    docs = spark.createDataFrame([(1, [], [], ["x"], None, "c", "REVIEW_CONFLICT", "M", "f"), (2, ["e"], [], [], "e", None, "UPDATED", "M", "f")], "doc_id long, strong array<string>, weak array<string>, reasons array<string>, proposed string, current string, status string, supplier string, file_name string")
+    reconciliation.write_reports(spark, docs, str(tmp_path / "r"))
+    assert spark.read.json(f"{tmp_path}/r/summary").first().conflicts == 1 and spark.read.csv(f"{tmp_path}/r/conflicts", header=True).first().reason == "x" and spark.read.json(f"{tmp_path}/r/audit").count() == 2
+    rows = spark.createDataFrame([("a", "x", 1)], "dest string, kind string, n int").withColumns({"year": F.lit(2024), "month": F.lit(1)})
+    sinks.write_archive(rows, f"{tmp_path}/archive")
+    assert spark.read.parquet(f"{tmp_path}/archive").where("year = 2024 and kind = 'x'").count() == 1
+    cache = spark.createDataFrame([("m",)], "md5 string")
+    assert [r.md5 for r in files.uncached(spark.createDataFrame([("m",), ("n",)], "md5 string"), cache).collect()] == ["n"]
+
+
 def test_upsert_and_ledger(spark, tmp_path):
     base = f"{tmp_path}/table"
     sinks.upsert_version(spark, base, spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), ["id"], 0)

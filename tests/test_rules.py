@@ -162,10 +162,74 @@ def test_text_functions(spark):
     assert get(prices.normalize_unit(c), "Kilo") == "kg" and get(prices.normalize_unit(c), " Stück ") == "Stück"
 
 
+def test_unicode_forms(spark):
+    import unicodedata
+
+    get = lambda c, t: one(spark, t).select(c).first()[0]
+    for t in ("Ｍｅｔｒｏ ①②", "ﬁnanz Ł", "Cafe\u0301 Ñandú", "Ångström ĳs", "Müller-Lüdenscheidt Nr. ５"):
+        assert get(tx.normalize_text(F.col("t")), t).replace("e\u0301", "é") in (" ".join(__import__("re").findall(r"\w+", unicodedata.normalize("NFKC", t).casefold())), " ".join(__import__("re").findall(r"\w+", unicodedata.normalize("NFKC", t).casefold())).replace("é", "e"))
+        want = "".join(x for x in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(x) and x.isalnum()).replace("ł", "l")
+        assert get(tx.match_key(F.col("t")), t) == want
+    assert get(tx.expected_decimal(F.col("t")), "1.234,50") == 1234.5 and get(tx.expected_decimal(F.col("t")), "12.50") == 12.5 and get(tx.page_digits(F.col("t")), "x1") is None
+    assert get(tx.safe_id(F.col("t")), "/a b/1!") == "a_b_1" and get(tx.question_slug(F.col("t")), "Wie viel? 10 Äpfel!") == "wie_viel__10_äpfel"
+
+
 def test_chunks_pack_paragraphs(spark):
     parts = ["a" * 150, "b" * 200, "c" * 100, "", "d" * 500]
     got = [r.chunk for r in retrieve.chunks(one(spark, "\n\n".join(parts)), "id", "t").orderBy("chunk_no").collect()]
     assert got == [f"{parts[0]}\n\n{parts[1]}", parts[2], parts[4]]
+    got = [r.chunk for r in retrieve.chunks(one(spark, " a0 . b1 . c2"), "id", "t", 3, ".").orderBy("chunk_no").collect()]
+    assert got == ["a0", "b1", "c2"]  # the separator is no pattern, and digits stay
+
+
+def test_containment_against_python(spark):
+    from quillmill.operators.containment import contained
+
+    r = random.Random(4)
+    texts = [(k, "".join(r.choice("abcä ") for _ in range(r.randint(0, 60)))) for k in range(40)] + [(99, None)]
+    keys = sorted({"".join(r.choice("abcä ") for _ in range(r.randint(1, 4))) for _ in range(60)})
+    df, names = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(k,) for k in keys], "key string")
+    want = {(i, k) for i, t in texts for k in keys if k in (t or "")}
+    for block in (1 << 20, 20):  # one block, and many
+        assert {tuple(x) for x in contained(df, "id", F.col("t"), names, block).collect()} == want
+    assert contained(df, "id", F.col("t"), names.limit(0)).count() == 0
+
+
+def test_suppliers_by_words(spark):
+    from quillmill.operators import assign
+
+    docs = spark.createDataFrame([(1, "Lieferung der Müller\n  Feinkost GmbH"), (2, "feinkostladen müllerstraße"), (3, "nur feinkost"), (4, "ABC"), (5, None)], "doc_id long, t string")
+    names = spark.createDataFrame([(1, "Müller Feinkost GmbH"), (2, "Feinkost"), (3, "ABC")], "id long, name string")
+    assert {r.doc_id: r.supplier_id for r in assign.supplier_of(docs, "doc_id", "t", names, "id", "name").collect()} == {1: 1, 2: 1, 3: 2}
+
+
+def test_plain_boundaries(spark):
+    from quillmill.operators import stack
+
+    pages = ["Rechnung 1 Seite 1 von 2", "Seite 2 Rechnung Übertrag", "Rechnung 2 Seite 1 von 1", "ohne Marke", "weiter"]
+    df = spark.createDataFrame([("s", k, t) for k, t in enumerate(pages, 1)], "s string, p int, t string")
+    got = sorted((r.start_page, r.end_page) for r in stack.plain_boundaries(df, "s", "p", "t").collect())
+    assert got == [(1, 2), (3, 3), (4, 5)]
+
+
+def test_wiki_paths_and_health(spark):
+    from quillmill.operators import wiki
+
+    rows = spark.createDataFrame([("a/b", "./../c.md"), ("", "x.md"), ("a", "../../c.md")], "f string, t string")
+    assert [r[0] for r in rows.select(wiki.joined_path(F.col("f"), F.col("t"))).collect()] == ["a/c.md", "x.md", None]
+    front = '---\nentity_id: "{}"\nentity_type: nation\ncanonical_name: x\nsource_count: 0\nupdated: x\n---\n'
+    pages = spark.createDataFrame([("a.md", front.format("a") + "# A\n[[b]]"), ("b.md", front.format("b") + "# B\n[x](./a.md)"), ("index.md", "x")], "path string, text string")
+    assert wiki.lint_status(wiki.lint(pages)) == "HEALTHY" and wiki.lint_status(wiki.lint(pages.where("path <> 'b.md'"))) == "ISSUES_FOUND"
+    assert wiki.lint(pages.limit(0)).count() == 0
+
+
+def test_vectors_replace_and_append(spark):
+    from quillmill.operators import records
+
+    old = spark.createDataFrame([("d1_chunk_0", "d1"), ("d1_chunk_1", None), ("d2_chunk_0", "d2")], "id string, doc_id string")
+    new = spark.createDataFrame([("d1_chunk_0", "d1")], "id string, doc_id string")
+    assert sorted(r.id for r in records.replace_vectors(old, new).collect()) == ["d1_chunk_0", "d2_chunk_0"]
+    assert records.append_vectors(old, new).count() == 4 and records.append_vectors(old, new, once=True).count() == 3
 
 
 def test_entities_against_union_find(spark):
@@ -203,7 +267,8 @@ def test_price_upsert(spark):
 def test_reconcile(spark):
     rows = [(1, True, ["A"], [], None, True), (2, True, ["A"], [], "A", True), (3, True, [], [], None, True), (4, False, [], [], None, True), (5, True, ["A", "B"], [], None, True), (6, True, ["A"], ["B"], None, True), (7, True, [], ["A", "B"], None, True)]
     df = spark.createDataFrame(rows, "id int, readable boolean, strong array<string>, weak array<string>, current string, role_ok boolean")
-    assert [r.status for r in entities.reconcile(df).orderBy("id").collect()] == ["UPDATED", "UNCHANGED", "NO_CANDIDATE_ENTITIES", "SOURCE_UNREADABLE", "REVIEW_CONFLICT", "REVIEW_CONFLICT", "REVIEW_CONFLICT"]
+    assert [r.status for r in entities.reconcile(df).orderBy("id").collect()] == ["UPDATED", "UNCHANGED", "UNCHANGED", "SOURCE_UNREADABLE", "REVIEW_CONFLICT", "REVIEW_CONFLICT", "REVIEW_CONFLICT"]
+    assert [r.status for r in entities.reconcile(df, known=False).orderBy("id").collect()][1:4] == ["NO_CANDIDATE_ENTITIES", "NO_CANDIDATE_ENTITIES", "SOURCE_UNREADABLE"]
 
 
 def test_job_life():
