@@ -4,6 +4,16 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 columns of docs.  ``run`` writes each stage's result to the shared folder and reads it for the next.  No part of
 ``run``'s result can be said in SQL (SimHash, edit verification and tokens), so ORACLE_SQL is None and the tests hold
 it against a brute-force version.
+
+Cases, for tables with nulls, repeats and further columns of any name:
+
+* quality rules: a null or empty text has no words and goes; further columns stay as they are;
+* near-dedup: rows of null doc_id all stay; of rows equal in doc_id and text one stays; empty texts are duplicates of
+  each other; rows of one doc_id with different texts are judged each by its text;
+* decontamination: a null or empty text holds no item and stays; an empty benchmark removes nothing;
+* secret scans: null texts stay null; n_chars, where there is such a column, becomes the redacted text's length;
+* packing: a null or empty text is its end id alone; rows of null doc_id are packed like any others;
+* an empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401 (for the operators)
+
 #: Rows that one step inside an Arrow map works on at a time; bounds the worker's memory.
 SLICE_ROWS = 512
 #: Entries and length of an entry that a worker's word cache holds before it is emptied.
@@ -29,45 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where that is unset, a temporary one in a local session, else an error."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already; the folder is scratch space
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, schema: T.StructType | str, fn: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """mapInArrow over slices of at most SLICE_ROWS rows.  fn takes and returns columns by name."""
     if isinstance(schema, str):
