@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import materialize
 
 #: The fields of front matter, of a supplier's beside them, pages that are no knowledge, roles of entity types.
 REQUIRED, SUPPLIER_FIELDS = ("entity_id", "entity_type", "canonical_name", "source_count", "updated"), ("article_categories", "skr03_accounts")
@@ -127,8 +128,8 @@ def lint(pages: DataFrame, documents: DataFrame | None = None, exempt: tuple[str
     Checks: orphan, broken_markdown_link, broken_wikilink, duplicate_slug, duplicate_entity_id, invalid_front_matter,
     legacy, missing_source, non_file_source, unverified_source, missing_category.  ``exempt`` stems are never orphans and, without front matter, legacy.
     """
-    p = parsed(pages)
-    l = links(p)  # noqa: E741
+    p = materialize(parsed(pages), "pages")  # read by every check, parsed once
+    l = materialize(links(p), "links")  # noqa: E741
     none = F.lit(None).cast("string")
     find = lambda rows, check, path=F.col("path"), detail=none: rows.select(F.lit(check).alias("check"), path.alias("path"), detail.alias("detail"))
     reached = l.where("to_path is not null").select(F.col("to_path").alias("path")).distinct()
