@@ -14,7 +14,8 @@ a packing needs to know of millions of pieces is how many there are of each leng
 
 The search ends when the incumbent meets the bound, when nothing is left to try (the plan is then optimal), or when it
 has looked at ``node_limit`` fillings and children; ``Plan`` says which, and how far from the bound it is.  It is the
-same search at every size.
+same search at every size.  Only the deepest LIVE nodes of a path are held; what lies above is made anew when the
+search comes back to it, so the driver's memory doesn't grow with the path.
 
 The plan is a list of fillings with copies: best-fit decreasing adds two of them for each length at most, a branch one
 for each child, and a filling holds no more than sqrt(2 * capacity) lengths.  So the table of slots that goes to the
@@ -32,6 +33,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,8 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY, END_ID = 2048, 0
-#: Fillings and children that the search looks at before it keeps its incumbent.
-NODE_LIMIT = 50_000
+#: Fillings and children that the search looks at before it keeps its incumbent; open nodes whose state is held and not made anew.
+NODE_LIMIT, LIVE = 50_000, 32
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -236,25 +238,38 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_
                 for c in copies(min(left[k] // n for k, n in filling)):
                     yield filling, c
 
+    def left_of(chain: tuple | None) -> dict[int, int]:
+        left = Counter(hist)
+        while chain:
+            chain, filling, c = chain
+            for k, n in filling:
+                left[k] -= n * c
+        return {k: n for k, n in left.items() if n}
+
     steps, more = 0, True
     while more and best.bins > best.bound and best.nodes < node_limit:
         more = False  # whether some path was cut off for its steps
-        # each entry: what is left, bins so far, the chain of (chain, filling, copies) that led here, steps to go, children yet to try
-        stack = [[hist, 0, None, steps, children(hist, 0)]]
+        # each entry: bins so far, the chain of (chain, filling, copies) that led here, steps to go, children taken, what is left with its children or None
+        stack = [[0, None, steps, 0, None]]
         while stack and best.bins > best.bound and best.nodes < node_limit:
-            rest, bins, chain, to_go, todo = stack[-1]
+            bins, chain, to_go, taken, live = node = stack[-1]
             if to_go < 0:
                 more = True
                 stack.pop()
                 continue
+            if live is None:
+                rest = left_of(chain)
+                live = node[4] = rest, islice(children(rest, bins), taken, None)
+            rest, todo = live
             child = next(todo, False)
             if child is False:
                 stack.pop()
                 continue
             best.nodes += 1
+            node[3] += 1
             if child is None:
                 continue
-            stack[-1][3] -= 1
+            node[2] -= 1
             filling, c = child
             left = dict(rest)
             for k, n in filling:
@@ -274,9 +289,11 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_
                 while chain:
                     chain, filling, c = chain
                     best.fillings.append((filling, c))
-                chain = stack[-1][2], *child
+                chain = node[1], *child
             if left:
-                stack.append([left, bins, chain, to_go, children(left, bins)])
+                if len(stack) >= LIVE:
+                    stack[-LIVE][4] = None
+                stack.append([bins, chain, to_go, 0, (left, children(left, bins))])
         steps += 1
     best.complete = best.bins == best.bound or not more and best.nodes < node_limit
     return best
