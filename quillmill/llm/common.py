@@ -19,9 +19,9 @@ from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F40
 #: Rows that one step inside an Arrow map works on at a time; bounds the worker's memory.
 SLICE_ROWS = 512
 #: Entries and length of an entry that a worker's word cache holds before it is emptied.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: Bytes of text that the encoder works on at a time; longer texts are cut at white space.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,6 +170,7 @@ class WordEncoder:
                 ids, edge = self._group(pc.fill_null(texts.slice(at, stop - at), "").cast(pa.large_string()))
             yield at, ids, edge
             at = stop
+        pa.default_memory_pool().release_unused()
 
     def _group(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the rows in ids)."""
@@ -187,12 +188,15 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(part), APART, r" \1 "))
         coded = lists.flatten().dictionary_encode()
         held = list(map(self._parts.__getitem__, coded.dictionary.to_pylist()))
-        length = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        start = np.cumsum(length) - length
+        length = np.fromiter(map(len, held), np.int32, len(held)) // 4  # a group has far fewer than 2^31 ids
+        start = np.cumsum(length, dtype=np.int32) - length
         u = coded.indices.to_numpy(zero_copy_only=False)
         n = length[u]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(held), "<u4")[np.repeat(start[u] - total[:-1], n) + np.arange(total[-1])]
+        total = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=total[1:])
+        at = np.repeat(start[u] - total[:-1], n)
+        at += np.arange(total[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(held), "<u4")[at]
         edge = lists.offsets.to_numpy()
         return ids, total[edge - edge[0]]
 
