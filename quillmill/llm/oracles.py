@@ -35,3 +35,31 @@ SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat
   NOT s.base_failed AND coalesce(m_length <= x.c1, true) AND coalesce(m_symbols <= x.c2, true) AND coalesce(m_dup <= x.c3, true) AND coalesce(m_repeat <= x.c4, true) AS kept
 FROM s LEFT JOIN picked ON s.lang IS NOT DISTINCT FROM picked.lang AND s.source IS NOT DISTINCT FROM picked.source
 """
+
+#: op12: each document's failing letters, their counts for each part, and every order walked step by step.
+OP12 = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+      CASE WHEN words.doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM words LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM failing GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.l <> b.l AND a.l <> c.l AND a.l <> d.l AND a.l <> e.l AND b.l <> c.l AND b.l <> d.l AND b.l <> e.l AND c.l <> d.l AND c.l <> e.l AND d.l <> e.l),
+met AS (SELECT part, o, fails, n, g, x, CASE WHEN contains(fails, substr(o, 1, 1)) THEN 1 WHEN contains(fails, substr(o, 2, 1)) THEN 2 WHEN contains(fails, substr(o, 3, 1)) THEN 3 WHEN contains(fails, substr(o, 4, 1)) THEN 4 WHEN contains(fails, substr(o, 5, 1)) THEN 5 ELSE 6 END AS first FROM counts, orders),
+step AS (SELECT *, substr(o, step, 1) AS own FROM met, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s),
+walk AS (
+  SELECT part, o AS filter_order, step, own, sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN first < step AND contains(fails, own) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN first = step THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN x ELSE 0 END) AS toxic_lost
+  FROM step GROUP BY part, o, step, own)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM walk
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_text, licenses, oracles, packing, quality, secrets, simhash, tokens_io, toxicity
+from . import chat, decontam, filter_audit, html_text, licenses, oracles, packing, quality, secrets, simhash, token_counts, tokens_io, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         html_text.op8_html_extraction,
         decontam.op9_benchmark_decontamination,
         chat.op10_chat_formatting,
+        filter_audit.op12_filter_interaction_audit,
+        token_counts.op13_token_counts,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": oracles.OP6}
+    return {"op6_quality_rules": oracles.OP6, "op12_filter_interaction_audit": oracles.OP12}

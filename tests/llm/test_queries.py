@@ -33,7 +33,7 @@ def crc(values):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_op1(spark):
