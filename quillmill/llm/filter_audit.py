@@ -37,16 +37,14 @@ ORDERS = list(permutations(range(N)))
 WEIGHTS = ("docs", "good", "toxic")
 
 
-def bits(s: int) -> int:
-    return s.bit_count()
-
-
 def text_failures(text: Column) -> dict[str, Column]:
     """Failures that a text shows by itself."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    words, none = F.split(bare, r"[\x20\x09-\x0D]+"), (bare == "").cast("int")  # split makes one word of ''
+    n = F.size(words) - none
     return {
-        "A": F.size(words) < 200,
-        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "A": n < 200,
+        "B": 100 * (F.size(F.array_distinct(words)) - none) < 50 * n,
         "C": 100 * (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))) > 2 * F.length(text),
         "D": F.rlike(text, F.lit("[#$%&*|]")),
     }
@@ -76,29 +74,28 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def joint_failures(counts: DataFrame) -> DataFrame:
-    """part and J_docs, J_good, J_toxic: arrays over all sets of filters (bit k of the index stands for filter k) of joint failures."""
+    """part, set (bit k stands for filter k), docs, good, toxic: the sums of the products of a set's flags; sets of none are left out."""
+    product = F.lit(1)
+    for k, f in enumerate(FILTERS):
+        product = product * F.when(F.getbit("set", F.lit(k)) == 1, F.col(f)).otherwise(1)
+    rows = counts.withColumn("set", F.explode(F.lit(list(SETS)))).withColumn("product", product).where("product = 1")
+    return rows.groupBy("part", "set").agg(*[F.sum(F.col("product") * F.col(w)).alias(w) for w in WEIGHTS])
 
-    def product(s: int) -> Column:
-        flags = [F.col(f) for k, f in enumerate(FILTERS) if s >> k & 1]
-        out = F.lit(1)
-        for f in flags:
-            out = out * f
-        return out
 
-    sums = [F.sum(product(s) * F.col(w)).alias(f"{w}_{s}") for w in WEIGHTS for s in SETS]
-    return counts.groupBy("part").agg(*sums).select("part", *[F.array(*[F.col(f"{w}_{s}") for s in SETS]).alias(f"J_{w}") for w in WEIGHTS])
+def survivors(joint: DataFrame) -> DataFrame:
+    """part, set, docs, good, toxic: what is left after the filters of each set, a signed sum over its subsets."""
+    within = joint.withColumnRenamed("set", "sub").withColumn("set", F.explode(F.lit(list(SETS)))).where(F.col("set").bitwiseAND(F.col("sub")) == F.col("sub"))
+    sign = F.when(F.bit_count("sub") % 2 == 1, -1).otherwise(1)
+    return within.groupBy("part", "set").agg(*[F.sum(sign * F.col(w)).alias(w) for w in WEIGHTS])
 
 
-def moebius(joint: DataFrame) -> DataFrame:
-    """part, kept_docs, kept_good, kept_toxic (survivors of each set), failing, unique and shapley (of each filter)."""
-    j = lambda w, s: F.col(f"J_{w}")[s]
-    total = lambda terms: sum(terms, F.lit(0).cast("long"))
-    within = lambda s: [t for t in SETS if t & s == t]
-    sign = lambda t: -1 if bits(t) % 2 else 1
-    kept = [F.array(*[total(sign(t) * j(w, t) for t in within(s)) for s in SETS]).alias(f"kept_{w}") for w in WEIGHTS]
-    alone = [total(sign(t) * j("docs", t | 1 << f) for t in SETS if not t >> f & 1) for f in range(N)]
-    shares = [total(-sign(t) * (len(ORDERS) // bits(t)) * j("docs", t) for t in SETS if t >> f & 1) for f in range(N)]
-    return joint.select("part", *kept, F.array(*[j("docs", 1 << f) for f in range(N)]).alias("failing"), F.array(*alone).alias("unique"), F.array(*shares).alias("shapley"))
+def shares(joint: DataFrame) -> DataFrame:
+    """part, f, failing, unique, shapley of each filter that some document fails: signed sums over the sets that hold it."""
+    size = F.bit_count("set")
+    sign = F.when(size % 2 == 1, 1).otherwise(-1)
+    own = joint.withColumn("f", F.explode(F.lit(list(range(N))))).where(F.getbit("set", F.col("f")) == 1)
+    dividend = (sign * F.lit(len(ORDERS)) / size * F.col("docs")).cast("long")  # whole: 1 to 5 divide 120
+    return own.groupBy("part", "f").agg(F.sum(F.when(size == 1, F.col("docs"))).alias("failing"), F.sum(sign * F.col("docs")).alias("unique"), F.sum(dividend).alias("shapley"))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -106,16 +103,17 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs: doc_id, text, source.  labels: doc_id, quality, toxic.
     """
-    sets = common.materialize(moebius(joint_failures(failure_counts(docs, labels))), "filters")  # a row for each part
-    plan = F.array(*[
-        F.struct(F.lit("".join(FILTERS[f] for f in order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(order[k]).alias("f"), F.lit(sum(1 << x for x in order[:k])).alias("before"))
-        for order in ORDERS for k in range(N)
-    ])
-    rows = sets.select("*", F.inline(plan)).withColumn("after", F.col("before").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("f"))))
-    lost = lambda w: F.col(f"kept_{w}")[F.col("before")] - F.col(f"kept_{w}")[F.col("after")]
+    joint = common.materialize(joint_failures(failure_counts(docs, labels)), "joint")  # at most 32 rows for each part
+    left = survivors(joint).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("set", F.struct(*WEIGHTS)))).alias("left"))
+    of = shares(joint).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("failing", "unique", "shapley")))).alias("of"))
+    steps = [F.struct(F.lit("".join(FILTERS[f] for f in order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(order[k]).alias("f"), F.lit(sum(1 << x for x in order[:k])).alias("before")) for order in ORDERS for k in range(N)]
+    rows = left.join(of, "part", "left").select("*", F.inline(F.array(*steps))).withColumn("after", F.col("before").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("f"))))
+    rows = rows.select("part", "filter_order", "step", F.col("left")[F.col("before")].alias("b"), F.col("left")[F.col("after")].alias("a"), F.try_element_at("of", F.col("f")).alias("own"))
+    own = lambda k: F.coalesce(F.col(f"own.{k}"), F.lit(0).cast("long"))
+    lost = lambda w: F.col(f"b.{w}") - F.col(f"a.{w}")
     return rows.select(
-        "part", "filter_order", "step", F.col("kept_docs")[F.col("after")].alias("kept"), lost("docs").alias("removed"), (F.col("failing")[F.col("f")] - lost("docs")).alias("redundant"),
-        F.col("unique")[F.col("f")].alias("unique_fails"), lost("good").alias("good_lost"), lost("toxic").alias("toxic_lost"), F.col("shapley")[F.col("f")].alias("shapley"),
+        "part", "filter_order", "step", F.col("a.docs").alias("kept"), lost("docs").alias("removed"), (own("failing") - lost("docs")).alias("redundant"),
+        own("unique").alias("unique_fails"), lost("good").alias("good_lost"), lost("toxic").alias("toxic_lost"), own("shapley").alias("shapley"),
     )
 
 
