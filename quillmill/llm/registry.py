@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, filter_audit, html_text, licenses, oracles, packing, quality, secrets, simhash, token_counts, tokens_io, toxicity
+from . import alignment, chat, decontam, filter_audit, html_text, licenses, oracles, packing, quality, secrets, simhash, token_counts, tokens_io, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         html_text.op8_html_extraction,
         decontam.op9_benchmark_decontamination,
         chat.op10_chat_formatting,
+        alignment.op11_cross_tokenizer_alignment,
         filter_audit.op12_filter_interaction_audit,
         token_counts.op13_token_counts,
     )
