@@ -26,11 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(discard, spark, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
