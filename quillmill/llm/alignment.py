@@ -22,6 +22,7 @@ further columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,11 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import discard
 from . import common
 from .units import parts, pieces_respect, units
 
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 #: Id pairs up to which their counts are broadcast (some 50 MB); beyond it both sides are shuffled.
 BROADCAST_PAIRS = 1_000_000
 
@@ -44,58 +46,74 @@ TOKENS = "array<struct<id: int, len: int>>"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-class Tokenizers:
-    """Both vocabularies, for one unit at a time."""
-
-    def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
+class Pieces:
+    """B: ids of units, and whether a text is B's to give back."""
 
+    def __init__(self, path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
-        self.a.no_truncation()
-        self.a.no_padding()
-        spec = json.loads(self.a.to_str())
-        split = spec["pre_tokenizer"] or {}
-        if spec["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
-            raise ValueError(f"not a plain byte-level BPE: {a_path}")
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         kinds = [self.b.is_byte(i) for i in range(n)]
         own = [p for i, p in enumerate(pieces) if not (kinds[i] or self.b.is_control(i) or self.b.is_unknown(i))]
         if not any(kinds) or not pieces_respect(own) or any("\n" in p for p in own) or self.b.normalize("\n") != "▁\n":
-            raise ValueError(f"no pieces with byte fallback that end with units: {b_path}")
-        self.b_len = [1 if k else len(p.replace("▁", " ").encode()) for p, k in zip(pieces, kinds)]
-        self.b_space = self.b.piece_to_id("▁")
-        # a byte-level entry has a character for each byte
-        self.a_len = {i: len(s) for s, i in self.a.get_vocab().items()}
+            raise ValueError(f"no pieces with byte fallback that end with units: {path}")
+        self.length = [1 if k else len(p.replace("▁", " ").encode()) for p, k in zip(pieces, kinds)]
+        self._space = self.b.piece_to_id("▁")
 
     def exact(self, text: str) -> bool:
         """Whether B's pieces give the text's bytes back."""
         return "▁" not in text and self.b.normalize(text) == "▁" + text.replace(" ", "▁")
 
-    def of_a(self, found: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]
-
-    def of_b(self, found: list[str]) -> list[list[int]]:
+    def ids(self, found: list[str]) -> list[list[int]]:
         """A unit's own space is the one that B adds; another beginning is kept apart from B's space by a line feed."""
         ids = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in found], num_threads=1)
         # a unit that is one space is the empty string to B
-        return [[self.b_space] if u == " " else x if u[0] == " " else x[2:] for u, x in zip(found, ids)]
+        return [[self._space] if u == " " else x if u[0] == " " else x[2:] for u, x in zip(found, ids)]
+
+
+class ByteLevel:
+    """A: ids of units."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(path)
+        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.a.no_truncation()
+        self.a.no_padding()
+        spec = json.loads(self.a.to_str())
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+            raise ValueError(f"not a plain byte-level BPE: {path}")
+        self.length = {i: len(s) for s, i in self.a.get_vocab().items()}  # an entry has a character for each byte
+
+    def ids(self, found: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]
+
+
+_held: dict[str, ByteLevel | Pieces] = {}
 
 
-_held: dict[tuple[str, str], Tokenizers] = {}
+def held(kind: type, path: str) -> ByteLevel | Pieces:
+    """One of a kind for each worker process and vocabulary."""
+    if path not in _held:
+        _held[path] = kind(path)
+    return _held[path]
 
 
-def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
-    """One pair for each worker process."""
-    if (a_path, b_path) not in _held:
-        _held[a_path, b_path] = Tokenizers(a_path, b_path)
-    return _held[a_path, b_path]
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and its path.  Shuffle files of the writing go with it."""
+    spark, path, key = df.sparkSession, common.scratch_path(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 CHUNKS = "chunk long, docs array<struct<doc_id: long, units: array<int>>>, words array<string>, times array<long>"
@@ -128,24 +146,24 @@ class _Chunk:
         return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), one(docs).cast(schema.field("docs").type), one(words), one(times)], schema=schema)
 
 
-def chunked(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK) -> DataFrame:
+def chunked(docs: DataFrame, b_path: str, chunk_bytes: int = CHUNK) -> DataFrame:
     """CHUNKS of docs (doc_id, text)."""
     schema = common._arrow_schema(common.T.StructType.fromDDL(CHUNKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        exact, number, held = tokenizers_of(a_path, b_path).exact, TaskContext.get().partitionId() << 32, _Chunk()
+        exact, number, now = held(Pieces, b_path).exact, TaskContext.get().partitionId() << 32, _Chunk()
         for batch in batches:
             ids = batch.column(0)
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
-                held.add(ids[k].as_py(), text if exact(text) else "")
-                if held.size >= chunk_bytes:
-                    yield held.row(number, schema)
-                    number, held = number + 1, _Chunk()
-        if held.ids:
-            yield held.row(number, schema)
+                now.add(ids[k].as_py(), text if exact(text) else "")
+                if now.size >= chunk_bytes:
+                    yield now.row(number, schema)
+                    number, now = number + 1, _Chunk()
+        if now.ids:
+            yield now.row(number, schema)
 
     return common.id_text(docs).mapInArrow(run, CHUNKS)
 
@@ -154,9 +172,8 @@ def tokenised(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """w, word, total with a and b: ids and byte lengths of the tokens of each unit."""
 
     def run(row: dict[str, list]) -> dict[str, list]:
-        t = tokenizers_of(a_path, b_path)
-        told = lambda lists, length: [[{"id": i, "len": length[i]} for i in x] for x in lists]
-        return row | {"a": told(t.of_a(row["word"]), t.a_len), "b": told(t.of_b(row["word"]), t.b_len)}
+        told = lambda by: [[{"id": i, "len": by.length[i]} for i in x] for x in by.ids(row["word"])]
+        return row | {"a": told(held(ByteLevel, a_path)), "b": told(held(Pieces, b_path))}
 
     return common.map_rows(words.select("w", "word", "total"), f"w long, word string, total long, a {TOKENS}, b {TOKENS}", run)
 
@@ -203,15 +220,18 @@ def pair_counts(units_: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of docs (doc_id, text)."""
-    chunks = common.materialize(chunked(docs, a_path, b_path, chunk_bytes), "chunks")
+    spark = docs.sparkSession
+    chunks, _ = stored(chunked(docs, b_path, chunk_bytes), "chunks")
     words = chunks.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n")))).groupBy("word").agg(F.sum("n").alias("total"))
-    words = common.materialize(tokenised(words.withColumn("w", F.monotonically_increasing_id()), a_path, b_path), "words")
-    found = common.materialize(aligned_units(words), "units")
-    pairs = common.materialize(pair_counts(found), "pairs")
+    words, words_path = stored(tokenised(words.withColumn("w", F.monotonically_increasing_id()), a_path, b_path), "words")
+    found, found_path = stored(aligned_units(words), "units")
+    discard(spark, words_path)
+    pairs, _ = stored(pair_counts(found), "pairs")
     small = pairs.count() <= broadcast_pairs
     scored = found.select("w", F.inline("links")).join(F.broadcast(pairs) if small else pairs, ["link_a", "link_b"])
     scores = scored.groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    results = found.drop("links", "total").join(scores, "w").select("word", "groups", *SUMS)
+    results, _ = stored(found.drop("links", "total").join(scores, "w").select("word", "groups", *SUMS), "results")
+    discard(spark, found_path)
     spread = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).join(results, "word")
     tables = spread.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "groups", *SUMS))).alias("table"))
     told = chunks.select("chunk", "docs").join(tables, "chunk", "left")

@@ -95,13 +95,13 @@ def odd_rows():
 def test_units_alone_are_units_in_texts():
     from quillmill.llm.units import units
 
-    t, whole = alignment.Tokenizers(A, B), whole_tokens()
+    a, b, whole = alignment.ByteLevel(A), alignment.Pieces(B), whole_tokens()
     for _, text in odd_rows():
-        if text and t.exact(text):
+        if text and b.exact(text):
             found = units(" " + text)
             left, right = whole(text)
-            assert [i for x in t.of_a(found) for i in x] == [i for i, _ in left], text
-            assert [i for x in t.of_b(found) for i in x] == [i for i, _ in right], text
+            assert [i for x in a.ids(found) for i in x] == [i for i, _ in left], text
+            assert [i for x in b.ids(found) for i in x] == [i for i, _ in right], text
 
 
 @pytest.mark.parametrize("chunk_bytes,broadcast_pairs", [(300, 10_000), (alignment.CHUNK, 0)])
