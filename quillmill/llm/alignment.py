@@ -38,7 +38,7 @@ from . import common
 from .units import parts, pieces_respect, units
 
 #: Bytes of text in a chunk.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Id pairs up to which their counts are broadcast (some 50 MB); beyond it both sides are shuffled.
 BROADCAST_PAIRS = 1_000_000
 
@@ -230,10 +230,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK, b
     small = pairs.count() <= broadcast_pairs
     scored = found.select("w", F.inline("links")).join(F.broadcast(pairs) if small else pairs, ["link_a", "link_b"])
     scores = scored.groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    results, _ = stored(found.drop("links", "total").join(scores, "w").select("word", "groups", *SUMS), "results")
+    results, results_path = stored(found.drop("links", "total").join(scores, "w").select("word", "groups", *SUMS), "results")
     discard(spark, found_path)
     spread = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).join(results, "word")
-    tables = spread.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "groups", *SUMS))).alias("table"))
+    tables, _ = stored(spread.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "groups", *SUMS))).alias("table")), "tables")
+    discard(spark, results_path)
     told = chunks.select("chunk", "docs").join(tables, "chunk", "left")
     row = lambda u: F.col("table")[u]
     total = lambda d, k: F.aggregate(d["units"], F.lit(0).cast("long"), lambda s, u: s + row(u)[k]).alias(k)
