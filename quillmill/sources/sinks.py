@@ -25,12 +25,13 @@ def upsert_version(spark: SparkSession, base: str, new: DataFrame, keys: list[st
     return spark.read.parquet(f"{base}/v={version}")
 
 
-def ledger_ids(rows: DataFrame, order: list[str], used: int = 0, prefix: str = "VG-", parts: int = 32) -> DataFrame:
+def ledger_ids(rows: DataFrame, order: list[str], used: int = 0, prefix: str = "VG-", parts: int | None = None) -> DataFrame:
     """Sequential ids behind those in use, in two passes: ranges by order, counts of the ranges, places within them.
 
     The ranges are written first: their bounds come from a sample, and must be the same for the counts and the places.
+    Without ``parts`` there are as many as a shuffle has, and small neighbours are joined.
     """
-    ranged = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranged = materialize((rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
