@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import assign, contacts, containment, entities, ledger, prices, reconciliation, records, stack  # noqa: F401
 from ..sources import config, sinks
+from ..sources.scratch import scratch_path
+from ..sources.store import Store, append_numbered
 from ..streaming import jobs
+from ..streaming.intake import Intake
 from .base import read
 
 c = F.col
@@ -52,7 +55,6 @@ SELECT printf('VG-%04d', row_number() OVER (ORDER BY seq) + 41) AS ledger_id, st
 
 def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends to a ledger file: the second goes on with the numbers of the first."""
-    from ..sources.scratch import scratch_path
 
     path = scratch_path(spark, "ledger")
     rows = read(spark, sf_dir, "supplier").select("s_suppkey", tx.formula_guard(c("s_name")).alias("name"))
@@ -60,6 +62,42 @@ def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.append_ledger(spark, path, rows.where("s_suppkey >= 50"), ["s_suppkey"]).select("ledger_id", c("s_suppkey").cast("long").alias("s_suppkey"), "name")
 
 
+def numbered_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a ledger in a store; each takes its numbers with its commit."""
+    ledger_store = Store(spark, scratch_path(spark, "store"))
+    rows = read(spark, sf_dir, "supplier").select(c("s_suppkey").cast("long").alias("s_suppkey"), c("s_name").alias("name"))
+    append_numbered(ledger_store, "ledger", rows.where("s_suppkey < 50"), ["s_suppkey"])
+    append_numbered(ledger_store, "ledger", rows.where("s_suppkey >= 50"), ["s_suppkey"])
+    return ledger_store.read("ledger").drop("_commit")
+
+
+def store_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers upserted in three commits, a wrong commit rolled back, and the folders made one."""
+    store = Store(spark, scratch_path(spark, "store"))
+    rows = read(spark, sf_dir, "customer").select(c("c_custkey").cast("long").alias("c_custkey"), c("c_name").alias("name"))
+    store.append("customers", rows.withColumn("round", F.lit(0)))
+    store.append("customers", rows.where("c_custkey % 2 = 0").withColumn("round", F.lit(2)))
+    good = store.append("customers", rows.where("c_custkey % 3 = 0").withColumn("round", F.lit(3)))
+    store.replace("customers", rows.where("c_custkey < 0").withColumn("round", F.lit(9)))
+    store.rollback(good.version)
+    store.compact("customers", ["c_custkey"])
+    return store.latest("customers", ["c_custkey"])
+
+
+def intake_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken in by a stream, again by a stream without its checkpoint (which changes nothing), and the rest by the first."""
+    store, source = Store(spark, scratch_path(spark, "store")), scratch_path(spark, "arrived")
+    docs = read(spark, sf_dir, "documents").select(c("doc_id").cast("long").alias("doc_id"), "text")
+    stream = lambda: spark.readStream.schema(docs.schema).parquet(source)
+    checkpoint = scratch_path(spark, "checkpoint")
+    docs.where("doc_id % 4 <> 3").write.parquet(source)
+    Intake(store).start(stream(), checkpoint).awaitTermination()
+    Intake(store).start(stream(), scratch_path(spark, "checkpoint")).awaitTermination()
+    docs.where("doc_id % 4 = 3").write.mode("append").parquet(source)
+    Intake(store).start(stream(), checkpoint).awaitTermination()
+    return store.read("ledger").drop("_commit")
+
+
 def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source as files: whether all of a file's documents are verified, and its new name."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), "source", F.lit(".pdf")).alias("file"), (c("doc_id") % 37 != 5).alias("verified"), "doc_id")
@@ -159,7 +197,6 @@ def reconciliation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconciliation_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' contacts after the updates, as version 1 of a table whose version 0 stays."""
-    from ..sources.scratch import scratch_path
 
     done = _reconciled(spark, sf_dir)
     base = scratch_path(spark, "contacts")
@@ -351,13 +388,16 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    save_plan, ledger_rows, ledger_append, source_manifest, inventory, contact_upsert, contact_list, known_contacts, reconciliation_status, weak_evidence, reconciliation_summary, reconciliation_apply, supplier_assignment, article_matches, assignment_enrichment, backfill_report,
+    save_plan, ledger_rows, ledger_append, numbered_ledger, store_upserts, intake_ledger, source_manifest, inventory, contact_upsert, contact_list, known_contacts, reconciliation_status, weak_evidence, reconciliation_summary, reconciliation_apply, supplier_assignment, article_matches, assignment_enrichment, backfill_report,
     latest_jobs, unique_jobs, job_lookup, resume_by_hash, checkpoints, committed_stats, job_stages, price_upsert, mail_drafts, vouchers, approval_messages, stored_documents, vector_upsert, audit_log,
 )}
 
 SQL = {
     "save_plan": _SAVED + "SELECT seq, save_status, CASE WHEN save_status = 'DUBLITTE_MD5' THEN 'DUBLITTE_MD5_NO_SAVE' WHEN save_status = 'DUBLITTE_VERDACHT' THEN '04_Pruefung_Erforderlich/DUBLITTEN' WHEN seq % 3 = 0 THEN '01_Eingangsarchiv/' || y ELSE '04_Pruefung_Erforderlich' END AS destination FROM p",
     "ledger_rows": _LEDGER,
+    "numbered_ledger": "SELECT printf('VG-%04d', row_number() OVER (ORDER BY s_suppkey)) AS ledger_id, s_suppkey, s_name AS name FROM supplier",
+    "store_upserts": "SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 3 WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS round FROM customer",
+    "intake_ledger": "WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS md5, row_number() OVER (ORDER BY doc_id % 4 = 3, doc_id) AS n FROM documents) SELECT printf('VG-%04d', n) AS ledger_id, doc_id, md5, CASE WHEN row_number() OVER (PARTITION BY md5 ORDER BY n) = 1 THEN 'NEW' ELSE 'DUPLICATE' END AS status FROM d",
     "ledger_append": "SELECT printf('VG-%04d', row_number() OVER (ORDER BY s_suppkey)) AS ledger_id, s_suppkey, s_name AS name FROM supplier",
     "source_manifest": "WITH d AS (SELECT 'in/' || source || '.pdf' AS file, count(*) AS saved, bool_and(doc_id % 37 <> 5) AS ok, max(CASE WHEN doc_id = 3 THEN 1 ELSE 0 END) AS more FROM documents GROUP BY 1) SELECT file, (saved + more)::BIGINT AS documents, saved, ok AND more = 0 AS complete, CASE WHEN ok AND more = 0 THEN 'Done_' ELSE '' END || substr(file, 4) AS target FROM d",
     "inventory": "SELECT 'f' || o_orderkey || '.pdf' AS source, 'in/' || CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN '' ELSE 'Done_' END || 'f' || o_orderkey || '.pdf' AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'DONE' WHEN o_orderkey % 3 = 0 THEN 'FEHLER' ELSE 'BEREITS_DONE' END AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 UNION ALL SELECT 'f' || o_orderkey || '.pdf', 'in/Done_f' || o_orderkey || '.pdf', 'BEREITS_DONE' FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0",

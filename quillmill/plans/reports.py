@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import amounts, classify, extract, measures, segment, stack
+from ..operators import amounts, classify, entities, extract, measures, search, segment, stack
+from ..operators.search_index import SearchIndex
+from ..sources.scratch import scratch_path
+from ..sources.store import Store
 from .base import read
-from .texts import _STACK, _stack, _word, _stack_pages
+from .knowledge import _HUB, _HUB_STAGE, _asked, _docs, _hubs, _text_sql
+from .texts import _CONTAIN, _STACK, _stack, _word, _stack_pages
 
 c = F.col
 
@@ -173,28 +178,36 @@ def rag_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- measures ----
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as queries of three types, and five hits for each by rule."""
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as queries of three types: a passage's hub page, or the documents that hold its words, is what should be found."""
     i, none = c("item_id"), F.array().cast("array<string>")
     b = read(spark, sf_dir, "benchmark")
-    truth = b.select(
-        i.alias("query_id"), F.when(i % 3 == 0, "entity").when(i % 3 == 1, "amount").otherwise("date_range").alias("query_type"), F.when(i % 3 == 0, F.concat(F.lit("hub_"), i)).alias("expected_entity"), F.when(i % 3 != 0, F.array(F.concat(F.lit("doc_"), (i * 7 + 4) % 50))).otherwise(none).alias("expected_docs"),
+    holding = entities.contained_names(read(spark, sf_dir, "documents"), "doc_id", "text", b, "item_id", "text").groupBy(c("name_id").alias("item_id")).agg(F.collect_set(c("doc_id").cast("string")).alias("docs"))
+    return b.join(holding, "item_id", "left").select(
+        i.alias("query_id"), F.when(i % 3 == 0, "amount").when(i % 3 == 1, "entity").otherwise("date_range").alias("query_type"), F.when(i % 3 == 1, F.concat(F.lit("hub_"), i)).alias("expected_entity"), F.when(i % 3 != 1, F.coalesce("docs", none)).otherwise(none).alias("expected_docs"),
         F.when(i % 5 == 0, F.array(F.lit("wiki_lieferant"), F.lit("beleg"))).otherwise(none).alias("allowed_categories"), F.when(i % 7 == 0, F.array(F.lit("fts5"))).otherwise(none).alias("expected_sources"),
     )
-    r = c("rank")
-    hub = (r == 1) & (i % 3 == 0)
-    hits = b.where("item_id % 11 <> 10").select(i, F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).select(
-        i.alias("query_id"), "rank", F.when(hub, F.concat(F.lit("hub_"), i + F.when(i % 9 == 0, 1).otherwise(0))).otherwise(F.concat(F.lit("doc_"), (i * 7 + r * r - F.when((i % 4 == 0) & (r == 4), 12).otherwise(0)) % 50)).alias("doc_id"),
-        F.element_at(F.array(F.lit("fts5"), F.lit("ocr_fallback"), F.lit("wiki")), ((i + r) % 3 + 1).cast("int")).alias("source"), F.when(hub, "wiki_lieferant").when(i % 10 == 5, "konzept").otherwise("beleg").alias("category"),
-    )
-    return truth, hits
 
 
-_TRUTH = """
-WITH t AS (SELECT item_id AS q, CASE item_id % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'amount' ELSE 'date_range' END AS ty, CASE WHEN item_id % 3 = 0 THEN 'hub_' || item_id END AS ent, CASE WHEN item_id % 3 <> 0 THEN 'doc_' || (item_id * 7 + 4) % 50 END AS doc, item_id % 5 = 0 AS ac, item_id % 7 = 0 AS src FROM benchmark),
-h AS (SELECT item_id AS q, r, CASE WHEN r = 1 AND item_id % 3 = 0 THEN 'hub_' || (item_id + CASE WHEN item_id % 9 = 0 THEN 1 ELSE 0 END) ELSE 'doc_' || (item_id * 7 + r * r - CASE WHEN item_id % 4 = 0 AND r = 4 THEN 12 ELSE 0 END) % 50 END AS d, (['fts5', 'ocr_fallback', 'wiki'])[(item_id + r) % 3 + 1] AS s, CASE WHEN r = 1 AND item_id % 3 = 0 THEN 'wiki_lieferant' WHEN item_id % 10 = 5 THEN 'konzept' ELSE 'beleg' END AS k FROM benchmark, range(1, 6) x(r) WHERE item_id % 11 <> 10),
-j AS (SELECT t.q, ty, ent, h.r, h.d, h.s, h.k, coalesce(h.d = ent, false) OR coalesce(h.d = doc, false) AS good, NOT ac OR coalesce(h.k IN ('wiki_lieferant', 'beleg'), false) AS okc, NOT src OR coalesce(h.s = 'fts5', false) AS oks FROM t LEFT JOIN h ON h.q = t.q),
-p AS (SELECT q, ty, ent, min(r) FILTER (good AND okc AND oks) AS f, count(d) AS n, count(DISTINCT d) AS nd, count(*) FILTER (good) AS rel, count(*) FILTER (good AND NOT okc) AS bc, count(*) FILTER (good AND NOT oks) AS bs, arg_min(d, r) FILTER (ent IS NOT NULL AND k LIKE 'wiki\\_%' ESCAPE '\\') AS hub, arg_min(d, r) AS top, count(d) FILTER (r > 1) AS m, count(DISTINCT d) FILTER (r > 1) AS md,
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search for the whole passages finds: hub pages first, then summaries and texts by kept indexes."""
+    asked, hubs, docs, store = _asked(spark, sf_dir), _hubs(spark, sf_dir), _docs(spark, sf_dir), Store(spark, scratch_path(spark, "retrieval"))
+    indexes = {name: SearchIndex(store, name) for name in ("summary", "text")}
+    for name, index in indexes.items():
+        index.refresh(docs, "doc_id", name)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    hub = search.hub_hits(asked, hubs).join(hubs.select("doc_id", "category"), "doc_id").withColumns({"source": F.lit("wiki"), "rank": place})
+    text = search.kept_text_hits(asked, indexes["summary"], indexes["text"], 5).withColumn("category", F.lit("beleg")).withColumn("doc_id", c("doc_id").cast("string"))
+    return search.fuse([hub, text], 5)
+
+
+_TRUTH = _CONTAIN.rstrip().replace("WITH n AS", "WITH cn AS").replace("FROM d JOIN n ON", "FROM cd JOIN cn ON").replace("\nd AS (", "\ncd AS (").replace("\nc AS (", "\ncc AS (") + "," + _HUB + "," + _text_sql("t", "SELECT * FROM sq") + f""",
+hu AS ({_HUB_STAGE} UNION ALL SELECT query_id, doc_id::VARCHAR, source, 'beleg', 1, rank FROM tk WHERE rank <= 5),
+h AS (SELECT query_id AS q, row_number() OVER (PARTITION BY query_id ORDER BY stage, place, doc_id) AS r, doc_id AS d, source AS s, category AS k FROM hu QUALIFY r <= 5),
+t AS (SELECT item_id AS q, CASE item_id % 3 WHEN 0 THEN 'amount' WHEN 1 THEN 'entity' ELSE 'date_range' END AS ty, CASE WHEN item_id % 3 = 1 THEN 'hub_' || item_id END AS ent, item_id % 5 = 0 AS ac, item_id % 7 = 0 AS src FROM benchmark),
+want AS (SELECT name_id AS q, list(DISTINCT doc_id::VARCHAR) AS docs FROM cc WHERE name_id % 3 <> 1 GROUP BY name_id),
+j AS (SELECT t.q, ty, ent, h.r, h.d, h.s, h.k, coalesce(h.d = ent, false) OR coalesce(list_contains(want.docs, h.d), false) AS good, NOT ac OR coalesce(h.k IN ('wiki_lieferant', 'beleg'), false) AS okc, NOT src OR coalesce(h.s = 'fts5', false) AS oks FROM t LEFT JOIN h ON h.q = t.q LEFT JOIN want ON want.q = t.q),
+""" + r"""p AS (SELECT q, ty, ent, min(r) FILTER (good AND okc AND oks) AS f, count(d) AS n, count(DISTINCT d) AS nd, count(*) FILTER (good) AS rel, count(*) FILTER (good AND NOT okc) AS bc, count(*) FILTER (good AND NOT oks) AS bs, arg_min(d, r) FILTER (ent IS NOT NULL AND k LIKE 'wiki\_%' ESCAPE '\') AS hub, arg_min(d, r) AS top, count(d) FILTER (r > 1) AS m, count(DISTINCT d) FILTER (r > 1) AS md,
   coalesce(bool_or(good AND s = 'fts5'), false) AS fts, coalesce(bool_or(good AND s = 'ocr_fallback'), false) AS ocr, coalesce(bool_or(s = 'ocr_fallback'), false) AS used FROM j GROUP BY ALL),
 rep AS (SELECT ty AS query_type, count(*) AS queries, avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0 END) AS hit_at_1, avg(CASE WHEN f <= 3 THEN 1.0 ELSE 0 END) AS hit_at_3, avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0 END) AS hit_at_5, avg(coalesce(1.0::DOUBLE / f, 0)) AS mrr, avg(CASE WHEN n > nd THEN 1.0 ELSE 0 END) AS duplicate_rate,
   coalesce(avg(CASE WHEN hub <> ent THEN 1.0 ELSE 0 END) FILTER (ty = 'entity'), 0) AS false_entity_rate, coalesce(avg(CASE WHEN hub IS NULL THEN 1.0 ELSE 0 END) FILTER (ty = 'entity'), 0) AS entity_miss_rate, coalesce(avg(CASE WHEN top = ent AND m = md THEN 1.0 ELSE 0 END) FILTER (ty = 'entity'), 0) AS hub_first_rate,
@@ -203,7 +216,7 @@ rep AS (SELECT ty AS query_type, count(*) AS queries, avg(CASE WHEN f <= 1 THEN
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.retrieval_report(*_truth(spark, sf_dir))
+    return measures.retrieval_report(_truth(spark, sf_dir), _found(spark, sf_dir))
 
 
 def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +224,7 @@ def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.source_counts(_truth(spark, sf_dir)[1])
+    return measures.source_counts(_found(spark, sf_dir))
 
 
 def truth_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +273,6 @@ SELECT (SELECT count(*) FROM f WHERE n % 5 <> 0 AND (k + n) % 29 <> 0) / (SELECT
 def extraction_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the extraction as JSON, CSV and Markdown files, and the Markdown read back."""
     from ..sources import sinks
-    from ..sources.scratch import scratch_path
 
     report = extraction_metrics(spark, sf_dir)
     folder = scratch_path(spark, "report")
