@@ -146,6 +146,28 @@ def stack_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.analyse(_german(spark, sf_dir), "o_orderkey", "text").select(c("doc_id").alias("o_orderkey"), "document_type", "guard", "route", "supplier", "number", "kind", "net", "tax", "gross", "amounts_estimated")
 
 
+def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as invoices of ten kinds, each with another piece of evidence beside or against it."""
+    o = read(spark, sf_dir, "orders")
+    v, net = c("o_orderkey") % 10, F.round(c("o_totalprice") * 100).cast("long")
+    tax = F.floor(net * 19 / 100).cast("long")
+    number = F.when(v == 5, F.lit("5")).otherwise(c("o_orderkey").cast("string"))
+    cents, vat = F.when(v == 5, F.lit(10000)).otherwise(net), F.when(v == 5, F.lit(1900)).otherwise(tax)
+    day = F.when(v == 5, F.lit("01.02.2024")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    sums = F.concat(F.when(v == 6, "\nNettobetrag ").otherwise("\nNetto "), _money(cents), F.when(v == 4, " USD").otherwise(" EUR"), F.lit("\nMwSt "), _money(vat), F.lit(" EUR\nGesamtbetrag "), _money(cents + vat), F.lit(" EUR"))
+    who = F.when(v == 6, F.concat(F.lit("Lieferung durch Supplier#"), F.lpad((c("o_orderkey") % 5 + 1).cast("string"), 9, "0"))).otherwise("Metro Großhandel")
+    text = F.concat(who, F.lit("\nRechnungsnummer: RE-"), number, F.lit("\nRechnungsdatum "), day, sums, F.lit("\nzu zahlen sofort"))
+    quality, boundary = F.when(v == 7, 0.72).when(v == 8, 0.6).when(v == 9, 0.8).otherwise(0.95), F.when(v == 2, 0.5).otherwise(0.95)
+    return o.select("o_orderkey", text.alias("text"), quality.alias("quality"), boundary.alias("boundary"), (v == 1).alias("failed"), (v == 3).alias("warned"))
+
+
+def evidence_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every route of the analysis, each by its evidence, and the supplier that the master data assign."""
+    suppliers = read(spark, sf_dir, "supplier").select(c("s_suppkey").cast("long").alias("supplier_id"), c("s_name").alias("name"))
+    found = stack.analyse(_invoices(spark, sf_dir), "o_orderkey", "text", c("quality"), c("boundary"), c("failed"), c("warned"), suppliers)
+    return found.select(c("doc_id").alias("o_orderkey"), "route", F.array_join("blocking_reasons", ",").alias("reasons"), F.array_join("missing_fields", ",").alias("missing"), "supplier_id", "supplier_name")
+
+
 def mail_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The real intents on seeded mails, the sender's name, and headers quoted in the body."""
     o = read(spark, sf_dir, "orders")
@@ -292,7 +314,7 @@ def cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_gaps, blank_pages, plain_boundaries, page_coverage, useful_documents, recognition, boundary_compare, german_types, german_fields, amount_parse, stack_analysis, mail_intents, german_boundaries, extract_context, rag_query_text,
+    page_gaps, blank_pages, plain_boundaries, page_coverage, useful_documents, recognition, boundary_compare, german_types, german_fields, amount_parse, stack_analysis, evidence_routes, mail_intents, german_boundaries, extract_context, rag_query_text,
     retrieval_metrics, retrieval_gate, source_counts, truth_errors, extraction_metrics, extraction_markdown, incomplete_documents, cache_counts,
 )}
 
@@ -324,6 +346,12 @@ SQL = {
   CASE WHEN o_orderkey % 5 = 0 AND (k < 4 OR o_orderkey % 3 = 0) THEN NULL ELSE k = 1 END AS credit_note, round(CASE WHEN k < 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN 0.78::DOUBLE ELSE 0.98::DOUBLE END ELSE 0 END, 6) AS confidence FROM m""",
     "stack_analysis": _G + """SELECT o_orderkey, (['Rechnung', 'Gutschrift', 'Lieferschein', 'Kontoauszug', 'Systembenachrichtigung / Login', 'Mahnung', 'Werbung / Newsletter', 'Unlesbar'])[k + 1] AS document_type, CASE k WHEN 3 THEN 'bank_statement_guard' WHEN 4 THEN 'system_notification_guard' WHEN 6 THEN 'classifier_guard' END AS guard, (['FAST_LANE', 'TARGETED_LLM', 'MANUAL_REVIEW', 'MANUAL_REVIEW', 'MANUAL_REVIEW', 'MANUAL_REVIEW', 'MANUAL_REVIEW', 'MANUAL_REVIEW'])[k + 1] AS route,
   CASE k WHEN 0 THEN 'Metro' WHEN 1 THEN 'Edeka' END AS supplier, CASE k WHEN 0 THEN 'RE-' || o_orderkey WHEN 1 THEN 'UNBEKANNT' END AS number, CASE WHEN k < 7 THEN document_type END AS kind, CASE WHEN k < 2 THEN n / 100.0::DOUBLE END AS net, CASE WHEN k < 2 THEN t / 100.0::DOUBLE END AS tax, CASE WHEN k < 2 THEN (n + t) / 100.0::DOUBLE END AS gross, CASE WHEN k < 2 THEN false END AS amounts_estimated FROM m""",
+    "evidence_routes": """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 10 AS v FROM orders), f AS (SELECT min(k) AS first FROM o WHERE v = 5)
+SELECT k AS o_orderkey, CASE WHEN v = 0 OR v = 5 AND k = first THEN 'FAST_LANE' WHEN v = 1 THEN 'REJECTED' WHEN v IN (2, 3, 4, 5, 8) THEN 'MANUAL_REVIEW' WHEN v IN (6, 9) THEN 'TARGETED_LLM' ELSE 'FULL_LLM' END AS route,
+  CASE v WHEN 1 THEN 'invalid_input' WHEN 2 THEN 'low_boundary_confidence' WHEN 3 THEN 'boundary_conflict' WHEN 4 THEN 'currency_conflict' WHEN 5 THEN CASE WHEN k = first THEN '' ELSE 'duplicate_warning' END WHEN 8 THEN 'low_ocr_score' ELSE '' END AS reasons,
+  CASE v WHEN 6 THEN 'invoice_number' ELSE '' END AS missing, CASE WHEN v = 6 THEN k % 5 + 1 END AS supplier_id, CASE WHEN v = 6 THEN printf('Supplier#%09d', k % 5 + 1) ELSE 'Metro' END AS supplier_name
+FROM o, f""",
     "extract_context": rf"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, string_split(substr(text, 1, 1800), chr(10)) AS h, string_split(right(text, 1800), chr(10)) AS e FROM documents),
 x AS (SELECT doc_id, list_filter({_TIDY.format("list_concat(list_concat(h, list_filter(l, lambda x: regexp_matches(x, '(?i)" + extract.SALIENT + "'))[1:80]), e)")}, lambda x: x <> '') AS y FROM s)

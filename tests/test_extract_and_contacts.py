@@ -71,3 +71,14 @@ def test_pages_and_drafts(spark):
     mails = spark.createDataFrame([("a", "s", "Metro", "PREIS_ERHOEHUNG", 1), ("a", "s", "Lidl", "PREIS_ERHOEHUNG", 2), ("a", "s", None, None, 3)], "sender string, subject string, supplier string, intent string, at int")
     d = {r.intent: r for r in records.keep_last(records.mail_drafts(mails), ["draft_id"], ["at"]).collect()}
     assert len(d) == 2 and "Gegenangebot" in d["PREIS_ERHOEHUNG"].draft and d["PREIS_ERHOEHUNG"].supplier == "Lidl" and d["ALLGEMEINE_ANFRAGE"].draft.startswith("Guten Tag Lieferant,")
+
+
+def test_evidence_of_repeats_and_currencies(spark):
+    from quillmill.operators import stack
+
+    rows = [(1, "x"), (2, "x"), (3, "Netto 1,00 EUR\nBrutto 1,19 USD"), (4, "Netto 1,00 EUR\nBrutto 1,19 EUR"), (5, ""), (6, " ")]
+    base = spark.createDataFrame(rows, "doc_id long, _text string")
+    known = spark.sql("select md5('Netto 1,00 EUR\nBrutto 1,19 EUR') as md5")
+    assert sorted(r.doc_id for r in stack.repeated(base).collect()) == [2]
+    assert sorted({r.doc_id for r in stack.repeated(base, known).collect()}) == [2, 4]
+    assert [r.doc_id for r in stack.mixed_currencies(base).collect()] == [3]
