@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import assign, contacts, containment, entities, ledger, prices, reconciliation, records, stack  # noqa: F401
 from ..sources import config, sinks
+from ..sources.page_cache import PageCache
 from ..sources.scratch import scratch_path
 from ..sources.store import Store, append_numbered
 from ..streaming import jobs, leases
@@ -119,6 +120,18 @@ def lease_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(states).groupBy("job_id").agg(F.max_by(F.struct(*values), "_batch").alias("s")).select("job_id", "s.*")
 
 
+def page_cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of suppliers, one for each nation, read in three runs: all anew, none, and those of one more folder with equal contents."""
+    folder, cache = scratch_path(spark, "files"), PageCache(Store(spark, scratch_path(spark, "store")))
+    rows = read(spark, sf_dir, "supplier").select("s_nationkey", c("s_name").alias("value")).coalesce(1)
+    rows.write.partitionBy("s_nationkey").text(f"{folder}/one")
+    cache.read(folder, glob="*.txt")
+    cache.read(folder, glob="*.txt")
+    rows.where("s_nationkey % 2 = 0").write.partitionBy("s_nationkey").text(f"{folder}/two")
+    cache.read(folder, glob="*.txt")
+    return cache.store.read("runs").select("run", "files", "hits", "misses")
+
+
 def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source as files: whether all of a file's documents are verified, and its new name."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), "source", F.lit(".pdf")).alias("file"), (c("doc_id") % 37 != 5).alias("verified"), "doc_id")
@@ -409,7 +422,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    save_plan, ledger_rows, ledger_append, numbered_ledger, store_upserts, intake_ledger, lease_expiry, source_manifest, inventory, contact_upsert, contact_list, known_contacts, reconciliation_status, weak_evidence, reconciliation_summary, reconciliation_apply, supplier_assignment, article_matches, assignment_enrichment, backfill_report,
+    save_plan, ledger_rows, ledger_append, numbered_ledger, store_upserts, intake_ledger, lease_expiry, page_cache_runs, source_manifest, inventory, contact_upsert, contact_list, known_contacts, reconciliation_status, weak_evidence, reconciliation_summary, reconciliation_apply, supplier_assignment, article_matches, assignment_enrichment, backfill_report,
     latest_jobs, unique_jobs, job_lookup, resume_by_hash, checkpoints, committed_stats, job_stages, price_upsert, mail_drafts, vouchers, approval_messages, stored_documents, vector_upsert, audit_log,
 )}
 
@@ -420,6 +433,7 @@ SQL = {
     "store_upserts": "SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 3 WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS round FROM customer",
     "intake_ledger": "WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS md5, row_number() OVER (ORDER BY doc_id % 4 = 3, doc_id) AS n FROM documents) SELECT printf('VG-%04d', n) AS ledger_id, doc_id, md5, CASE WHEN row_number() OVER (PARTITION BY md5 ORDER BY n) = 1 THEN 'NEW' ELSE 'DUPLICATE' END AS status FROM d",
     "lease_expiry": "WITH e AS (SELECT c_custkey AS k, c_custkey * 10.0::DOUBLE + 1 AS t, c_custkey % 3 AS m FROM customer), x AS (SELECT *, CASE m WHEN 0 THEN t + 600 WHEN 1 THEN t + 1100 END AS l, (SELECT max(t + CASE m WHEN 0 THEN 10 WHEN 1 THEN 500 ELSE 20 END) FROM e) AS now FROM e), y AS (SELECT *, m = 2 OR l <= now AS back FROM x) SELECT k::VARCHAR AS job_id, CASE WHEN back THEN 'RETRY_PENDING' WHEN m = 0 THEN 'OCR_RUNNING' ELSE 'DISCOVERED' END AS status, back::INTEGER AS attempts, CASE WHEN NOT back THEN 'w' END AS owner, CASE WHEN NOT back THEN l END AS lease, CASE WHEN m = 2 THEN t + 50 WHEN back THEN l + 30 END AS retry_at, CASE WHEN back THEN CASE m WHEN 0 THEN 'OCR_RUNNING' ELSE 'DISCOVERED' END END AS stage, 0 AS rejected FROM y",
+    "page_cache_runs": "WITH n AS (SELECT count(DISTINCT s_nationkey) AS n, count(DISTINCT s_nationkey) FILTER (s_nationkey % 2 = 0) AS e FROM supplier) SELECT 1 AS run, n AS files, 0::BIGINT AS hits, n AS misses FROM n UNION ALL SELECT 2, n, n, 0 FROM n UNION ALL SELECT 3, n + e, n + e, 0 FROM n",
     "ledger_append": "SELECT printf('VG-%04d', row_number() OVER (ORDER BY s_suppkey)) AS ledger_id, s_suppkey, s_name AS name FROM supplier",
     "source_manifest": "WITH d AS (SELECT 'in/' || source || '.pdf' AS file, count(*) AS saved, bool_and(doc_id % 37 <> 5) AS ok, max(CASE WHEN doc_id = 3 THEN 1 ELSE 0 END) AS more FROM documents GROUP BY 1) SELECT file, (saved + more)::BIGINT AS documents, saved, ok AND more = 0 AS complete, CASE WHEN ok AND more = 0 THEN 'Done_' ELSE '' END || substr(file, 4) AS target FROM d",
     "inventory": "SELECT 'f' || o_orderkey || '.pdf' AS source, 'in/' || CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN '' ELSE 'Done_' END || 'f' || o_orderkey || '.pdf' AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'DONE' WHEN o_orderkey % 3 = 0 THEN 'FEHLER' ELSE 'BEREITS_DONE' END AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 UNION ALL SELECT 'f' || o_orderkey || '.pdf', 'in/Done_f' || o_orderkey || '.pdf', 'BEREITS_DONE' FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0",
