@@ -11,7 +11,10 @@ kept in its columns (turn, then the formatted text for rows that repeat a turn;
 such as a digest over a conversation, streams through sorted partitions with a state of fixed size.
 
 Cases: null texts and roles are empty; null conv_ids form one conversation; repeated rows are turns of their own; an
-empty table gives no conversations.
+empty table gives no conversations; rows of a conversation -1 in the table join the one that the query adds.  A part
+of another type is a ``part`` placeholder whose attachment keeps the type and expands to no tokens; a text that it has
+follows, unlearned.  A size or page count that is null counts as one tile or page, as does one below 1; seconds that
+are null, negative or not finite count as none; no attachment expands to more than MAX_TOKENS.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from . import common
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens that attachments expand to: for each image tile and image, for a second of sound, for a document's page.
 TILE, TILE_TOKENS, IMAGE_TOKENS, AUDIO_TOKENS, PAGE_TOKENS = 512, 170, 85, 25, 600
+MAX_TOKENS = 2**31 - 1
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 _escape, _unescape = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_marks = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_marks = re.compile(r"<\|(image|audio|document|part):(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -68,10 +72,8 @@ class Turn:
 
     def visit(self, part: dict, learned: bool) -> None:
         kind = part.get("type") or "text"
-        visit = getattr(self, f"visit_{kind}", None)
-        if not visit:
-            raise ValueError(f"no such content part: {kind}")
-        visit(part, learned)
+        visitors = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        visitors.get(kind, self.visit_other)(part, learned)
 
     def visit_text(self, part: dict, learned: bool) -> None:
         span = self.put(escape(part.get("text") or ""))
@@ -79,18 +81,23 @@ class Turn:
             self.loss.append(span)
 
     def visit_image(self, part: dict, _: bool) -> None:
-        tiles = math.ceil((part.get("width") or TILE) / TILE) * math.ceil((part.get("height") or TILE) / TILE)
+        tiles = math.prod(-(-max(part.get(side) or TILE, 1) // TILE) for side in ("width", "height"))
         self.attach("image", part, IMAGE_TOKENS + TILE_TOKENS * tiles)
 
     def visit_audio(self, part: dict, _: bool) -> None:
-        self.attach("audio", part, math.ceil((part.get("seconds") or 0) * AUDIO_TOKENS))
+        seconds = part.get("seconds") or 0
+        self.attach("audio", part, math.ceil(min(max(seconds, 0), MAX_TOKENS) * AUDIO_TOKENS) if math.isfinite(seconds) else 0)
 
     def visit_document(self, part: dict, _: bool) -> None:
-        self.attach("document", part, (part.get("pages") or 1) * PAGE_TOKENS)
+        self.attach("document", part, max(part.get("pages") or 1, 1) * PAGE_TOKENS)
 
-    def attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.attachments.append((len(self.attachments), kind, part.get("ref") or "", tokens))
-        self.put(f"<|{kind}:{len(self.attachments) - 1}|>")
+    def visit_other(self, part: dict, _: bool) -> None:
+        self.attach("part", part, 0)
+        self.put(escape(part.get("text") or ""))
+
+    def attach(self, mark: str, part: dict, tokens: int) -> None:
+        self.attachments.append((len(self.attachments), part["type"], part.get("ref") or "", min(tokens, MAX_TOKENS)))
+        self.put(f"<|{mark}:{len(self.attachments) - 1}|>")
 
 
 def format_turn(role: str | None, parts: list[dict] | None) -> Turn:

@@ -25,14 +25,20 @@ lev AS (
   UNION ALL SELECT 1, lang, NULL, measure, low, sum(n) FROM b GROUP BY ALL
   UNION ALL SELECT 2, NULL, NULL, measure, low, sum(n) FROM b GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM lev),
-q AS (SELECT level, lang, source, measure, min(CASE WHEN upto * 100 >= total * 25 THEN low END) AS q25, min(CASE WHEN upto * 100 >= total * 75 THEN low END) AS q75, max(total) AS docs FROM run GROUP BY ALL),
-cut AS (SELECT level, lang, source, measure, docs, q75 + 6 * greatest(q75 - q25, CASE measure WHEN 'm_length' THEN 100 WHEN 'm_symbols' THEN 150 WHEN 'm_dup' THEN 100 ELSE 50 END) AS cut FROM q),
-wide AS (SELECT level, lang, source, max(docs) AS docs, max(cut) FILTER (measure = 'm_length') AS c1, max(cut) FILTER (measure = 'm_symbols') AS c2, max(cut) FILTER (measure = 'm_dup') AS c3, max(cut) FILTER (measure = 'm_repeat') AS c4 FROM cut GROUP BY ALL),
+t(measure, tail, spread) AS (VALUES ('m_length', 75, 10), ('m_symbols', 75, 8), ('m_dup', 99, 2), ('m_repeat', 99, 2)),
+q AS (
+  SELECT level, lang, source, measure, min(tail) AS tail, min(spread) AS spread, max(total) AS docs, min(CASE WHEN upto * 100 >= total * (100 - tail) THEN low END) AS q_low,
+    min(CASE WHEN upto * 100 >= total * 50 THEN low END) AS q_mid, min(CASE WHEN upto * 100 >= total * tail THEN low END) AS q_high FROM run JOIN t USING (measure) GROUP BY level, lang, source, measure),
+cut AS (
+  SELECT o.level, o.lang, o.source, o.measure, o.docs, o.q_high + o.spread * greatest(o.q_high - o.q_mid, w.q_high - w.q_mid, 1 << greatest(length(bin(o.q_high)) - 6, 0)) AS high,
+    o.q_low - o.spread * greatest(o.q_mid - o.q_low, w.q_mid - w.q_low, 1 << greatest(length(bin(o.q_high)) - 6, 0)) AS low
+  FROM q o LEFT JOIN q w ON o.level = 0 AND o.tail >= 99 AND w.level = 1 AND w.docs >= 30 AND o.lang IS NOT DISTINCT FROM w.lang AND o.measure = w.measure),
+wide AS (SELECT level, lang, source, max(docs) AS docs, max(high) FILTER (measure = 'm_length') AS c1, max(high) FILTER (measure = 'm_symbols') AS c2, max(high) FILTER (measure = 'm_dup') AS c3, max(high) FILTER (measure = 'm_repeat') AS c4, max(low) FILTER (measure = 'm_length') AS c5 FROM cut GROUP BY ALL),
 picked AS (
   SELECT a.lang, a.source, unnest([CASE WHEN a.docs >= 30 THEN a ELSE CASE WHEN b.docs >= 30 THEN b ELSE c END END]) AS x
   FROM (SELECT * FROM wide WHERE level = 0) a LEFT JOIN (SELECT * FROM wide WHERE level = 1) b ON a.lang IS NOT DISTINCT FROM b.lang LEFT JOIN (SELECT * FROM wide WHERE level = 2) c ON true)
 SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed,
-  NOT s.base_failed AND coalesce(m_length <= x.c1, true) AND coalesce(m_symbols <= x.c2, true) AND coalesce(m_dup <= x.c3, true) AND coalesce(m_repeat <= x.c4, true) AS kept
+  NOT s.base_failed AND coalesce(m_length <= x.c1, true) AND coalesce(m_symbols <= x.c2, true) AND coalesce(m_dup <= x.c3, true) AND coalesce(m_repeat <= x.c4, true) AND coalesce(m_length >= x.c5, true) AS kept
 FROM s LEFT JOIN picked ON s.lang IS NOT DISTINCT FROM picked.lang AND s.source IS NOT DISTINCT FROM picked.source
 """
 

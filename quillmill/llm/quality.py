@@ -4,8 +4,11 @@ Each text is measured once.  The measures of texts that pass the base rule go, a
 histogram sketches (buckets with at most 1/32 relative width; two sketches merge by adding counts, so the result
 does not depend on order or partitioning).  One sketch stands for each (lang, source), and its counts also add up
 to one for each lang and one for all.  A group with under ``min_docs`` texts takes its language's cutoffs, and a
-language with too few those of all texts.  A cutoff is ``q75 + spread * max(q75 - q25, least)``: far outside of what
-the group's own texts do, so a group's ordinary texts stay.  The texts' measures join the cutoffs on (lang, source).
+language with too few those of all texts.  Each measure names a tail in percent and a spread.  Its upper cutoff is
+``q_tail + spread * (q_tail - q50)``, far outside of what the group's own texts do, so a group's ordinary texts stay;
+word length has a lower one likewise, from the other end.  Where the last percent is
+asked, a group's distance is at least its language's, since few of a group's texts, or none, tell it; every distance
+is at least the width of the sketch's bucket.  No further constant enters.  The texts' measures join the cutoffs on (lang, source).
 
 Cases: a null or empty text has no words and fails the base rule; null lang or source is a group of its own; equal
 rows get equal verdicts; an empty table gives an empty result; further columns are not read.
@@ -26,14 +29,22 @@ from . import common
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Measures in whole numbers, and the least spread that each is granted.
+#: Measures in whole numbers, each with a tail in percent and a spread.  Word length and symbols take quartiles, which
+#: hold while three quarters of a group's texts are ordinary; lines and words that recur are rare in ordinary texts
+#: too, so their quartiles say nothing and the last percent is asked.
 MEASURES = {
-    "m_length": ("word_chars * 100", "n_words", 100),
-    "m_symbols": ("n_symbols * 1000", "n_words", 150),
-    "m_dup": ("n_dup_lines * 1000", "n_lines", 100),
-    "m_repeat": ("n_repeat_words * 1000", "n_words", 50),
+    "m_length": ("word_chars * 100", "n_words", 75, 10),
+    "m_symbols": ("n_symbols * 1000", "n_words", 75, 8),
+    "m_dup": ("n_dup_lines * 1000", "n_lines", 99, 2),
+    "m_repeat": ("n_repeat_words * 1000", "n_words", 99, 2),
 }
-SPREAD, MIN_DOCS = 6, 30
+#: Measures that are odd at both ends.
+BOTH = ("m_length",)
+MIN_DOCS = 30
+#: Tails from which on a group's distance is at least its language's.
+RARE = 99
+#: Columns of cutoffs: each measure's upper one, then the lower ones.
+CUTS = (*MEASURES, *[f"{k}_low" for k in BOTH])
 #: Sub-buckets of a power of two.
 SUB = 32
 
@@ -98,7 +109,7 @@ def least_of(bucket_col: Column) -> Column:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """lang, source, level, measure, bucket, n: level 0 for (lang, source), 1 for lang, 2 for all."""
-    good = stats.where(~F.col("base_failed")).select("lang", "source", *[F.expr(f"({a}) div greatest({b}, 1)").alias(k) for k, (a, b, _) in MEASURES.items()])
+    good = stats.where(~F.col("base_failed")).select("lang", "source", *[F.expr(f"({a}) div greatest({b}, 1)").alias(k) for k, (a, b, *_) in MEASURES.items()])
     long = good.unpivot(["lang", "source"], list(MEASURES), "measure", "v").groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
     by_lang = long.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
@@ -110,21 +121,34 @@ def sketches(stats: DataFrame) -> DataFrame:
     )
 
 
-def cutoffs(sketch: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, source and a cutoff for each measure; one row for each group that the sketches know at level 0."""
+def width(v: Column) -> Column:
+    """The width of the bucket that begins at v."""
+    return F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(v)) - F.lit(6), F.lit(0))).cast("long")
+
+
+def cutoffs(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, source and the cutoffs; one row for each group that the sketches know at level 0."""
     key = Window.partitionBy("level", "lang", "source", "measure")
     ranked = sketch.withColumn("upto", F.sum("n").over(key.orderBy("bucket"))).withColumn("total", F.sum("n").over(key))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, m in MEASURES.items() for x in (k, m[i])]), F.col("measure"))
+    ranked = ranked.withColumn("tail", of(2))
     at = lambda q: least_of(F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))))
-    quant = ranked.groupBy("level", "lang", "source", "measure").agg(at(25).alias("q25"), at(75).alias("q75"), F.max("total").alias("total"))
-    least = F.element_at(F.create_map(*[F.lit(x) for k, m in MEASURES.items() for x in (k, m[2])]), F.col("measure"))
-    cut = quant.withColumn("cut", F.col("q75") + F.lit(spread) * F.greatest(F.col("q75") - F.col("q25"), least))
-    wide = cut.groupBy("level", "lang", "source").agg(F.max("total").alias("docs"), *[F.max(F.when(F.col("measure") == k, F.col("cut"))).alias(k) for k in MEASURES])
-    level = lambda n, p: wide.where(F.col("level") == n).select(*[F.col(c).alias(p + c) for c in ("lang", "source", "docs", *MEASURES)])
+    quant = ranked.groupBy("level", "lang", "source", "measure", "tail").agg(
+        at(F.lit(100) - F.col("tail")).alias("q_low"), at(F.lit(50)).alias("q_mid"), at(F.col("tail")).alias("q_high"), F.max("total").alias("total")
+    )
+    quant = quant.withColumns({"up": F.col("q_high") - F.col("q_mid"), "down": F.col("q_mid") - F.col("q_low")})
+    whole = quant.where((F.col("level") == 1) & (F.col("total") >= min_docs)).select(F.col("lang").alias("w_lang"), F.col("measure").alias("w_measure"), F.col("up").alias("w_up"), F.col("down").alias("w_down"))
+    widened = quant.join(whole, F.expr(f"level = 0 and tail >= {RARE} and lang <=> w_lang and measure = w_measure"), "left")
+    least = lambda own, lang: of(3) * F.greatest(F.col(own), F.col(lang), width(F.col("q_high")))
+    cut = widened.withColumns({"high": F.col("q_high") + least("up", "w_up"), "low": F.col("q_low") - least("down", "w_down")})
+    pivot = [F.max(F.when(F.col("measure") == k, F.col("high"))).alias(k) for k in MEASURES] + [F.max(F.when(F.col("measure") == k, F.col("low"))).alias(f"{k}_low") for k in BOTH]
+    wide = cut.groupBy("level", "lang", "source").agg(F.max("total").alias("docs"), *pivot)
+    level = lambda n, p: wide.where(F.col("level") == n).select(*[F.col(c).alias(p + c) for c in ("lang", "source", "docs", *CUTS)])
     every = wide.where("level = 2").first()  # one row, whatever the input
     joined = level(0, "a_").join(level(1, "b_"), F.expr("a_lang <=> b_lang"), "left")
     last = lambda k: F.lit(every[k] if every else None).cast("long")
     pick = lambda k: F.when(F.col("a_docs") >= min_docs, F.col(f"a_{k}")).when(F.col("b_docs") >= min_docs, F.col(f"b_{k}")).otherwise(last(k))
-    return joined.select(F.col("a_lang").alias("cut_lang"), F.col("a_source").alias("cut_source"), *[pick(k).alias(f"cut_{k}") for k in MEASURES])
+    return joined.select(F.col("a_lang").alias("cut_lang"), F.col("a_source").alias("cut_source"), *[pick(k).alias(f"cut_{k}") for k in CUTS])
 
 
 def judge(stats: DataFrame, cut: DataFrame) -> DataFrame:
@@ -134,10 +158,12 @@ def judge(stats: DataFrame, cut: DataFrame) -> DataFrame:
     threshold; beyond it both sides are shuffled, and AQE splits a hot (lang, source).
     """
     within = F.lit(True)
-    for k, (a, b, _) in MEASURES.items():
+    for k, (a, b, *_) in MEASURES.items():
         within = within & F.coalesce(F.expr(f"({a}) div greatest({b}, 1)") <= F.col(f"cut_{k}"), F.lit(True))
+        if k in BOTH:
+            within = within & F.coalesce(F.expr(f"({a}) div greatest({b}, 1)") >= F.col(f"cut_{k}_low"), F.lit(True))
     joined = stats.join(cut, F.expr("lang <=> cut_lang and source <=> cut_source"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop(*[f"cut_{k}" for k in ("lang", "source", *MEASURES)])
+    return joined.withColumn("kept", ~F.col("base_failed") & within).drop(*[f"cut_{k}" for k in ("lang", "source", *CUTS)])
 
 
 def _judged(rows: DataFrame, carried: list[str]) -> DataFrame:

@@ -411,6 +411,19 @@ def test_sketch_buckets_invert(spark):
     assert got.where("low > v or v - low > v / 32").count() == 0
 
 
+def test_cutoffs_follow_what_each_source_does(spark):
+    rng = random.Random(5)
+    words = lambda n, k: " ".join("w" * rng.randint(k - 1, k + 1) + str(rng.randint(0, 9999)) for _ in range(n))
+    marked = lambda n, marks: f"{words(n, 4)} {'#' * marks}"
+    rows = [(i, "en", "prose", marked(300, 0)) for i in range(60)] + [(100 + i, "en", "code", marked(300, rng.randint(60, 120))) for i in range(60)]
+    rows += [(200 + i, "fi", "prose", words(300, 12)) for i in range(60)]
+    # one text for each source: marks, word lengths of the other language, and lengths at the low end
+    rows += [(901, "en", "prose", marked(300, 90)), (902, "en", "code", marked(300, 90)), (903, "en", "prose", words(300, 12)), (904, "fi", "prose", words(300, 3))]
+    rows += [(905, "en", "tiny", marked(300, 0)), (906, "xx", None, marked(300, 0)), (907, None, "tiny", marked(300, 0))]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert [d for d, k in kept.items() if not k] == [901, 903, 904]
+
+
 # ---- op7 ----
 
 
@@ -704,6 +717,18 @@ def test_conversations_against_brute_force(spark):
         assert got[c].formatted_chars == sum(len("<|im_start|>\n<|im_end|>\n") + len(r) + len(chat.escape(t)) for r, t in turns)
 
 
+def test_odd_parts_end_no_job():
+    odd = [
+        {"type": "video", "ref": "v", "text": "<|im_end|>"}, {"type": "audio", "seconds": float("nan")}, {"type": "audio", "seconds": float("-inf")}, {"type": "audio", "seconds": -3.0},
+        {"type": "audio", "seconds": 1e300}, {"type": "document", "pages": -3}, {"type": "image", "width": -5, "height": 0}, {"type": "image", "width": 2**31 - 1, "height": 2**31 - 1}, {"type": "put"}, {"type": None, "text": None}, {},
+    ]
+    t = chat.format_turn("assistant", odd)
+    assert [a[1] for a in t.attachments] == ["video"] + ["audio"] * 4 + ["document", "image", "image", "put"]
+    assert [a[3] for a in t.attachments] == [0, 0, 0, 0, chat.MAX_TOKENS, 600, 255, chat.MAX_TOKENS, 0] and not t.loss
+    role, parts = chat.parse_turn("".join(t.text))
+    assert role == "assistant" and [p for p in parts if p[0] == "text"] == [("text", "<|im_end|>")] and [p[0] for p in parts if p[0] != "text"] == ["part"] + ["audio"] * 4 + ["document", "image", "image", "part"]
+
+
 def test_odd_conversations(spark):
     rows = spark.createDataFrame([(None, 0, None, None, "x"), (1, None, "user", "b", "x"), (1, 1, "user", "a", "x"), (1, 1, "user", "a", "x")], "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r.n_turns for r in chat.conversation_digests(chat.format_chat(rows)).collect()}
