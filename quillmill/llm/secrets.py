@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field for what they don't name.
 
-The CRF tags the tokens of a line as beginning, inside or outside of a secret.  Its features are a token's identity
-and shape, those of the three tokens before and of the one after it, and features of the whole file: its size and its
-shares of signs, digits and key words of code.  It is trained on the driver, from files of prose, code and settings that
+The CRF tags the tokens of a line as beginning, inside or outside of a secret.  Its features are a token's identity,
+shape and texture (runs, parts, words in it), those of the three tokens before and of the one after it, and features of
+the whole file: its size and its shares of signs, digits and key words of code.  It is trained on the driver, from files of prose, code and settings that
 a seeded generator writes (TRAIN_LINES lines in all, a bounded sample that does not depend on the data; files of 10 to
 some 10,000 tokens), by maximum likelihood; decoding is by Viterbi.  A line in which no tag but "outside" can win under
 any transition is outside throughout; only the other lines need the dynamic programme, so the result is exactly Viterbi's.
@@ -37,7 +37,7 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 TOKEN = re.compile(r"""[\w+/\-.]+|["'`]|[^\w\s+/\-."'`]+|\n""")
 #: Feature slots of a role, roles (the token itself, 1 to 3 before, 1 after), training lines and steps.
-SLOTS, ROLES, TRAIN_LINES, TRAIN_STEPS = 1 << 11, 5, 1200, 60
+SLOTS, ROLES, TRAIN_LINES, TRAIN_STEPS = 1 << 12, 5, 2000, 60
 CACHE_TOKENS = 400_000
 
 
@@ -91,9 +91,26 @@ def _features(token: str) -> tuple[list[str], list[str]]:
     kind = "key" if key else "op" if token[0] in "=:" else "quote" if token[0] in "\"'`" else "nl" if token == "\n" else "punct" if not any(c.isalnum() for c in token) else "num" if digits == n else "mix" if digits and mixed > 1 else "word"
     size = min(n, 12) if n < 13 else 16 if n < 20 else 24 if n < 32 else 32 if n < 64 else 64
     own = ["bias", f"id={low}" if n <= 4 or key and n < 24 else "id=", f"shape={_shape(token)}", f"len={size}", f"ent={int(entropy * 2)}", f"kind={kind}", f"dig={digits * 5 // n}", f"mix={mixed}{ascii_word}", f"hex={not low.strip('0123456789abcdef')}{n >= 16}", f"big={n >= 20 and ascii_word}{entropy > 3.2}{mixed}", f"dots={'.' in token}{'-' in token}{'/' in token}"]
+    if n >= 8 and not plain:
+        own += _texture(token)
     return own, [f"kind={kind}", f"id={low}" if n <= 4 or key and n < 24 else "id=", f"long={n >= 16}"]
 
 
+_RUNS, _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), re.compile(r"[^A-Za-z0-9]+")
+
+
+def _texture(token: str) -> list[str]:
+    """How random a long token looks: words and numbers make few long runs, a key many short ones in one long part."""
+    runs, parts = _RUNS.findall(token), _PARTS.split(token)
+    long = max(parts, key=len)
+    inner = len(_RUNS.findall(long)) * 8 // max(len(long), 1)
+    word = max((len(x) for x in runs if x.isalpha()), default=0)
+    size = min(len(long) // 4, 10)
+    one = len(parts) == 1
+    out = [f"runs={len(runs) * 8 // len(token)}{one}", f"inner={inner}{size}", f"word={min(word, 8)}{one}", f"part={size}{one}", f"parts={min(len(parts), 6)}"]
+    return out if one or not 0 < len(parts[0]) <= 6 else [*out, f"lead={parts[0].lower()}"]
+
+
 def _slot(role: int, feature: str) -> int:
     return role * SLOTS + zlib.crc32(feature.encode("utf-8", "surrogatepass")) % SLOTS
 
@@ -231,6 +248,15 @@ class Crf:
         return [(at[a][0], at[b][1]) for a, b in found]
 
 
+#: Words of the paths, names and addresses that are no secrets.
+REAL = (
+    "account array async backend base batch bin block buffer build cache class client cloud config context core count data device docs driver editor element engine error event example export factory file filter "
+    "font form frame group handle home image index input item java kernel layer left library linux list local log main manager map media member message model module name network node object option order output "
+    "package page parent path plugin pool process project proxy python query reader record region release render report request result root route row runtime sample schema scope script search server service "
+    "session share site size source spark stage state static status storage stream string style system table target task template test text theme thread time tools type update user util value vector version view web widget window worker"
+).split()
+
+
 def training_lines(n: int = TRAIN_LINES, seed: int = 7) -> list[list[tuple[str, bool]]]:
     """Lines as (text, secret?) parts."""
     r = random.Random(seed)
@@ -252,9 +278,27 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 7) -> list[list[tuple[str,
         lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: "-".join([some(hexa, 8, 8), some(hexa, 4, 4), some(hexa, 4, 4), some(hexa, 12, 12)]), lambda: word() + "-" + word() + "_" + word(), lambda: (word() + word() + word() + word()).capitalize(),
         lambda: f"{r.choice(['name', 'id', 'page', 'count', 'lang', 'class'])} = \"{word()}\"", lambda: f"{r.choice(['token', 'password', 'secret'])} {r.choice(['of', 'is', 'was', 'the'])} {word()}", lambda: " | ".join(word() for _ in range(4)), lambda: f"{r.choice(keys)} = \"\"",
     ]
+    real = lambda: r.choice(REAL)
+    joined = lambda by, a, b: by.join(real() for _ in range(r.randint(a, b)))
+    number = lambda a=1, b=3: ".".join(str(r.randint(0, 30)) for _ in range(r.randint(a, b)))
+    camel = lambda a, b: "".join(real().capitalize() for _ in range(r.randint(a, b)))
+    clock = lambda: f"{r.randint(1995, 2031)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}{r.choice(['', 'Z', '.' + some(dig, 3, 6) + 'Z', '+02:00'])}"
+    alike = [
+        lambda: "/" + joined("/", 2, 6) + r.choice(["", number(1, 2), "." + some(low, 2, 4)]), lambda: f"{joined('/', 1, 3)}/{real()}{number(1, 2)}/{joined('-', 1, 3)}", lambda: f"{real()}.{r.choice(['org', 'com', 'io'])}/{joined('/', 1, 3)}/{r.choice([some(dig, 3, 5) + '.' + some(dig, 4, 6), number()])}{r.choice(['', 'v' + some(dig, 1, 1)])}",
+        lambda: f"{r.choice(['', 'v', real() + '-'])}{number(2, 3)}-{r.choice(['rc', 'beta', 'alpha', 'dev', 'post'])}{r.choice(['', '.', '-'])}{r.randint(0, 9)}{r.choice(['', '+' + real() + '.' + some(dig, 2, 5), '+' + some(hexa, 7, 8)])}", lambda: f"{r.choice(['CVE', 'ISO', 'RFC', 'PEP', 'DIN', 'JIRA', 'BUG'])}-{some(dig, 3, 5)}-{some(dig, 2, 6)}",
+        lambda: real() + camel(2, 6) + r.choice(["", some(dig, 1, 2)]), lambda: camel(3, 6) + r.choice(["", some(dig, 1, 3), "." + real() + camel(1, 2)]), lambda: joined("_", 3, 6) + r.choice(["", "_" + some(dig, 1, 4)]), lambda: joined("_", 2, 5).upper() + r.choice(["", some(dig, 1, 2)]), lambda: joined("-", 3, 6) + r.choice(["", "-" + some(dig, 1, 6)]),
+        clock, lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: f"{r.choice(['sha256', 'sha384', 'sha512'])}-{some(low + up + dig + '+/', 43, 86)}{r.choice(['', '=', '=='])}", lambda: f"{r.choice(['commit', 'md5', 'etag', 'rev', 'checksum', 'digest', 'index'])}{r.choice([' ', ': ', '='])}{some(hexa, 8, 20)}",
+        lambda: f"https://{real()}.{real()}.{r.choice(['org', 'com', 'net'])}/{joined('/', 1, 4)}{r.choice(['', '?' + real() + '=' + str(r.randint(1, 99999)), '/' + some(dig, 5, 9), '#' + joined('-', 1, 4)])}", lambda: f"{joined('.', 3, 5)}.{camel(1, 3)}", lambda: f"{joined('_', 1, 3)}{number(2, 2)}_{r.choice(['amd64', 'x86_64', 'arm64', 'noarch'])}.{r.choice(['deb', 'rpm', 'whl', 'tar.gz'])}",
+    ]
     lines = []
     for _ in range(n):
         kind = r.random()
+        if kind < 0.25:
+            form, what = r.random(), r.choice(alike)()
+            lead = f"{real()}{r.choice([' = ', '=', ': '])}{r.choice(['', chr(34)])}" if form < 0.2 else f'"{real()}": "' if form < 0.3 else "" if form < 0.4 else f"{prose(1, 5)} {r.choice(['', '', '(', chr(96)])}"
+            lines.append([(f"{lead}{what}{r.choice(['', '', chr(34), ',', '.', ')', chr(96)])} {prose(0, 5)}", False)])
+            continue
+        kind = r.random()
         if kind < 0.42:
             s = r.choice(secret)()
             q = r.choice(['"', "'", ""])
@@ -338,10 +382,12 @@ def train(n: int = TRAIN_LINES, steps: int = TRAIN_STEPS, seed: int = 7) -> Crf:
     there = np.arange(long)[None, :] < size[:, None]
     w, t = np.zeros((total + 1, 3)), np.zeros((3, 3))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
+    x = x[there]  # tokens alone, without the lines' padding
     flat = x.reshape(-1)
     rows_at = np.arange(len(slots))
     for step in range(1, steps + 1):
-        e = w[x].sum(axis=2)
+        e = np.zeros((*there.shape, 3))
+        e[there] = w[x].sum(axis=1)
         tt = t.copy()
         tt[0, 2] = -1e3
         alpha = np.zeros_like(e)
@@ -364,7 +410,7 @@ def train(n: int = TRAIN_LINES, steps: int = TRAIN_STEPS, seed: int = 7) -> Crf:
         gold = np.zeros_like(p)
         gold[rows_at[:, None], np.arange(long)[None, :], y] = 1
         diff = (p - gold * there[..., None]) / len(slots)
-        gw = np.stack([np.bincount(flat, np.repeat(diff[..., k].reshape(-1), wide), total + 1) for k in range(3)], axis=1)
+        gw = np.stack([np.bincount(flat, np.repeat(diff[there][:, k], wide), total + 1) for k in range(3)], axis=1)
         pair = np.exp(alpha[:, :-1, :, None] + tt + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - logz[:, None, None, None]) * there[:, 1:, None, None]
         gt = pair.sum(axis=(0, 1))
         np.subtract.at(gt, (y[:, :-1][there[:, 1:]], y[:, 1:][there[:, 1:]]), 1)
