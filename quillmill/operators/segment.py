@@ -53,9 +53,11 @@ def transitions(pages: DataFrame, source: str, page: str, text: str, signals: Si
     w = Window.partitionBy(source).orderBy(page)
     marked = classed.withColumn("_seps", F.sum((F.col("page_class") == "SEPARATOR_PAGE").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("page_class = 'CONTENT'")
     number = F.lower(F.regexp_extract(t, signals.number, 1))
+    # what a pattern matched in either case is compared in either case
+    page_of = F.struct(F.lower(F.regexp_extract(t, signals.page_of, 1)).alias("page"), F.lower(F.regexp_extract(t, signals.page_of, 2)).alias("of"))
     flags = F.struct(
         t.rlike(signals.first_page).alias("first"), number.alias("number"), F.lower(F.regexp_extract(t, signals.customer, 1)).alias("customer"), t.rlike(signals.header).alias("header"), t.rlike(signals.date).alias("date"), t.rlike(signals.total).alias("total"),
-        t.rlike(signals.later_page).alias("later"), t.rlike(signals.continued).alias("continued"), ((F.regexp_extract(t, signals.page_of, 1) != "") & (F.regexp_extract(t, signals.page_of, 1) == F.regexp_extract(t, signals.page_of, 2))).alias("last"), F.col("_seps").alias("seps"),
+        t.rlike(signals.later_page).alias("later"), t.rlike(signals.continued).alias("continued"), ((page_of["page"] != "") & (page_of["page"] == page_of["of"])).alias("last"), F.col("_seps").alias("seps"),
     )
     rows = marked.withColumn("_f", flags).withColumn("_p", F.lag("_f").over(w))
     f, p = F.col("_f"), F.col("_p")
