@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import amounts, decide, entities, graph, prices
-from .base import read
+from .base import read, spread
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def amount_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amount_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net, tax and gross of each order and line number, from a text with three labelled amounts for each of its rows."""
-    line = read(spark, sf_dir, "lineitem")
+    line = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
     doc = F.concat_ws("\n", F.concat(F.lit("Netto "), F.format_string("%.2f", "l_extendedprice")), F.concat(F.lit("MwSt 19% "), F.format_string("%.2f", F.col("l_extendedprice") * 0.19)), F.concat(F.lit("Gesamtbetrag EUR "), F.format_string("%.2f", F.col("l_extendedprice") * 1.19)))
     found = amounts.candidates(line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), doc.alias("text")), "doc_id", "text")
     return amounts.solve(found)
