@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..operators import amounts, classify, entities, extract, measures, search, segment, stack
 from ..operators.search_index import SearchIndex
-from ..sources.scratch import scratch_path
+from ..sources.scratch import materialize, scratch_path
 from ..sources.store import Store
 from .base import read, spread
 from .knowledge import _HUB, _HUB_STAGE, _asked, _docs, _hubs, _text_sql
@@ -296,7 +296,7 @@ def extraction_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the extraction as JSON, CSV and Markdown files, and the Markdown read back."""
     from ..sources import sinks
 
-    report = extraction_metrics(spark, sf_dir)
+    report = materialize(extraction_metrics(spark, sf_dir), "metrics")  # three files are written from it
     folder = scratch_path(spark, "report")
     sinks.write_report(report, measures.markdown(report, "Report"), folder)
     return spark.read.text(f"{folder}/markdown").where("value like '%invoice_number%' or value like '# %'")
