@@ -12,7 +12,8 @@ those of its units, one after another.  Each distinct unit of the corpus is toke
 
 Links of id pairs are counted over all texts: a unit's pairs times the unit's occurrences.  The texts themselves are kept as
 numbers of units, in chunks of some CHUNK bytes with the chunk's distinct units beside them, so what is shuffled
-are the distinct units of chunks, never all tokens.  A chunk's row holds a bounded number of bytes, or one longer text.
+are the distinct units of chunks and the numbers, never all tokens.  A row is one text or one unit, never a chunk: at the
+end the units' results and the texts of a chunk follow each other in one sorted stream, and a worker holds one chunk's results.
 
 Cases: texts that are null or empty, or whose tokens do not give the bytes back (B writes U+2581 for a space, so a text
 that holds it is one; so is any text that B's normaliser would change), have zeros and '' and count for no pair; rows of
@@ -22,10 +23,12 @@ further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +62,7 @@ class Pieces:
         own = [p for i, p in enumerate(pieces) if not (kinds[i] or self.b.is_control(i) or self.b.is_unknown(i))]
         if not any(kinds) or not pieces_respect(own) or any("\n" in p for p in own) or self.b.normalize("\n") != "▁\n":
             raise ValueError(f"no pieces with byte fallback that end with units: {path}")
-        self.length = [1 if k else len(p.replace("▁", " ").encode()) for p, k in zip(pieces, kinds)]
+        self.length = np.array([1 if k else len(p.replace("▁", " ").encode()) for p, k in zip(pieces, kinds)], np.int32)
         self._space = self.b.piece_to_id("▁")
 
     def exact(self, text: str) -> bool:
@@ -88,7 +91,10 @@ class ByteLevel:
         split = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
             raise ValueError(f"not a plain byte-level BPE: {path}")
-        self.length = {i: len(s) for s, i in self.a.get_vocab().items()}  # an entry has a character for each byte
+        entries = self.a.get_vocab()
+        self.length = np.zeros(max(entries.values()) + 1, np.int32)
+        for s, i in entries.items():
+            self.length[i] = len(s)  # an entry has a character for each byte
 
     def ids(self, found: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]
@@ -116,7 +122,8 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-CHUNKS = "chunk long, docs array<struct<doc_id: long, units: array<int>>>, words array<string>, times array<long>"
+#: A row for each text (word is null) and for each distinct unit of a chunk (units is null).
+CHUNKS = "chunk long, doc_id long, units array<int>, pos int, word string, times long"
 
 
 class _Chunk:
@@ -136,14 +143,15 @@ class _Chunk:
         self.rows.append(np.concatenate(own) if own else np.zeros(0, np.int32))
         self.size += len(text.encode())
 
-    def row(self, chunk: int, schema: pa.Schema) -> pa.RecordBatch:
+    def batches(self, chunk: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(self.rows)
         edge = np.cumsum([0, *map(len, self.rows)]).astype(np.int32)
-        docs = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], fields=list(schema.field("docs").type.value_type))
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         words = pa.array(list(self.place), pa.string())
         times = pa.array(np.bincount(flat, minlength=len(words)).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), one(docs).cast(schema.field("docs").type), one(words), one(times)], schema=schema)
+        texts = {"doc_id": pa.array(self.ids, pa.int64()), "units": pa.ListArray.from_arrays(pa.array(edge), pa.array(flat)).cast(schema.field("units").type)}
+        for n, own in ((len(self.ids), texts), (len(words), {"pos": pa.array(np.arange(len(words), dtype=np.int32)), "word": words, "times": times})):
+            own["chunk"] = pa.array(np.full(n, chunk, np.int64))
+            yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def chunked(docs: DataFrame, b_path: str, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -160,10 +168,10 @@ def chunked(docs: DataFrame, b_path: str, chunk_bytes: int = CHUNK) -> DataFrame
                 text = batch.column(1)[k].as_py()
                 now.add(ids[k].as_py(), text if exact(text) else "")
                 if now.size >= chunk_bytes:
-                    yield now.row(number, schema)
+                    yield from now.batches(number, schema)
                     number, now = number + 1, _Chunk()
         if now.ids:
-            yield now.row(number, schema)
+            yield from now.batches(number, schema)
 
     return common.id_text(docs).mapInArrow(run, CHUNKS)
 
@@ -171,11 +179,25 @@ def chunked(docs: DataFrame, b_path: str, chunk_bytes: int = CHUNK) -> DataFrame
 def tokenised(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """w, word, total with a and b: ids and byte lengths of the tokens of each unit."""
 
-    def run(row: dict[str, list]) -> dict[str, list]:
-        told = lambda by: [[{"id": i, "len": by.length[i]} for i in x] for x in by.ids(row["word"])]
-        return row | {"a": told(held(ByteLevel, a_path)), "b": told(held(Pieces, b_path))}
+    ddl = f"w long, word string, total long, a {TOKENS}, b {TOKENS}"
+    schema = common._arrow_schema(common.T.StructType.fromDDL(ddl))
 
-    return common.map_rows(words.select("w", "word", "total"), f"w long, word string, total long, a {TOKENS}, b {TOKENS}", run)
+    def told(by: ByteLevel | Pieces, found: list[str], kind: pa.DataType) -> pa.Array:
+        ids = by.ids(found)
+        edge = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(edge[-1]))
+        tokens = pa.StructArray.from_arrays([pa.array(flat), pa.array(by.length[flat])], names=["id", "len"])
+        return pa.ListArray.from_arrays(pa.array(edge), tokens).cast(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = held(ByteLevel, a_path), held(Pieces, b_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, common.SLICE_ROWS):
+                part = batch.slice(at, common.SLICE_ROWS)
+                found = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, told(a, found, schema.field("a").type), told(b, found, schema.field("b").type)], schema=schema)
+
+    return words.select("w", "word", "total").mapInArrow(run, ddl)
 
 
 def stretches(words: DataFrame) -> DataFrame:
@@ -218,11 +240,59 @@ def pair_counts(units_: DataFrame) -> DataFrame:
     return pairs.withColumn("best", (F.col("n") == F.max("n").over(Window.partitionBy("link_b"))).cast("long"))
 
 
+def assembled(texts: DataFrame, results: DataFrame) -> DataFrame:
+    """doc_id, SUMS and groups_sha256 of texts (chunk, doc_id, units) from the results of their chunks' units (chunk, pos, groups, SUMS).
+
+    Both are dealt by chunk and sorted, a chunk's results before its texts, so no row and no group is held but one chunk's results.
+    """
+    ddl = "doc_id long, " + ", ".join(f"{k} long" for k in SUMS) + ", groups_sha256 string"
+    schema = common._arrow_schema(common.T.StructType.fromDDL(ddl))
+    both = results.select("chunk", F.lit(0).alias("kind"), "pos", "groups", *SUMS).unionByName(texts.select("chunk", F.lit(1).alias("kind"), "doc_id", "units"), allowMissingColumns=True)
+    # one number to sort by: rows of a chunk are many, and equal beginnings of two keys would be compared row by row
+    both = both.withColumn("place", F.col("chunk") * 2 + F.col("kind"))
+    ordered = both.repartition("chunk").sortWithinPartitions("place").select("chunk", "kind", "pos", "groups", *SUMS, "doc_id", "units")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pos, told, sums, table = None, [], [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            cuts = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+            for at, stop in zip(cuts, cuts[1:]):
+                chunk, kind = key[:, at].tolist()
+                if chunk != now:
+                    now, pos, told, sums, table = chunk, [], [], [], None
+                if not kind:
+                    part = batch.slice(at, stop - at)
+                    pos.append(part.column(2).to_numpy(zero_copy_only=False))
+                    told += part.column(3).to_pylist()
+                    sums.append(np.stack([part.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(SUMS))]))
+                    continue
+                if table is None:  # the chunk's results are complete: by their places
+                    order = np.argsort(np.concatenate(pos)) if pos else np.zeros(0, np.int64)
+                    table = [told[k] for k in order.tolist()], np.concatenate(sums, axis=1)[:, order] if sums else np.zeros((len(SUMS), 0), np.int64)
+                    pos, told, sums = [], [], []
+                groups, values = table
+                for first in range(at, stop, common.SLICE_ROWS):
+                    part = batch.slice(first, min(common.SLICE_ROWS, stop - first))
+                    lists = part.column(5 + len(SUMS))
+                    edge = lists.offsets.to_numpy()
+                    flat, edge = lists.flatten().to_numpy(zero_copy_only=False), edge - edge[0]
+                    total = [np.concatenate([[0], np.cumsum(v[flat])]) for v in values]
+                    own, ends = [groups[u] for u in flat.tolist()], edge.tolist()
+                    sha = [hashlib.sha256(";".join(own[a:b]).encode()).hexdigest() if b > a else "" for a, b in zip(ends, ends[1:])]
+                    yield pa.RecordBatch.from_arrays([part.column(4 + len(SUMS)), *[pa.array(t[edge[1:]] - t[edge[:-1]], pa.int64()) for t in total], pa.array(sha, pa.string())], schema=schema)
+
+    return ordered.mapInArrow(run, ddl)
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     chunks, _ = stored(chunked(docs, b_path, chunk_bytes), "chunks")
-    words = chunks.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n")))).groupBy("word").agg(F.sum("n").alias("total"))
+    of_chunk = chunks.where("word is not null")
+    words = of_chunk.groupBy("word").agg(F.sum("times").alias("total"))
     words, words_path = stored(tokenised(words.withColumn("w", F.monotonically_increasing_id()), a_path, b_path), "words")
     found, found_path = stored(aligned_units(words), "units")
     discard(spark, words_path)
@@ -232,14 +302,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK, b
     scores = scored.groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     results, results_path = stored(found.drop("links", "total").join(scores, "w").select("word", "groups", *SUMS), "results")
     discard(spark, found_path)
-    spread = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).join(results, "word")
-    tables, _ = stored(spread.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "groups", *SUMS))).alias("table")), "tables")
+    spread, _ = stored(of_chunk.select("chunk", "pos", "word").join(results, "word").drop("word"), "spread")
     discard(spark, results_path)
-    told = chunks.select("chunk", "docs").join(tables, "chunk", "left")
-    row = lambda u: F.col("table")[u]
-    total = lambda d, k: F.aggregate(d["units"], F.lit(0).cast("long"), lambda s, u: s + row(u)[k]).alias(k)
-    sha = lambda d: F.when(F.size(d["units"]) == 0, "").otherwise(F.sha2(F.array_join(F.transform(d["units"], lambda u: row(u)["groups"]), ";"), 256)).alias("groups_sha256")
-    return told.select(F.inline(F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), *[total(d, k) for k in SUMS], sha(d)))))
+    return assembled(chunks.where("word is null"), spread)
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
