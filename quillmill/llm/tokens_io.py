@@ -52,12 +52,14 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, bits = SELECTORS[k]
         if count > n:
             continue
-        bad = ids >> np.uint64(bits) != 0
+        bad = ids >= np.uint64(1 << bits)
         reach = 1  # bad[i]: some id of the ``reach`` from i on is too wide
-        while reach < count:
+        while reach < count and not bad.all():
             more = min(reach, count - reach)
             bad = bad[: len(bad) - more] | bad[more:]
             reach += more
+        if reach < count:  # no such run, so none of a longer one of narrower ids
+            break
         fits = np.nonzero(~bad)[0]
         step[fits], pick[fits] = count, k
     for k in range(14, 0, -1):  # a block's last ids may fill a word in part

@@ -177,3 +177,14 @@ def test_odd_items(spark):
     got = Counter((r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(rows, bench).collect())
     assert got == Counter([(1, None, 0), (1, 6, 0), (1, 6, 0), (3, 7, 20)])
     assert [r.doc_id for r in decontam.drop_leaks(rows, bench).collect()] == [2]
+
+
+def test_full_memory_keeps_what_is_still_asked(monkeypatch):
+    """A word memory that is full is not emptied at once: what it held is made once more only if it stays unasked."""
+    monkeypatch.setattr(common, "CACHE_WORDS", 4)
+    made = []
+    held = common._Recent(lambda key: made.append(key) or key.encode())
+    for key in ["a", "b", "c", "d", "e", "a", "f", "g", "a"]:
+        assert held[key] == key.encode()
+    assert made.count("a") == 1
+    assert len(held) <= 4 and len(held._older) <= 4
