@@ -3,11 +3,12 @@
 The index lives in a ``Store`` as two tables, written in one commit:
 
 * ``<name>_postings`` – term, slice, docs (array of doc_id, len, tf), most (the largest tf) and least (the smallest len): one
-  row for a term and a slice, and a slice is some SLICE documents, so a row is bounded however frequent the term;
+  row for a term and a slice, and a slice is some SLICE documents, so a row is bounded however frequent the term; files hold
+  whole slices;
 * ``<name>_lengths`` – doc_id, len: what a segment holds, also documents without a word.
 
 ``refresh`` adds the postings of new and changed documents as a segment; a document counts in its latest segment alone.
-``compact`` makes one segment of all.  Rows are ordered by term, so a reader of few words skips row groups.
+``compact`` makes one segment of all.  A file's rows are ordered by term, so a reader of few words skips row groups.
 
 ``search`` gives the rows of ``retrieve.bm25`` over the same documents.  Postings of each asked word (a prefix of terms) are
 gathered once, however many questions ask it, and their blocks keep bounds: a block's largest tf and smallest length bound
@@ -43,10 +44,15 @@ def postings(docs: DataFrame, doc_id: str, text: str, slice_docs: int = SLICE) -
     words = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     split = materialize(words.select("doc_id", F.size("_t").alias("len"), "_t"), "split")
     slices = max(1, -(-split.count() // slice_docs))
-    counted = split.select("doc_id", "len", F.explode("_t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    slice_no = F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice")
-    blocks = counted.groupBy("term", slice_no).agg(F.collect_list(F.struct("doc_id", "len", "tf")).alias("docs"), F.max("tf").alias("most"), F.min("len").alias("least"))
-    return blocks.repartitionByRange("term", "slice").sortWithinPartitions("term", "slice"), split.select("doc_id", "len")
+    # texts are dealt by slice once; both groupings and the order are met by that, so words are not dealt again
+    dealt = split.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).repartition("slice")
+    counted = dealt.select("slice", "doc_id", "len", F.explode("_t").alias("term")).groupBy("slice", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    return _blocks(counted).sortWithinPartitions("term", "slice"), split.select("doc_id", "len")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Posting blocks of rows (term, slice, doc_id, len, tf)."""
+    return rows.groupBy("term", "slice").agg(F.collect_list(F.struct("doc_id", "len", "tf")).alias("docs"), F.max("tf").alias("most"), F.min("len").alias("least"))
 
 
 def part(tf: Column, length: Column, idf: Column, mean: Column) -> Column:
@@ -83,8 +89,8 @@ class SearchIndex:
         live, dead = self._live(old)
         rows = self._alive(self.store.read(self.postings, old).select("term", "_commit", F.inline("docs")), dead)
         slices = max(1, -(-live.count() // self.slice_docs))
-        blocks = rows.groupBy("term", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct("doc_id", "len", "tf")).alias("docs"), F.max("tf").alias("most"), F.min("len").alias("least"))
-        made = {self.postings: self.store.write(blocks.repartitionByRange("term", "slice").sortWithinPartitions("term", "slice")), self.lengths: self.store.write(live.select("doc_id", "len"))}
+        blocks = _blocks(rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).repartition("slice"))
+        made = {self.postings: self.store.write(blocks.sortWithinPartitions("term", "slice")), self.lengths: self.store.write(live.select("doc_id", "len"))}
 
         def change(s: State) -> State:
             if any(s.tables.get(t, [])[: len(was[t])] != was[t] for t in made):
