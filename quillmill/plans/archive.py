@@ -111,7 +111,8 @@ def lease_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     was = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = leases.stream_leases(spark.readStream.schema(events.schema).parquet(source))
+        jobs = read(spark, sf_dir, "customer").count()
+        stream = leases.stream_leases(spark.readStream.schema(events.schema).parquet(source), buckets=max(16, -(-jobs // leases.BUCKET_JOBS)))
         keep = lambda rows, batch: rows.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(states)
         stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     finally:
