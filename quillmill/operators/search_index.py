@@ -14,7 +14,9 @@ The index lives in a ``Store`` as two tables, written in one commit:
 gathered once, however many questions ask it, and their blocks keep bounds: a block's largest tf and smallest length bound
 the word's part of any score in it.  For a question the bounds of its words add up to a bound of each slice.  The
 slices with the best bounds are scored first; the k-th best score found is a threshold, and a slice whose bound is below it
-holds no document of the first k, so it is never joined.  Nothing is left out that could enter the result.
+holds no document of the first k, so it is never joined.  Nothing is left out that could enter the result.  Where many pairs
+of question and posting are left, the slices that any question needs are dealt to tasks and all questions are scored there:
+a slice holds its documents whole, so only the first k of each task are shuffled.
 
 Cases: null texts are empty; a document without words has no postings and counts for the number and mean length of
 documents; questions without words have no rows; an empty index gives none; a null doc_id is not indexed.
@@ -31,10 +33,12 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..sources.scratch import materialize
 from ..sources.store import Conflict, State, Store
-from .retrieve import K1, B, terms, top_of
+from .retrieve import ASKED, K1, PAIRS, B, terms, top_of
 
 #: Documents of a slice, slices that a question looks at first, and words that a reader pushes down to the files.
 SLICE, PROBES, PUSHED = 64, 8, 256
+#: Pairs of question and posting that may be shuffled; more are summed where their slices lie.
+FEW = 1 << 22
 #: What a sum of parts may be off by, in another order.
 MARGIN = 1e-6
 
@@ -121,13 +125,10 @@ class SearchIndex:
         rows = self.store.read(self.postings, state)
         if len(few) <= PUSHED:  # the files skip what no word begins; Parquet compares beginnings
             rows = rows.where(reduce(lambda a, b: a | b, [F.col("term").startswith(w) for w in few], F.lit(False)))
-        stem = lambda c: F.substring(c, 1, 3)
-        long = words.where(F.length("word") >= 3).withColumn("_stem", stem(F.col("word")))
-        found = rows.withColumn("_stem", stem(F.col("term"))).join(long, "_stem").where(F.col("term").startswith(F.col("word"))).drop("_stem")
-        for n in (1, 2):  # words shorter than a stem are beginnings of it
-            short = words.where(F.length("word") == n).withColumn("_stem", F.col("word"))
-            found = found.unionByName(rows.withColumn("_stem", F.substring("term", 1, n)).join(short, "_stem").drop("_stem"))
-        return found
+        stemmed = words.withColumn("_stem", F.substring("word", 1, 3))
+        sizes = [r[0] for r in stemmed.select(F.length("_stem").alias("n")).distinct().collect()]  # 1, 2, 3 at most: words shorter than a stem are their own
+        stems = F.explode(F.array_distinct(F.array(*[F.substring("term", 1, n) for n in sizes] or [F.lit("")])))
+        return rows.withColumn("_stem", stems).join(stemmed, "_stem").where(F.col("term").startswith(F.col("word"))).drop("_stem")
 
     def search(self, queries: DataFrame, top: int = 5, state: State | None = None, counts: dict | None = None) -> DataFrame:
         """query_id, doc_id, score, rank for queries (query_id, words); ties go to the smaller doc_id.
@@ -143,28 +144,56 @@ class SearchIndex:
         live, dead = self._live(state)
         one = live.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()  # two numbers
         n, mean = F.lit(float(one["n"])), F.lit(float(one["mean"] or 1.0) or 1.0)
-        met = self._matched(asked.select("word").distinct(), state).select("word", "_commit", "slice", F.inline("docs"))
-        hits = materialize(self._alive(met, dead).groupBy("word", "_commit", "slice", "doc_id", "len").agg(F.sum("tf").alias("tf")), "hits")
-        df = hits.groupBy("word").agg(F.count("*").alias("df"))
-        words = materialize(df.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)), "words")
         spot = ["_commit", "slice"]
-        bounds = hits.groupBy("word", *spot).agg(F.max("tf").alias("most"), F.min("len").alias("least"), F.count("*").alias("held")).join(words, "word")
-        bounds = bounds.select("word", *spot, "held", part(F.col("most"), F.col("least"), F.col("idf"), mean).alias("bound"))
-        slices = asked.join(bounds, "word").groupBy("query_id", *spot).agg(F.sum("bound").alias("bound"), F.sum("held").alias("held"))
+        met = self._matched(asked.select("word").distinct(), state).select("word", *spot, "docs")
+        if dead is None:  # blocks are dealt by slice as they are, else their documents have to meet the dead first
+            met = met.repartition(*spot).select("word", *spot, F.inline("docs"))
+        else:
+            met = self._alive(met.select("word", *spot, F.inline("docs")), dead).repartition(*spot)
+        # all that follows a slice's deal is done where the slice lies
+        each = met.groupBy("word", *spot, "doc_id", "len").agg(F.sum("tf").alias("tf"))
+        hits = materialize(each.groupBy("word", *spot).agg(F.collect_list(F.struct("doc_id", "len", "tf")).alias("docs"), F.max("tf").alias("most"), F.min("len").alias("least"), F.count("*").alias("held")), "hits")
+        df = hits.groupBy("word").agg(F.sum("held").alias("df"))
+        words = df.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+        asked = materialize(asked.join(words, "word"), "words")
+        blocks = max(1, -(-asked.count() // ASKED))
+        of = lambda k: F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else asked)
+        every = lambda make: reduce(DataFrame.unionByName, [make(of(k)) for k in range(blocks)])
+
+        limit = part(F.col("most"), F.col("least"), F.col("idf"), mean).alias("bound")
+        slices = every(lambda some: hits.select("word", *spot, "most", "least", "held").join(some, "word").select("query_id", *spot, "held", limit).groupBy("query_id", *spot).agg(F.sum("bound").alias("bound"), F.sum("held").alias("held")))
+        slices = materialize(slices, "slices")
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), *spot)
         first = slices.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= PROBES).drop("_place")
         first = materialize(first, "first")
+        total = lambda rows: rows.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+
+        def summed(pairs: DataFrame) -> DataFrame:
+            rows = pairs.select("query_id", *spot, "idf", F.inline("docs"))
+            return rows.groupBy("query_id", *spot, "doc_id").agg(F.sum(part(F.col("tf"), F.col("len"), F.col("idf"), mean)).alias("score")).select("query_id", "doc_id", "score")
 
         def scored(some: DataFrame) -> DataFrame:
-            rows = some.select("query_id", *spot).join(asked, "query_id").join(hits, ["word", *spot]).join(words.select("word", "idf"), "word")
-            return rows.groupBy("query_id", "doc_id").agg(F.sum(part(F.col("tf"), F.col("len"), F.col("idf"), mean)).alias("score"))
+            """Scores of the documents of some slices, each with the question that looks at it."""
+            return summed(some.select("query_id", *spot).join(asked, "query_id").join(hits, ["word", *spot]))
+
+        def dealt(some: DataFrame, pairs: int) -> DataFrame:
+            """Scores of all questions in those slices that any looks at, summed where a slice lies: pairs are not shuffled."""
+            deals = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+            lying = hits.join(some.select(*spot).distinct(), spot, "left_semi").select("word", *spot, "docs").repartition(deals, *spot)
+            return every(lambda part_of: summed(lying.join(part_of, "word")))
 
         best = materialize(top_of(scored(first), "query_id", [F.desc(F.round("score", 9)), F.col("doc_id")], top), "best")
         enough = best.where(F.col("rank") == top).select("query_id", F.col("score").alias("_least"))
         known = first.select("query_id", *spot, F.lit(True).alias("_known"))
         rest = slices.join(known, ["query_id", *spot], "left_anti").join(enough, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - MARGIN))
+        rest = materialize(rest, "rest")
+        more = total(rest)
+        if more <= FEW:
+            made, found = total(first) + more, best.drop("rank").unionByName(scored(rest))
+        else:
+            looked = first.select(*spot).unionByName(rest.select(*spot)).distinct()
+            made = total(slices.join(looked, spot, "left_semi"))
+            found = dealt(looked, made)
         if counts is not None:
-            rest = materialize(rest, "rest")
-            total = lambda rows: rows.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-            counts |= {"all": total(slices), "read": total(first) + total(rest)}
-        return top_of(best.drop("rank").unionByName(scored(rest)), "query_id", [F.desc(F.round("score", 9)), F.col("doc_id")], top)
+            counts |= {"all": total(slices), "read": made}
+        return top_of(found, "query_id", [F.desc(F.round("score", 9)), F.col("doc_id")], top)
