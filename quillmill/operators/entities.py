@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..sources.scratch import shared_dir
+from ..sources.scratch import materialize, shared_dir
 from .containment import contained
 
 
@@ -77,16 +77,17 @@ def resolve_entities(keys: DataFrame, rounds: int = 40) -> DataFrame:
     round is checkpointed; the last must change nothing.
     """
     shared_dir(keys.sparkSession)  # checkpoints go there
-    edges = keys.distinct()
+    edges = materialize(keys.distinct(), "edges")  # each round reads them twice
+    # both sides of a round's joins have as many rows as the input: a broadcast would pass one whole through the driver
     label = edges.select("row_id", F.col("row_id").alias("entity")).distinct()
     for _ in range(rounds):
-        of_key = edges.join(label, "row_id").groupBy("key_type", "key_value").agg(F.min("entity").alias("entity"))
-        of_row = edges.join(of_key, ["key_type", "key_value"]).groupBy("row_id").agg(F.min("entity").alias("next"))
-        both = label.join(of_row, "row_id").select("row_id", "entity", "next").checkpoint()
+        of_key = edges.join(label.hint("merge"), "row_id").groupBy("key_type", "key_value").agg(F.min("entity").alias("entity"))
+        of_row = edges.join(of_key.hint("merge"), ["key_type", "key_value"]).groupBy("row_id").agg(F.min("entity").alias("next"))
+        both = label.join(of_row.hint("merge"), "row_id").select("row_id", "entity", "next").checkpoint()
         changed = both.where("next <> entity").limit(1).count()
         # the entity of my entity is mine too: paths shrink by half
         hop = both.select(F.col("row_id").alias("_r"), F.col("next").alias("_n"))
-        label = both.join(hop, F.col("next") == F.col("_r"), "left").select("row_id", F.least("next", F.coalesce("_n", "next")).alias("entity"))
+        label = both.join(hop.hint("merge"), F.col("next") == F.col("_r"), "left").select("row_id", F.least("next", F.coalesce("_n", "next")).alias("entity"))
         if not changed:
             return both.select("row_id", F.col("next").alias("entity"))
     raise RuntimeError("entities did not settle")
