@@ -39,10 +39,10 @@ def reconcile_documents(docs: DataFrame, entities: DataFrame, aliases: DataFrame
 
     A document contradicts its one strong contact if it is a supplier's and the contact a customer, or the other way round.
     """
-    listed = lambda rows, name: rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("entity_id")).alias(name))
-    strong = strong_hits(docs, entities)
-    roles = strong.join(entities.select("entity_id", "role"), "entity_id").groupBy("doc_id").agg(F.min("role").alias("_role"))
-    j = docs.join(listed(strong, "strong"), "doc_id", "left").join(listed(weak_hits(docs, aliases), "weak"), "doc_id", "left").join(roles, "doc_id", "left")
+    listed = lambda name: F.array_sort(F.collect_set("entity_id")).alias(name)
+    # texts are searched once for identifiers: contacts and their roles come from one grouping
+    strong = strong_hits(docs, entities).join(entities.select("entity_id", "role"), "entity_id").groupBy("doc_id").agg(listed("strong"), F.min("role").alias("_role"))
+    j = docs.join(strong, "doc_id", "left").join(weak_hits(docs, aliases).groupBy("doc_id").agg(listed("weak")), "doc_id", "left")
     kind = F.lower(F.coalesce("kind", F.lit("")))
     wrong = (kind.isin(*SUPPLIER_DOCS) & (F.col("_role") == "customer")) | (kind.isin(*CUSTOMER_DOCS) & (F.col("_role") == "supplier"))
     none = F.array().cast(entities.select(F.array("entity_id").alias("a")).schema["a"].dataType)

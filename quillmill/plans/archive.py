@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import assign, contacts, containment, entities, ledger, prices, reconciliation, records, stack  # noqa: F401
 from ..sources import config, sinks
 from ..sources.page_cache import PageCache
-from ..sources.scratch import scratch_path
+from ..sources.scratch import materialize, scratch_path
 from ..sources.store import Store, append_numbered
 from ..streaming import jobs, leases
 from ..streaming.intake import Intake
@@ -211,11 +211,12 @@ def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("doc_id") % 8 == 0, F.concat(F.lit("e"), c("doc_id") % 40)).alias("current"), (c("doc_id") % 41 != 0).alias("readable"),
     )
     ids = spark.range(40).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.when(c("id") % 5 == 0, "customer").otherwise("supplier").alias("role"), F.concat(F.lit("k "), "id").alias("ext_id"), F.lit(None).cast("string").alias("email"))
-    mails = d.select(mail(c("text")).alias("email")).where("email is not null").groupBy("email").agg(F.lit(1).alias("n")).select(F.concat(F.lit("m_"), "email").alias("entity_id"), F.lit("both").alias("role"), F.lit(None).cast("string").alias("ext_id"), "email")
+    mails = d.where(c("text").contains("@")).select(mail(c("text")).alias("email")).where("email is not null").groupBy("email").agg(F.lit(1).alias("n")).select(F.concat(F.lit("m_"), "email").alias("entity_id"), F.lit("both").alias("role"), F.lit(None).cast("string").alias("ext_id"), "email")
     none = {k: F.lit(None).cast("string") for k in ("iban", "tax_id")}
     b = read(spark, sf_dir, "benchmark")
     aliases = b.select(F.concat(F.lit("e"), "item_id").alias("entity_id"), F.array_join(F.slice(F.split(tx.normalize_text(c("text")), " "), 1, 3), " ").alias("alias")).unionByName(spark.createDataFrame([("e7", "Metro")], "entity_id string, alias string"))
-    return reconciliation.reconcile_documents(docs, ids.unionByName(mails).withColumns(none), aliases)
+    known = materialize(ids.unionByName(mails).withColumns(none), "known")  # mails are found in all texts
+    return reconciliation.reconcile_documents(docs, known, aliases)
 
 
 def reconciliation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +234,7 @@ def reconciliation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconciliation_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' contacts after the updates, as version 1 of a table whose version 0 stays."""
 
-    done = _reconciled(spark, sf_dir)
+    done = materialize(_reconciled(spark, sf_dir).select("doc_id", "current", "proposed", "status"), "reconciled")  # two versions are written from it
     base = scratch_path(spark, "contacts")
     sinks.upsert_version(spark, base, done.select("doc_id", "current"), ["doc_id"], 0)
     return sinks.upsert_version(spark, base, reconciliation.updates(done), ["doc_id"], 1)
