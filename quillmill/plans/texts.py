@@ -98,10 +98,10 @@ _CLEAN = r"string_split_regex(trim(regexp_replace(replace(lower({0}), 'ß', 'ss'
 _STOP = "w NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
 
 
-def words_sql(rows: str, stop: bool = True) -> str:
-    """(query_id, raw) for rows (query_id, query)."""
+def words_sql(rows: str, stop: bool = True, most: int | None = 20) -> str:
+    """(query_id, raw) for rows (query_id, query); with a stop list the first ``most`` words, or all where that is None."""
     keep = f"length(w) >= 3 AND {_STOP}" if stop else "w <> ''"
-    return f"SELECT query_id, unnest({_ONCE + ('[1:20]' if stop else '')}) AS raw FROM (SELECT query_id, list_filter({_CLEAN.format('query')}, lambda w: {keep}) AS l FROM ({rows}))"
+    return f"SELECT query_id, unnest({_ONCE + (f'[1:{most}]' if stop and most else '')}) AS raw FROM (SELECT query_id, list_filter({_CLEAN.format('query')}, lambda w: {keep}) AS l FROM ({rows}))"
 
 
 def bm25_sql(p: str, docs: str, words: str) -> str:
