@@ -5,6 +5,9 @@ Where nothing can be measured, a figure is null.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,14 +108,14 @@ def compare_boundaries(expected: DataFrame, found: DataFrame, source: str) -> Da
     return j.select(source, zero("_x", "_x_f").alias("exact_precision"), zero("_x", "_x_e").alias("exact_recall"), zero("_s", "_s_e").alias("start_page_accuracy"), zero("_t", "_t_e").alias("end_page_accuracy"), zero("_right", "_pages").alias("page_assignment_accuracy"))
 
 
-def median(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """One row with the exact median of a column, null without values.
+def median(rows: DataFrame, value: str, name: str, times: str | None = None) -> DataFrame:
+    """One row with the exact median of a column, null without values; ``times`` says how often a row's value counts.
 
     Equal values are counted, the counts dealt by ranges, and only the range that holds the middle is put in order, so
     no task holds all values.
     """
     c = F.col
-    counted = rows.where(c(value).isNotNull()).groupBy(c(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = rows.where(c(value).isNotNull()).groupBy(c(value).alias("_v")).agg((F.sum(times) if times else F.count("*")).alias("_n"))
     ranges = materialize(counted.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "median")
     sums = ranges.groupBy("_p").agg(F.sum("_n").alias("_m"))  # a row for each range
     ends = sums.withColumns({"_to": F.sum("_m").over(Window.orderBy("_p")), "_all": F.sum("_m").over(Window.partitionBy(F.lit(0)))})
@@ -125,6 +128,97 @@ def median(rows: DataFrame, value: str, name: str) -> DataFrame:
     return two.select(F.when(c("_a") == c("_b"), c("_a")).otherwise(c("_a") * 0.5 + c("_b") * 0.5).alias(name))
 
 
+#: What the files of a batch add to the report: ranges and pages, then documents, then fields.
+_FIELDS = ("net", "tax", "gross", "supplier", "kind", "number")
+_SUMS = ("exact", "same_start_page", "same_end_page", "pages", "right_pages", "wanted", "detected", "docs", "manual", "called", "compared", "whole", *[f"{k}_{f}" for f in _FIELDS for k in ("has", "ok")])
+
+
+def _held_against(files: DataFrame) -> DataFrame:
+    """_e, _n, _calls and _SUMS: sums over some files in a row without _e, and rows of how often (_n) an error _e occurs.
+
+    files: _known (whether it has a file), _run (whether it was run) and the sorted lists _x (expected), _b (bounds), _d (docs).
+    """
+
+    def flat(column):
+        """The rows of a batch's lists as columns, with the row of the batch that each is of."""
+        import pyarrow.compute as pc
+
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        items = column.flatten()
+        return np.repeat(np.arange(len(size)), size), {f.name: items.field(k) for k, f in enumerate(items.type)}
+
+    def number(column):
+        """Values, and which of them are there."""
+        return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+    def pages(r, a, z, place):
+        """The first place (row of the batch, page) of the ranges a to z, which are in order."""
+        import pandas as pd
+
+        size = np.abs(z - a) + 1
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        rows = pd.DataFrame({"r": np.repeat(r, size), "p": np.repeat(a, size) + np.repeat(np.where(z < a, -1, 1), size) * step, "at": np.repeat(place, size)})
+        return rows.drop_duplicates(["r", "p"])
+
+    def places(r):
+        """The place of each row among those of its file, which follow each other."""
+        return np.arange(len(r)) - np.searchsorted(r, r)
+
+    def measured(batch):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, run = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (0, 1))
+        (xr, x), (br, b), (dr, d) = (flat(batch.column(k)) for k in (2, 3, 4))
+        out = dict.fromkeys(_SUMS, 0) | {"wanted": len(xr), "detected": len(br), "docs": len(dr)}
+        out["manual"], out["called"] = int(d["manual"].to_numpy(zero_copy_only=False).sum()), len(dr) - d["calls"].null_count
+        (xs, xs_is), (xz, xz_is), (bs, bs_is), (bz, bz_is) = (number(y[k]) for y in (x, b) for k in ("start_page", "end_page"))
+        whole = xs_is & xz_is & known[xr]
+        frame = pd.DataFrame({"r": xr, "s": xs, "z": xz})
+        found = pd.DataFrame({"r": br, "s": bs, "z": bz})
+        both = lambda key, mask: frame[whole].groupby(["r", *key]).size().rename("n").reset_index().merge(found[mask].groupby(["r", *key]).size().rename("m").reset_index(), on=["r", *key])
+        out["exact"] = int(both(["s", "z"], bs_is & bz_is)["m"].sum())
+        for key, name, mask in (("s", "same_start_page", bs_is), ("z", "same_end_page", bz_is)):
+            met = both([key], mask)
+            out[name] = int((met["n"] * met["m"]).sum())
+        held = whole & run[xr]
+        last = np.maximum(xs, xz)[held]
+        out["pages"] = int(pd.Series(last).groupby(xr[held]).max().sum())
+        mine = bs_is & bz_is & known[br]
+        met = pages(xr[held], xs[held], xz[held], places(xr[held])).merge(pages(br[mine], bs[mine], bz[mine], places(br)[mine]), on=["r", "p"])
+        out["right_pages"] = int((met["at_x"] == met["at_y"]).sum())
+        # the first expected row of a document's start page: those without a position have no values
+        ranked = x["ranked"].to_numpy(zero_copy_only=False).astype(bool)
+        first = frame[xs_is & known[xr]].assign(i=np.nonzero(xs_is & known[xr])[0])
+        first = first.assign(none=~ranked[first["i"]]).sort_values("none", kind="stable").drop_duplicates(["r", "s"])[["r", "s", "i", "none"]]
+        ds, ds_is = number(d["start_page"])
+        j = pd.DataFrame({"r": dr, "s": ds, "k": np.arange(len(dr))})[ds_is & known[dr]].merge(first, on=["r", "s"])
+        at, of = pa.array(j["k"].to_numpy(np.int64)), pa.array(j["i"].to_numpy(np.int64), mask=j["none"].to_numpy(bool))
+        good, errors = np.ones(len(j), bool), []
+        out["compared"] = len(j)
+        for f in _FIELDS:
+            want, got = x[f].take(of), d[f].take(at)
+            has = want.is_valid().to_numpy(zero_copy_only=False)
+            if pa.types.is_string(want.type):
+                ok = pc.fill_null(pc.equal(want, got), False).to_numpy(zero_copy_only=False)
+            else:
+                (w, _), (g, g_is) = number(want), number(got)
+                error = np.abs(g - w)
+                errors.append(error[has & g_is])
+                ok = has & g_is & (error <= AMOUNT_TOLERANCE)
+                good &= ok | ~has
+            out[f"has_{f}"], out[f"ok_{f}"] = int(has.sum()), int(ok.sum())
+        out["whole"] = int(good.sum())
+        value, times = np.unique(np.concatenate(errors), return_counts=True)
+        calls = pc.sum(d["calls"]).as_py() or 0.0
+        n = len(value)
+        rows = {"_e": pa.array([None, *value], pa.float64()), "_n": pa.array([0, *times], pa.int64()), "_calls": pa.array([calls, *[0.0] * n], pa.float64())}
+        return pa.RecordBatch.from_pydict(rows | {k: pa.array([v, *[0] * n], pa.int64()) for k, v in out.items()})
+
+    return files.mapInArrow(lambda batches: (measured(x) for x in batches if x.num_rows), "_e double, _n long, _calls double, " + ", ".join(f"{k} long" for k in _SUMS))
+
+
 def extraction_report(expected: DataFrame, bounds: DataFrame, docs: DataFrame, runs: DataFrame) -> DataFrame:
     """One row of measures of an extraction.
 
@@ -132,51 +226,43 @@ def extraction_report(expected: DataFrame, bounds: DataFrame, docs: DataFrame, r
     end_page as detected.  docs: file, start_page, error, confidence, llm_calls, and the fields of expected as extracted.
     runs: file, seconds, cache_hits, cache_misses.  A document is held against the first expected one of its file and
     start page; a page is right if the first range that holds it has the same place among its file's ranges on both sides.
+
+    All rows of a file are brought together once (inputs that are dealt by file already are not dealt again) and everything
+    is measured where they lie; an Arrow map does it for some files at a time, since a file's rows meet each other in
+    six ways.  What is left are sums and counts of equal errors.
     """
     c = F.col
-    known = expected.where("start_page is not null and end_page is not null")
-    key = ["file", "start_page", "end_page"]
-    exact = bounds.join(known.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("exact"))
-    met = lambda k: known.select("file", c(k).alias("_k")).join(bounds.select("file", c(k).alias("_k")), ["file", "_k"]).agg(F.count("*").alias(f"same_{k}"))
-    order = Window.partitionBy("file").orderBy("pos")
-
-    def first_of(rows: DataFrame, name: str) -> DataFrame:
-        """The place of the first range of its file that holds a page."""
-        placed = rows.withColumn("_at", F.row_number().over(order))
-        return placed.select("file", "_at", F.explode(F.sequence("start_page", "end_page")).alias("page")).groupBy("file", "page").agg(F.min("_at").alias(name))
-
-    files = runs.select("file").distinct()
-    held = known.join(files, "file", "left_semi")
-    total = held.groupBy("file").agg(F.max(F.greatest("start_page", "end_page")).alias("last")).agg(F.coalesce(F.sum("last"), F.lit(0)).alias("pages"))
-    right = first_of(held, "_e").join(first_of(bounds, "_f"), ["file", "page"]).agg(F.count_if(c("_e") == c("_f")).alias("right_pages"))
-    fields = ("net", "tax", "gross", "supplier", "kind", "number")
-    first = expected.groupBy("file", "start_page").agg(*[F.min_by(k, "pos").alias(f"e_{k}") for k in fields])
-    j = docs.join(first, ["file", "start_page"])
-    err = {k: F.abs(c(k) - c(f"e_{k}")) for k in ("net", "tax", "gross")}
-    ok = {k: F.coalesce(err[k] <= AMOUNT_TOLERANCE, F.lit(False)) for k in err}
-    text = lambda k: (F.coalesce(c(f"e_{k}"), F.lit("")) != "")
-    same = lambda k: text(k) & (F.lower(F.coalesce(c(k), F.lit(""))) == F.lower(c(f"e_{k}")))
-    wanted = lambda k: c(f"e_{k}").isNotNull()
-    names = {"net": "net_amount_accuracy", "tax": "tax_amount_accuracy", "gross": "gross_amount_accuracy"}
-    whole = F.lit(True)
-    for k in err:
-        whole = whole & (ok[k] | ~wanted(k))
-    compared = j.agg(
-        *[_share(F.count_if(ok[k]), F.count_if(wanted(k))).alias(n) for k, n in names.items()], _share(F.count_if(whole), F.count("*")).alias("amount_all_correct_rate"),
-        *[_share(F.count_if(same(k)), F.count_if(text(k))).alias(n) for k, n in (("supplier", "supplier_hit_rate"), ("kind", "document_type_hit_rate"), ("number", "invoice_number_hit_rate"))],
-    )
-    each = j.select(F.explode(F.array_compact(F.array(*err.values()))).alias("e"))
-    errors = each.agg(F.avg("e").alias("mean_absolute_error")).join(median(each, "e", "median_absolute_error"))
+    low = lambda k: F.lower(F.nullif(c(k), F.lit("")))
+    texts = ("supplier", "kind", "number")
+    fields = lambda text: [text(k).alias(k) if k in texts else c(k).cast("double").alias(k) for k in _FIELDS]
+    page = lambda k: c(k).cast("long").alias(k)
     manual = (F.coalesce("error", F.lit("")) != "") | (F.coalesce("confidence", F.lit(1.0)) < SURE)
-    calls = F.when(F.count("llm_calls") == F.count("*"), _share(F.sum("llm_calls"), F.count("*")))
-    shares = docs.agg(_share(F.count_if(manual), F.count("*")).alias("manual_check_share"), calls.alias("llm_calls_per_document"))
+    parts = {
+        "_x": expected.select("file", F.struct("pos", page("start_page"), page("end_page"), c("pos").isNotNull().alias("ranked"), *fields(low)).alias("_x")),
+        "_b": bounds.select("file", F.struct("pos", page("start_page"), page("end_page")).alias("_b")),
+        "_d": docs.select("file", F.struct(page("start_page"), manual.alias("manual"), c("llm_calls").cast("double").alias("calls"), *fields(lambda k: F.lower(F.coalesce(c(k), F.lit(""))))).alias("_d")),
+        "_r": runs.select("file").distinct().select("file", F.lit(True).alias("_r")),
+    }
+    kinds = {k: rows.schema[k].dataType for k, rows in parts.items()}
+    every = reduce(DataFrame.unionByName, [rows.select("file", *[c(k) if k == name else F.lit(None).cast(t).alias(k) for k, t in kinds.items()]) for name, rows in parts.items()])
+    files = every.groupBy("file").agg(F.max("_r").alias("_run"), *[F.sort_array(F.collect_list(k)).alias(k) for k in ("_x", "_b")], F.collect_list("_d").alias("_d"))
+    bare = lambda k: F.transform(k, lambda s: s.dropFields("pos")).alias(k)
+    sums = _held_against(files.select(c("file").isNotNull().alias("_known"), F.coalesce("_run", F.lit(False)).alias("_run"), bare("_x"), bare("_b"), "_d"))
+    # a row for each error that occurs, and one without: they are read three times
+    sums = materialize(sums.groupBy("_e").agg(*[F.sum(k).alias(k) for k in ("_n", "_calls", *_SUMS)]), "errors")
+    one = sums.where("_e is null").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("_calls", *_SUMS)])
+    each = sums.where("_e is not null")
+    errors = each.agg((F.sum(c("_e") * c("_n")) / F.sum("_n")).alias("mean_absolute_error")).join(median(each, "_e", "median_absolute_error", "_n"))
     n = runs.agg((F.sum("cache_hits") / F.nullif(F.sum("cache_hits") + F.sum("cache_misses"), F.lit(0))).alias("cache_hit_rate"), (F.sum("seconds") / F.nullif(F.sum("cache_hits") + F.sum("cache_misses"), F.lit(0))).alias("avg_seconds_per_page"))
-    one = exact
-    for part in (met("start_page"), met("end_page"), total, right, compared, errors, shares, n, bounds.agg(F.count("*").alias("detected")), expected.agg(F.count("*").alias("wanted"))):
-        one = one.join(part)  # each side is one row
+    one = one.join(errors).join(n)  # each side is one row
+    names = {"net": "net_amount_accuracy", "tax": "tax_amount_accuracy", "gross": "gross_amount_accuracy", "supplier": "supplier_hit_rate", "kind": "document_type_hit_rate", "number": "invoice_number_hit_rate"}
+    share = lambda a, b, k: _share(c(a), c(b)).alias(k)
     done = {"exact_boundary_precision": ("exact", "detected"), "exact_boundary_recall": ("exact", "wanted"), "start_page_accuracy": ("same_start_page", "wanted"), "end_page_accuracy": ("same_end_page", "wanted"), "page_assignment_accuracy": ("right_pages", "pages")}
-    rest = [*names.values(), "amount_all_correct_rate", "supplier_hit_rate", "document_type_hit_rate", "invoice_number_hit_rate", "mean_absolute_error", "median_absolute_error", "manual_check_share", "llm_calls_per_document", "cache_hit_rate", "avg_seconds_per_page"]
-    return one.select(*[_share(c(a), c(b)).alias(k) for k, (a, b) in done.items()], *rest)
+    field = {k: share(f"ok_{k}", f"has_{k}", n) for k, n in names.items()}
+    return one.select(
+        *[share(a, b, k) for k, (a, b) in done.items()], *[field[k] for k in ("net", "tax", "gross")], share("whole", "compared", "amount_all_correct_rate"), *[field[k] for k in texts], "mean_absolute_error", "median_absolute_error",
+        share("manual", "docs", "manual_check_share"), F.when(c("called") == c("docs"), _share(c("_calls"), c("docs"))).alias("llm_calls_per_document"), "cache_hit_rate", "avg_seconds_per_page",
+    )
 
 
 def markdown(report: DataFrame, title: str) -> DataFrame:
