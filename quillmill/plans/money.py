@@ -138,9 +138,10 @@ def amount_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amount_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net, tax and gross of each order and line number, from a text with three labelled amounts for each of its rows."""
-    line = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
+    # dealt by document once: pages and candidates of a document are gathered where it lies
+    line = spread(read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), "l_extendedprice"), "doc_id")
     doc = F.concat_ws("\n", F.concat(F.lit("Netto "), F.format_string("%.2f", "l_extendedprice")), F.concat(F.lit("MwSt 19% "), F.format_string("%.2f", F.col("l_extendedprice") * 0.19)), F.concat(F.lit("Gesamtbetrag EUR "), F.format_string("%.2f", F.col("l_extendedprice") * 1.19)))
-    found = amounts.candidates(line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), doc.alias("text")), "doc_id", "text")
+    found = amounts.candidates(line.select("doc_id", doc.alias("text")), "doc_id", "text")
     return amounts.solve(found)
 
 
